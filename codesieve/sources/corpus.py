@@ -1,0 +1,122 @@
+"""Inputs that Spark derives from the given tables, in SQL that DuckDB runs as well.
+
+The code corpus turns each order into one source file made of three blocks.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+#: Code blocks; {k} is a digit.
+BLOCKS = (
+    "def is_ready_{k}(x, y=1):\n    pass\n",
+    'async def load_items(path):\n    """Doc."""\n    # note\n    return None\n',
+    "class A:\n    def __init__(self):\n        pass\n    def save_row(self, row):\n        raise NotImplementedError('x')\n",
+    "def total(items):\n    s = 0\n    for i in items:\n        s += i\n    return s\n",
+    'password = "hunter{k}22"\nverify=False\n',
+    "def outer(a):\n    def inner(b):\n        pass\n    return inner\n",
+    "def multi(\n    a,\n    b,\n):\n    ...\n",
+    "import hashlib\nimport pickle\nx = eval(s{k})\nh = hashlib.md5(b)\nd = pickle.loads(b)\n",
+    'url = "http://host{k}.example/a"\nlocal = "http://localhost/b"\n',
+    "os.remove('/etc/app{k}')\n# chmod 777 x\n",
+    "function empty{k}() {\n}\nconst cb{k} = () => {\n  return null;\n}\n",
+    "function work{k}(a) {\n  if (a) {\n    return eval(a);\n  }\n}\n",
+    '# eval(1)\ndb.execute("select * from t where id=%s" % k{k})\nDEBUG = True\n',
+    "steal_password(user{k})\n",
+    "def one{k}(): pass\n",
+    "x = {k}\n",
+)
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _block(selector: str) -> str:
+    cases = " ".join(f"WHEN {i} THEN {quoted(b)}" for i, b in enumerate(BLOCKS))
+    return f"replace(CASE {selector} {cases} END, '{{k}}', CAST(o_orderkey % 10 AS STRING))"
+
+
+_SECOND, _THIRD = "CAST(floor(o_orderkey / 16) AS BIGINT) % 16", "CAST(floor(o_orderkey / 256) AS BIGINT) % 16"
+
+#: source_files(file_id, repo, path, code)
+SOURCE_FILES = f"""
+SELECT o_orderkey AS file_id, 'repo' || CAST(o_custkey % 50 AS STRING) AS repo,
+       'repo' || CAST(o_custkey % 50 AS STRING) || '/f' || CAST(o_orderkey AS STRING)
+         || CASE WHEN o_orderkey % 16 IN (10, 11) THEN '.js' ELSE '.py' END AS path,
+       {_block('o_orderkey % 16')} || {_block(_SECOND)} || {_block(_THIRD)} AS code
+FROM orders"""
+
+#: patches(file_id, patch_no, function_name, before, after, reason, start_line, end_line):
+#: three per file, one kind per (order + patch) modulo 9. Lines are 0-based.
+_KIND = "(o_orderkey + patch_no) % 9"
+PATCHES = f"""
+SELECT o_orderkey AS file_id, patch_no,
+       CASE WHEN {_KIND} = 3 THEN 'nobody' ELSE 'is_ready_' || CAST(o_orderkey % 10 AS STRING) END AS function_name,
+       CASE WHEN {_KIND} = 1 THEN '  ' WHEN {_KIND} = 4 THEN 'not there' ELSE '    pass' END AS before,
+       CASE {_KIND} WHEN 2 THEN '' WHEN 5 THEN 'import sneaky' || chr(10) || '    return 1'
+            WHEN 6 THEN '    # TODO' WHEN 7 THEN '    pass'
+            ELSE '    return ' || CAST(o_orderkey % 2 AS STRING) END AS after,
+       'why' AS reason,
+       CASE WHEN {_KIND} = 8 THEN 9 ELSE 1 END AS start_line, 2 AS end_line
+FROM (SELECT o_orderkey FROM orders) CROSS JOIN (SELECT 0 AS patch_no UNION ALL SELECT 1 UNION ALL SELECT 2)"""
+
+#: versions(session_id, version_id, ts, function_name, after, approved, is_restore, safety_score)
+VERSIONS = """
+SELECT user_id AS session_id, event_id AS version_id, ts, 'f' || CAST(event_id % 7 AS STRING) AS function_name,
+       'code ' || CAST(event_id AS STRING) AS after, event_type IN ('purchase', 'signup', 'click') AS approved,
+       event_type = 'error' AS is_restore, event_id % 101 AS safety_score
+FROM events"""
+
+#: sessions(session_id, original_code)
+SESSIONS = "SELECT DISTINCT user_id AS session_id, 'original ' || CAST(user_id AS STRING) AS original_code FROM events"
+
+#: file_versions(file_id, original, modified, path, start_line, end_line, function_name)
+FILE_VERSIONS = f"""
+SELECT file_id, CASE WHEN file_id % 6 = 5 THEN NULL ELSE code END AS original,
+       CASE file_id % 6 WHEN 1 THEN replace(code, '    pass', '    return 1')
+            WHEN 2 THEN '# top' || chr(10) || code
+            WHEN 3 THEN replace(code, 'def total(items):', 'def total(items, extra):')
+            WHEN 4 THEN replace(code, 'def is_ready', 'x = is_ready')
+            ELSE code END AS modified,
+       path, 1 AS start_line, 2 AS end_line,
+       CASE WHEN file_id % 2 = 0 THEN 'is_ready_' || CAST(file_id % 10 AS STRING) ELSE 'total' END AS function_name
+FROM ({SOURCE_FILES}) s"""
+
+#: model_responses(file_id, raw): structured calls, fenced text, bad JSON, no candidates.
+MODEL_RESPONSES = """
+SELECT o_orderkey AS file_id,
+  CASE o_orderkey % 5
+    WHEN 0 THEN '{"candidates":[{"content":{"parts":[{"functionCall":{"name":"submit_fixes","args":{"fixes":[{"function_name":"f'
+      || CAST(o_orderkey % 10 AS STRING) || '","before":"pass","after":"return 1","reason":"r","start_line":1,"end_line":2},{"after":"return 2"}]}}}]}}]}'
+    WHEN 1 THEN '{"candidates":[{"content":{"parts":[{"text":"{''fixes'':"},{"text":" 1"}]}}]}'
+    WHEN 2 THEN '{"candidates":[]}'
+    WHEN 3 THEN '{"candidates":[{"content":{"parts":[{"functionCall":{"name":"other","args":{"fixes":[{"function_name":"g"}]}}}]}}]}'
+    ELSE 'no json' END AS raw
+FROM orders"""
+
+#: text_responses(file_id, raw): delimited sections.
+TEXT_RESPONSES = """
+SELECT o_orderkey AS file_id,
+  CASE WHEN o_orderkey % 4 = 3 THEN 'nothing useful' ELSE
+    'FUNCTION: f' || CAST(o_orderkey % 10 AS STRING) || chr(10) || 'BEFORE:' || chr(10) || '```' || chr(10) || 'pass' || chr(10) || '```' || chr(10)
+    || 'AFTER:' || chr(10) || '```' || chr(10) || 'return ' || CAST(o_orderkey % 3 AS STRING) || chr(10)
+    || CASE WHEN o_orderkey % 4 = 1 THEN '' ELSE '```' || chr(10) END
+    || CASE WHEN o_orderkey % 4 = 2 THEN '' ELSE 'REASON: because' || chr(10) END
+    || '---' || chr(10) || 'FUNCTION: g' || chr(10) || 'AFTER:' || chr(10) || '```' || chr(10) || 'x = ((1)' || chr(10) || '```' || chr(10)
+  END AS raw
+FROM orders"""
+
+
+def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """The rows of ``sql``, which names tables of the folder."""
+    for name in ("orders", "events"):
+        if f"FROM {name}" in sql:
+            view = f"codesieve_{name}_{abs(hash(sf_dir))}"
+            spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(view)
+            sql = sql.replace(f"FROM {name}", f"FROM {view}")
+    return spark.sql(sql)
+
+
+def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived(spark, sf_dir, SOURCE_FILES)
