@@ -25,13 +25,13 @@ from codesieve.llm.common import bounded_ids, map_frames
 SAMPLE_PAGES = 1_000
 MAX_KINDS = 4_096
 #: Weights without any label: a word is text, a tag is not.
-WORD_WEIGHT, TAG_WEIGHT = 1.0, -1.5
+WORD_WEIGHT, TAG_WEIGHT = 1.0, -0.75
 #: Pseudo-counts that hold a fitted weight near these.
 PRIOR = 5.0
 CLIP = 6.0
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?|[^<]+|<",
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)>?|[^<]+|<",
     re.S,
 )
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
@@ -186,11 +186,9 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
     for kind, text, dropped, _ in sequence:
         w = weight_of(kind, weights)
         if kind[0] == "w":
-            n = len(text.split())
-            w = -abs(w) * n if dropped else w * n
-        elif dropped:
-            w = min(w, TAG_WEIGHT)
-        scores.append(w)
+            w *= len(text.split())
+        # What is left out anyway neither ends a region nor makes one.
+        scores.append(0.0 if dropped else w)
     start, end = best_region(scores)
     parts = []
     for kind, text, dropped, _ in sequence[start:end]:

@@ -36,7 +36,7 @@ KINDS = ("email", "ip", "card", "phone")
 MAX_SEGMENT = 24
 SAMPLE_DOCS = 2_000
 SAMPLE_ZONES = 400
-MIN_ODDS = 2.0
+MIN_ODDS = 1.0
 CONTEXT = 24
 
 AT_SIGN_RIGHT = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -142,6 +142,9 @@ CUES = {
     "ip": re.compile(r"\b(?:ip|host|server|address|addr|from|login)\b", re.I),
     "card": re.compile(r"\b(?:card|visa|credit|mastercard|amex|karte|carte|tarjeta|payment)\b", re.I),
 }
+#: Last labels that spelled-out addresses mostly end in (fixed values).
+TOP_LEVEL = frozenset("com org net edu gov info biz io co de fr es it uk eu us ru cn jp br in nl".split())
+MORE = re.compile(r"\x20?(?:\.|[\[(]dot[\])]|dot\x20)\x20?[A-Z0-9]", re.I)
 EMAIL_SHAPE = re.compile(r"[A-Z0-9._%+-]+@[A-Z0-9-]+(?:\.[A-Z0-9-]+)+", re.I)
 SPELLED_SHAPE = re.compile(
     r"[A-Z0-9._%+-]+(?:\x20?@\x20?|\x20?[\[(]at[\])]\x20?|\x20at\x20)[A-Z0-9-]+(?:(?:\x20?\.\x20?|\x20?[\[(]dot[\])]\x20?|\x20dot\x20)[A-Z0-9-]+)+",
@@ -150,7 +153,7 @@ SPELLED_SHAPE = re.compile(
 FEATURES = [
     "bias", "email_shape", "spelled_shape", "bracketed", "octets", "octets_spaced", "luhn_16_19", "card_groups", "digits_16_19",
     "plus", "phone_groups", "digits_8_15", "digits_10_11", "paren_area", "letters", "edge_digit", "edge_letter", "separators_mixed",
-    "one_group", "cue_email", "cue_ip", "cue_card", "cue_phone",
+    "one_group", "goes_on", "top_level", "no_top_level", "cue_email", "cue_ip", "cue_card", "cue_phone",
 ]
 _AT = {name: k for k, name in enumerate(FEATURES)}
 
@@ -171,6 +174,9 @@ def features(segment: str, before: str, after: str) -> np.ndarray:
     on("email_shape", "@" in segment and EMAIL_SHAPE.fullmatch(segment))
     spelled = letters and SPELLED_SHAPE.fullmatch(segment)
     on("spelled_shape", spelled and not f[1])
+    known = spelled and re.split(r"[\x20.\])]", segment.lower())[-1] in TOP_LEVEL
+    on("top_level", known and not f[1])
+    on("no_top_level", spelled and not known and not f[1])
     on("bracketed", spelled and ("(at)" in segment.lower() or "[at]" in segment.lower()))
     quad = not letters and len(groups) == 4 and all(n <= 3 and int(g) <= 255 for g, n in zip(groups, sizes))
     on("octets", quad and marks == {"."})
@@ -190,6 +196,7 @@ def features(segment: str, before: str, after: str) -> np.ndarray:
     on("edge_letter", before[-1:].isalpha() or after[:1].isalpha())
     on("separators_mixed", len(marks - set("()+")) > 1 and not letters)
     on("one_group", len(groups) == 1 and not letters)
+    on("goes_on", MORE.match(after))
     for kind, cue in CUES.items():
         on(f"cue_{kind}", cue.search(before))
     return f
@@ -203,13 +210,13 @@ class Zone:
         self.start = start
         self.bounds, self.pairs = segments(zone)
         left = text[max(0, start - CONTEXT) : start]
-        right = text[end : end + 8]
+        right = text[end : end + 12]
         self.x = np.array(
             [
                 features(
                     zone[self.bounds[i] : self.bounds[j]],
                     (left + zone[: self.bounds[i]])[-CONTEXT:],
-                    (zone[self.bounds[j] :] + right)[:8],
+                    (zone[self.bounds[j] :] + right)[:12],
                 )
                 for i, j in self.pairs
             ]
@@ -323,7 +330,7 @@ def training_zones(sample: list[tuple[str, list[tuple[str, int, int]]]], seed: i
     return out
 
 
-def fit(zones_: list[tuple[Zone, list[tuple[int, int]]]], rounds: int = 60, decay: float = 0.02) -> np.ndarray:
+def fit(zones_: list[tuple[Zone, list[tuple[int, int]]]], rounds: int = 120, decay: float = 0.02) -> np.ndarray:
     """Weights (kind, feature) of greatest penalised likelihood, by Adagrad steps."""
     w = np.zeros((len(KINDS), len(FEATURES)))
     w[:, 0] = -2.0
@@ -355,7 +362,7 @@ def fit_weights(df: DataFrame, id_col: str, text_col: str, sample_docs: int) ->
                 for start, end in zones(text):
                     if left <= 0:
                         break
-                    lo, hi = max(0, start - CONTEXT), end + 8
+                    lo, hi = max(0, start - CONTEXT), end + 12
                     inside = [(k, s - lo, e - lo) for k, s, e in base if start <= s and e <= end]
                     out.append((text[lo:hi], shown(inside)))
                     left -= 1

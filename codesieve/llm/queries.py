@@ -130,9 +130,8 @@ h0 AS (SELECT host, n, k,
     CASE WHEN two IN ({double}) THEN array_to_string(string_split(host, '.')[-3:], '.') ELSE two END AS domain,
     CASE WHEN two IN ({double}) THEN two ELSE string_split(host, '.')[-1] END AS suffix FROM l),
 d0 AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM h0 GROUP BY ALL),
-e AS (SELECT (coalesce(sum(k), 0) + 1.0) / (coalesce(sum(n), 0) + 2.0) AS whole, coalesce(sum(n), 0) + 2.0 AS whole_size FROM d0),
-s0 AS (SELECT * FROM (SELECT suffix, sum(n) AS n, sum(k) AS k FROM d0 GROUP BY suffix), e),
-{level("sx", "s0", "whole", "whole_size")},
+s0 AS (SELECT suffix, sum(n) AS n, sum(k) AS k, CAST(0.5 AS DOUBLE) AS even, CAST({least} AS DOUBLE) AS even_size FROM d0 GROUP BY suffix),
+{level("sx", "s0", "even", "even_size")},
 d1 AS (SELECT d0.*, sx_mean, sx_size FROM d0 JOIN sx USING (suffix)),
 {level("dx", "d1", "sx_mean", "sx_size")},
 h1 AS (SELECT h0.*, dx_mean, dx_size FROM h0 JOIN dx USING (domain)),

@@ -2,10 +2,10 @@
 
 Rules decide the pages that they fit. Their verdicts are the labelled outcomes:
 per host, the number of labelled pages and of blocked ones. A beta-binomial
-prior is handed down from all pages to suffix, registered domain and host; each
-level's strength comes from how much the rates below it differ (method of
-moments). A page without a rule is blocked if the lower posterior bound of its
-host's rate is above ``bound``.
+prior is handed down from suffix to registered domain and host; each level's
+strength comes from how much the rates below it differ (method of moments), and
+a suffix starts from an even prior worth two pages. A page without a rule is
+blocked if the lower posterior bound of its host's rate is above ``bound``.
 """
 
 from __future__ import annotations
@@ -80,8 +80,6 @@ def host_reputation(outcomes: DataFrame) -> DataFrame:
     hosts = outcomes.select("host", "n", "k", domain_column(F.col("host")).alias("domain"), suffix_column(F.col("host")).alias("suffix"))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    everything = suffixes.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
-    whole = ((everything["k"] or 0) + 1.0) / ((everything["n"] or 0) + 2.0)
 
     def shrink(level: DataFrame, prior: str, prior_size: Column) -> DataFrame:
         """Posterior mean and size; a prior is never surer than what it rests on."""
@@ -90,7 +88,7 @@ def host_reputation(outcomes: DataFrame) -> DataFrame:
             "size", F.col("n") + strength
         )
 
-    s = shrink(suffixes.withColumn("whole", F.lit(whole)), "whole", F.lit((everything["n"] or 0) + 2.0))
+    s = shrink(suffixes.withColumn("even", F.lit(0.5)), "even", F.lit(LEAST_STRENGTH))
     s = s.select("suffix", F.col("mean").alias("suffix_mean"), F.col("size").alias("suffix_size"))
     d = shrink(domains.join(s, "suffix"), "suffix_mean", F.col("suffix_size"))
     d = d.select("domain", F.col("mean").alias("domain_mean"), F.col("size").alias("domain_size"))
