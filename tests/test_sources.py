@@ -17,7 +17,7 @@ def test_whole_files_batch_equals_stream(spark, tmp_path):
     batch = files.read_source_files(spark, path)
     assert {r.path.rsplit("/", 1)[1]: r.code for r in batch.collect()} == {"a.py": "def a():\n    pass\n", "b.py": "eval(1)\n"}  # Spark's reader passes over files without a byte
     assert files.without_empty(batch).count() == 2
-    blank = spark.createDataFrame([(1, ""), (2, " "), (3, None), (4, "x")], "file_id long, code string")
+    blank = spark.createDataFrame([(1, ""), (2, " "), (3, None), (4, "x")], "file_id long, code string").coalesce(1)
     assert [r.file_id for r in files.normalised(blank).collect()] == [4]
     streamed = streams.drain(streams.scan_stream(files.stream_source_files(spark, path)), str(tmp_path / "out"))
     assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, streams.scan_stream(batch).collect()))
