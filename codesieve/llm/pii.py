@@ -151,7 +151,7 @@ SPELLED_SHAPE = re.compile(
     re.I,
 )
 FEATURES = [
-    "bias", "email_shape", "spelled_shape", "bracketed", "octets", "octets_spaced", "luhn_16_19", "card_groups", "digits_16_19",
+    "bias", "email_shape", "spelled_shape", "bracketed", "octets", "octets_spaced", "luhn_16_19", "card_groups", "fails_luhn",
     "plus", "phone_groups", "digits_8_15", "digits_10_11", "paren_area", "letters", "edge_digit", "edge_letter", "separators_mixed",
     "one_group", "goes_on", "top_level", "no_top_level", "cue_email", "cue_ip", "cue_card", "cue_phone",
 ]
@@ -182,7 +182,7 @@ def features(segment: str, before: str, after: str) -> np.ndarray:
     on("octets", quad and marks == {"."})
     on("octets_spaced", quad and "." in marks and marks != {"."})
     card = not letters and 16 <= len(digits) <= 19
-    on("digits_16_19", card)
+    on("fails_luhn", card and not luhn(digits))
     on("luhn_16_19", card and luhn(digits))
     on("card_groups", card and (sizes == [4, 4, 4, 4] or len(sizes) == 1))
     phone = not letters and 8 <= len(digits) <= 15
