@@ -6,7 +6,7 @@ the clock.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_VERSIONS, MAX_SESSIONS = 50, 20
@@ -16,6 +16,19 @@ DOCUMENT = (
 )
 
 
+def create_sessions(files: DataFrame, created_at: Column) -> DataFrame:
+    """One session per file: its text is both original and current."""
+    return files.select(
+        F.col("file_id").alias("session_id"), created_at.alias("created_at"), F.col("path").alias("file_name"),
+        F.col("code").alias("original_code"), F.col("code").alias("current_code"),
+    )
+
+
+def record(versions: DataFrame, new: DataFrame, keep: int = MAX_VERSIONS) -> DataFrame:
+    """Old and new versions, at most ``keep`` of each session."""
+    return retained(versions.unionByName(new), keep).drop("age")
+
+
 def retained(versions: DataFrame, keep: int = MAX_VERSIONS) -> DataFrame:
     """The latest ``keep`` versions of each session."""
     w = Window.partitionBy("session_id").orderBy(F.col("ts").desc(), F.col("version_id").desc())

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codesieve.functions.text import guard_language, let
 from codesieve.operators.guard import direct_checks, report_of
+from codesieve.operators.patches import apply_changes
 from codesieve.operators.stubs import first_param_types, proposals, refine
 from codesieve.operators.verdict import content_verdict, policy_verdict
 
@@ -77,7 +78,21 @@ def review_counters(decisions: DataFrame) -> DataFrame:
     )
 
 
+def last_decisions(decisions: DataFrame) -> DataFrame:
+    """(file_id, function_name, approved): the last decision on each function."""
+    return decisions.groupBy("file_id", "function_name").agg(F.max_by("approved", F.struct("ts", "seq")).alias("approved"))
+
+
+def apply_decisions(files: DataFrame, decisions: DataFrame) -> DataFrame:
+    """(file_id, new_code, n_applied) for files with an approved proposal.
+
+    Approved proposals of a file are applied in one rebuild; rejected ones change
+    nothing and stay in the decision log.
+    """
+    approved = last_decisions(decisions).where("approved").select("file_id", F.col("function_name").alias("name"))
+    return apply_changes(files, proposals(files).where("language = 'python'").join(approved, ["file_id", "name"], "left_semi"))
+
+
 def replay(decisions: DataFrame, items: DataFrame) -> DataFrame:
     """Last decision of each (file_id, function_name) joined to its item."""
-    last = decisions.groupBy("file_id", "function_name").agg(F.max_by("approved", F.struct("ts", "seq")).alias("approved"))
-    return items.join(last, ["file_id", "function_name"])
+    return items.join(last_decisions(decisions), ["file_id", "function_name"])

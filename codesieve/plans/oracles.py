@@ -576,6 +576,15 @@ count(*) FILTER (NOT approved) OVER w AS rejected_so_far FROM {_VERSIONS} WINDOW
 JOIN {_VERSIONS} v ON v.version_id = s.file_id AND s.name = 'is_ready_' || (v.version_id % 10)""",
             **_STUB_TABLES,
         ),
+        "apply_decisions": _with(
+            f"SELECT * FROM ({_APPLIED})",
+            **_STUB_TABLES,
+            all_proposals=_PROPOSALS,
+            proposals=f"""SELECT p.* FROM all_proposals p
+JOIN {_VERSIONS} v ON v.version_id = p.file_id AND p.name = 'is_ready_' || (v.version_id % 10) WHERE v.approved""",
+        ),
+        "history_record": f"""SELECT session_id, count(*) AS n, max(version_id) AS last FROM (SELECT * FROM {_VERSIONS}
+QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, version_id DESC) <= {history.MAX_VERSIONS}) GROUP BY 1""",
         "model_responses": """
 SELECT o_orderkey AS file_id, CAST(0 AS BIGINT) AS fix_no, 'f' || (o_orderkey % 10) AS function_name, 'pass' AS before, 'return 1' AS after, 'r' AS reason,
   CAST(1 AS BIGINT) AS start_line, CAST(2 AS BIGINT) AS end_line FROM orders WHERE o_orderkey % 5 = 0

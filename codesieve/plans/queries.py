@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codesieve.functions import text
 from codesieve.operators import functions, guard, history, patches, report, scan, stubs, verdict, workflow
-from codesieve.operators.rules import GUARD, POLICY, SECURITY
+from codesieve.operators.rules import GUARD, SECURITY
 from codesieve.sources import corpus, files, responses
 from codesieve.streaming import streams
 
@@ -316,14 +316,31 @@ def review_counters(spark, sf_dir):
     return workflow.review_counters(_versions(spark, sf_dir))
 
 
-@_register
-def decision_replay(spark, sf_dir):
-    items = stubs.stubs(_code(spark, sf_dir)).select("file_id", F.col("name").alias("function_name"), "risk")
-    decided = _versions(spark, sf_dir).select(
+def _decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions on the first stub of the file whose id is the event's."""
+    return _versions(spark, sf_dir).select(
         F.col("version_id").alias("file_id"), F.concat(F.lit("is_ready_"), (F.col("version_id") % 10).cast("string")).alias("function_name"),
         "approved", "ts", F.col("version_id").alias("seq"),
     )
-    return workflow.replay(decided, items)
+
+
+@_register
+def apply_decisions(spark, sf_dir):
+    return workflow.apply_decisions(_code(spark, sf_dir), _decisions(spark, sf_dir))
+
+
+@_register
+def history_record(spark, sf_dir):
+    rows = _versions(spark, sf_dir)
+    return history.record(rows.where("NOT approved"), rows.where("approved")).groupBy("session_id").agg(
+        F.count("*").alias("n"), F.max("version_id").alias("last")
+    )
+
+
+@_register
+def decision_replay(spark, sf_dir):
+    items = stubs.stubs(_code(spark, sf_dir)).select("file_id", F.col("name").alias("function_name"), "risk")
+    return workflow.replay(_decisions(spark, sf_dir), items)
 
 
 @_register

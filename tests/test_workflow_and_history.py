@@ -66,3 +66,18 @@ def test_replay_takes_the_last_decision(spark):
         [(1, "f", True, at(1), 1), (1, "f", False, at(1), 2)], "file_id long, function_name string, approved boolean, ts timestamp, seq int"
     )
     assert [tuple(r) for r in workflow.replay(decided, items).collect()] == [(1, "f", False)]
+
+
+def test_create_record_and_apply(spark):
+    df = files(spark, "def is_ok(x):\n    pass\n", "def is_ok(x):\n    pass\n")
+    made = history.create_sessions(df, F.lit(at(0))).orderBy("session_id").collect()
+    assert [(r.session_id, r.file_name, r.original_code == r.current_code) for r in made] == [(0, "f0.py", True), (1, "f1.py", True)]
+    rows = [(1, n, at(n), "f", "x", True, False, 1) for n in range(4)]
+    v = spark.createDataFrame(rows, SCHEMA)
+    assert [r.version_id for r in history.record(v.where("version_id < 2"), v.where("version_id >= 2"), keep=3).orderBy("version_id").collect()] == [1, 2, 3]
+    decided = spark.createDataFrame(
+        [(0, "is_ok", False, at(1), 1), (0, "is_ok", True, at(2), 2), (1, "is_ok", False, at(3), 3)],
+        "file_id long, function_name string, approved boolean, ts timestamp, seq int",
+    )
+    out = workflow.apply_decisions(df, decided).collect()
+    assert [(r.file_id, r.new_code, r.n_applied) for r in out] == [(0, "def is_ok(x):\n    return x is not None and bool(x)\n", 1)]
