@@ -55,12 +55,16 @@ def exact_dedup(
         # The digest goes through the shuffle in the text's stead.
         narrow = base.select("id", "len", "pre", full.alias("full"))
         rows = narrow.join(heads, ["len", "pre"], "left").select("id", "full", "again")
-    groups = (
+    groups = small_side(
         rows.where("again").groupBy("full")
         .agg(F.max("id").alias("keep"), F.count("*").alias("n"))
-        .where("n > 1").withColumnRenamed("full", "digest")
+        .where("n > 1").withColumnRenamed("full", "digest"),
+        small_rows,
     )
-    return rows.join(groups, F.col("full") == F.col("digest"), "left").select(
+    # Rows without a group are spread over the tasks; a hot group's rows are
+    # split by the skew join, as both sides come straight from a shuffle.
+    key = F.when(F.col("again"), F.col("full")).otherwise(F.col("id").cast("string"))
+    return rows.withColumn("key", key).join(groups, F.col("key") == F.col("digest"), "left").select(
         F.col("id").alias(id_col),
         F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep")).alias("keep_id"),
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
