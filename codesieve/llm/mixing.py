@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from codesieve.llm.common import cut, n_words_column, words_column
 
 BLOCK_WORDS = 128
-SHARD_DOCS = 20_000
+SHARD_DOCS = 2_000
 MAX_REPEAT = 3
 CONTESTED = 4
 
