@@ -45,8 +45,8 @@ def python_functions(code: Column) -> Column:
     below the definition's indent, else the last line of code.
     """
 
-    def fold(lines: Column) -> Column:
-        last_colon = F.coalesce(F.array_max(F.transform(F.filter(lines, lambda l: l["colon"]), lambda l: l["ln"])), F.lit(0))
+    def fold(bound: Column) -> Column:
+        lines, last_colon = bound["lines"], bound["last_colon"]
         n = F.size(lines)
         start = F.struct(
             F.lit(0).alias("mode"), F.lit("").alias("name"), F.lit(0).alias("def_ln"), F.lit(0).alias("base"), F.lit(0).alias("sig_ln"),
@@ -63,41 +63,63 @@ def python_functions(code: Column) -> Column:
         def step(s: Column, l: Column) -> Column:
             t, mode = l["t"], s["mode"]
             statement = (t != "") & ~t.startswith("#")
-            doc = _marks(t, True)
-            leaves = statement & (l["ind"] <= s["base"])
-            closes = (mode == 4) & leaves
-            bare = (mode == 2) & leaves & ~doc
-            fresh = (mode == 0) | closes | bare
-            out = (
-                F.when(closes, F.concat(s["out"], F.array(found(s, s["body_ln"], l["ln"] - 1, s["first"]))))
-                .when(bare, F.concat(s["out"], F.array(found(s, l["ln"], l["ln"] - 1, F.lit(None).cast("string")))))
-                .otherwise(s["out"])
+            seen = F.struct(
+                statement.alias("statement"), _marks(t, True).alias("doc"), (statement & (l["ind"] <= s["base"])).alias("leaves")
+            )
+            return let(seen, lambda v: close(s, l, v))
+
+        def close(s: Column, l: Column, v: Column) -> Column:
+            """What ends at this line: a body, or a signature without one."""
+            mode = s["mode"]
+            ended = F.struct(
+                ((mode == 4) & v["leaves"]).alias("closes"), ((mode == 2) & v["leaves"] & ~v["doc"]).alias("bare"),
             )
+            return let(ended, lambda e: opening(s, l, v, e))
+
+        def opening(s: Column, l: Column, v: Column, e: Column) -> Column:
+            """Whether a definition begins at this line."""
+            t = l["t"]
+            fresh = (s["mode"] == 0) | e["closes"] | e["bare"]
             is_async = t.startswith("async def ")
             is_def = fresh & (is_async | t.startswith("def "))
             after = F.when(is_async, F.substring(t, 11, 1 << 30)).otherwise(F.substring(t, 5, 1 << 30))
-            name = trim_control(F.substring_index(after, "(", 1))
-            opens = is_def & after.contains("(") & ~name.isin(*SKIPPED) & (l["ln"] <= last_colon)
-            begins_body = ~fresh & (mode == 2) & statement & ~doc
+            name = F.when(is_def & after.contains("("), trim_control(F.substring_index(after, "(", 1)))
+            found_here = F.struct(fresh.alias("fresh"), is_def.alias("is_def"), name.alias("name"))
+            return let(
+                found_here,
+                lambda d: let(
+                    d["name"].isNotNull() & ~F.coalesce(d["name"], F.lit("")).isin(*SKIPPED) & (l["ln"] <= last_colon),
+                    lambda opens: moved(s, l, v, e, d, opens),
+                ),
+            )
+
+        def moved(s: Column, l: Column, v: Column, e: Column, d: Column, opens: Column) -> Column:
+            t, mode, fresh = l["t"], s["mode"], d["fresh"]
+            begins_body = ~fresh & (mode == 2) & v["statement"] & ~v["doc"]
             new_mode = (
                 F.when(opens, F.when(l["colon"], 2).otherwise(1))
                 .when(fresh, 0)
                 .when((mode == 1) & l["colon"], 2)
-                .when((mode == 2) & doc & (~_marks(t, False) | (F.length(t) < 6)), 3)
+                .when((mode == 2) & v["doc"] & (~_marks(t, False) | (F.length(t) < 6)), 3)
                 .when((mode == 3) & _marks(t, False), 2)
                 .when(begins_body, 4)
                 .otherwise(mode)
             )
+            out = (
+                F.when(e["closes"], F.concat(s["out"], F.array(found(s, s["body_ln"], l["ln"] - 1, s["first"]))))
+                .when(e["bare"], F.concat(s["out"], F.array(found(s, l["ln"], l["ln"] - 1, F.lit(None).cast("string")))))
+                .otherwise(s["out"])
+            )
             return F.struct(
                 new_mode.cast("int").alias("mode"),
-                F.when(opens, name).otherwise(s["name"]).alias("name"),
+                F.when(opens, d["name"]).otherwise(s["name"]).alias("name"),
                 F.when(opens, l["ln"]).otherwise(s["def_ln"]).cast("int").alias("def_ln"),
                 F.when(opens, l["ind"]).otherwise(s["base"]).cast("int").alias("base"),
                 F.when(l["colon"] & (opens | ((mode == 1) & ~fresh)), l["ln"]).otherwise(s["sig_ln"]).cast("int").alias("sig_ln"),
                 F.when(begins_body, l["ln"]).otherwise(s["body_ln"]).cast("int").alias("body_ln"),
                 F.when(begins_body, t).otherwise(s["first"]).alias("first"),
-                F.when(begins_body | ((mode == 4) & statement), l["ln"]).otherwise(s["last"]).cast("int").alias("last"),
-                (s["total"] + is_def.cast("int")).alias("total"),
+                F.when(begins_body | ((mode == 4) & v["statement"]), l["ln"]).otherwise(s["last"]).cast("int").alias("last"),
+                (s["total"] + d["is_def"].cast("int")).alias("total"),
                 out.alias("out"),
             )
 
@@ -112,7 +134,14 @@ def python_functions(code: Column) -> Column:
         return F.aggregate(lines, start, step, finish)
 
     empty = F.struct(F.lit(0).alias("total"), F.array().cast(_PY_OUT).alias("found"))
-    return F.when(trim_control(F.coalesce(code, F.lit(""))) == "", empty).otherwise(let(line_structs(code), fold))
+    return F.when(trim_control(F.coalesce(code, F.lit(""))) == "", empty).otherwise(
+        let(line_structs(code), lambda lines: let(F.struct(lines.alias("lines"), _last_colon(lines).alias("last_colon")), fold))
+    )
+
+
+def _last_colon(lines: Column) -> Column:
+    """Number of the last line that can end a signature, 0 without one."""
+    return F.coalesce(F.array_max(F.transform(F.filter(lines, lambda l: l["colon"]), lambda l: l["ln"])), F.lit(0))
 
 
 _JS_OUT = "array<struct<name:string,ln:int,end_ln:int,body:string,header:string>>"
@@ -151,8 +180,12 @@ def javascript_functions(code: Column) -> Column:
                 F.when(x.contains("{"), at).when(x.contains("=>"), 0).when(second.contains("{"), at + 1).when(second.contains("=>"), 0)
                 .when(third.contains("{"), at + 2).otherwise(0)
             )
-            begins = ~s["on"] & F.coalesce(name, F.lit("")).rlike(".") & (brace > 0)
+            head = F.when(~s["on"], F.struct(F.coalesce(name, F.lit("")).alias("name"), brace.alias("brace")))
+            return let(
+                head, lambda h: let(~s["on"] & (F.coalesce(h["name"], F.lit("")) != "") & (h["brace"] > 0), lambda begins: advance(s, x, t, at, h, begins))
+            )
 
+        def advance(s: Column, x: Column, t: Column, at: Column, h: Column, begins: Column) -> Column:
             def go(c: Column) -> Column:
                 counts = c["on"] & (at >= c["brace"])
                 depth = F.when(counts, c["depth"] + count_of(x, "{") - count_of(x, "}")).otherwise(c["depth"])
@@ -173,8 +206,8 @@ def javascript_functions(code: Column) -> Column:
                 )
 
             current = F.struct(
-                (s["on"] | begins).alias("on"), F.when(begins, name).otherwise(s["name"]).alias("name"),
-                F.when(begins, at).otherwise(s["ln"]).alias("ln"), F.when(begins, brace).otherwise(s["brace"]).alias("brace"),
+                (s["on"] | begins).alias("on"), F.when(begins, h["name"]).otherwise(s["name"]).alias("name"),
+                F.when(begins, at).otherwise(s["ln"]).alias("ln"), F.when(begins, h["brace"]).otherwise(s["brace"]).alias("brace"),
                 F.when(begins, 0).otherwise(s["depth"]).alias("depth"), F.when(begins, "").otherwise(s["body"]).alias("body"),
                 F.when(begins, F.substring(t, 1, 80)).otherwise(s["header"]).alias("header"),
             )
@@ -259,8 +292,8 @@ def function_bodies(files: DataFrame) -> DataFrame:
             ),
             lambda d: d["name"] != "",
         )
-        first = F.filter(
-            starts, lambda d: F.element_at(F.filter(starts, lambda e: e["name"] == d["name"]), 1)["ln"] == d["ln"]
+        first = let(
+            starts, lambda ds: F.filter(ds, lambda d: F.element_at(F.filter(ds, lambda e: e["name"] == d["name"]), 1)["ln"] == d["ln"])
         )
 
         def body(d: Column) -> Column:

@@ -31,8 +31,9 @@ def _python_class(first: Column) -> Column:
 
 def _first_by_name(found: Column) -> Column:
     """The first element of each name, order kept."""
-    return F.filter(
-        found, lambda f: F.element_at(F.filter(found, lambda g: g["name"] == f["name"]), 1)["def_ln"] == f["def_ln"]
+    return let(
+        found,
+        lambda fs: F.filter(fs, lambda f: F.element_at(F.filter(fs, lambda g: g["name"] == f["name"]), 1)["def_ln"] == f["def_ln"]),
     )
 
 
