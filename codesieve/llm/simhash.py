@@ -323,7 +323,8 @@ def near_duplicates(
     classes = vertices.join(linked, "fp", "left").select(
         F.col("fp").alias("vertex"), F.coalesce("component", "least").alias("component_id")
     )
-    return marked.join(classes, F.col("fp") == F.col("vertex")).select(
+    # Written, so that the skew join can split the rows of a hot fingerprint.
+    return marked.join(cut(classes), F.col("fp") == F.col("vertex")).select(
         id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
