@@ -27,7 +27,8 @@ from codesieve.llm.token_counts import tokenizer_of
 CAPACITY = 4096
 END_ID = 1
 SHARD_PIECES = 20_000
-CACHE_SIZE = 500_000
+#: Words kept, pieces encoded in one call, characters of a kept word, texts at a time.
+CACHE_SIZE, TOGETHER, LONGEST, SLICE = 800_000, 64, 128, 500
 #: The special strings and the pre-token pattern of word_bpe_49k.json (fixed values).
 SPECIALS = regex.compile(r"(<\|startoftext\|>|<\|endoftext\|>)")
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -36,33 +37,81 @@ _CACHES: dict[str, "WordIds"] = {}
 
 
 class WordIds(dict):
-    """Pre-token to its ids, as little-endian bytes; a bounded worker cache."""
+    """Raw word to its ids, as little-endian bytes: a bounded worker cache.
+
+    The tokenizer lower-cases, normalises and drops white space, and never joins
+    characters across a space, so a word's ids do not depend on its neighbours.
+    The first CACHE_SIZE words stay; others are held for one call only.
+    """
 
     def __init__(self, path: str) -> None:
-        super().__init__()
-        self.path = path
+        super().__init__({"": b""})
+        self.tokenizer = tokenizer_of(path)
+        self.pieces: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        for special in ("<|startoftext|>", "<|endoftext|>"):
+            self[special] = np.array([vocabulary[special]], "<u4").tobytes()
+
+    def learn(self, words: set[str]) -> list[str]:
+        """Encode new words together; returns those to forget after use."""
+        cut_up = {w: PATTERN.findall(_normal(w)) for w in words}
+        known = self.pieces
+        new = list({p for ps in cut_up.values() for p in ps if p not in known})
+        fresh: dict[str, bytes] = {}
+        for at in range(0, len(new), TOGETHER):
+            fresh.update(self._encode(new[at : at + TOGETHER]))
+        if len(known) < CACHE_SIZE:
+            known.update((p, ids) for p, ids in fresh.items() if len(p) <= LONGEST)
+        for w, ps in cut_up.items():
+            self[w] = b"".join([known.get(p) or fresh[p] for p in ps])
+        if len(self) > CACHE_SIZE + len(words):
+            return list(words)
+        return [w for w in words if len(w) > LONGEST]
+
+    def _encode(self, pieces: list[str]) -> dict[str, bytes]:
+        """Pieces in one call, joined by spaces; a word-end token closes each."""
+        ids = np.array(self.tokenizer.encode(" ".join(pieces), add_special_tokens=False).ids, "<u4")
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(pieces) or stops[-1] != len(ids):
+            return {p: np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes() for p in pieces}
+        raw = ids.tobytes()
+        return {p: raw[4 * lo : 4 * hi] for p, lo, hi in zip(pieces, [0, *stops[:-1].tolist()], stops.tolist())}
+
+
+def _normal(word: str) -> str:
+    if not word.isascii():
+        # Each letter is lowered by itself: a final sigma is no special case.
+        word = unicodedata.normalize("NFC", word).replace("Σ", "σ")
+    return word.lower()
+
+
+def _raw_words(text: str | None) -> list[str]:
+    if not text:
+        return []
+    out: list[str] = []
+    for k, part in enumerate(SPECIALS.split(text) if "<|" in text else [text]):
+        if k % 2:
+            out.append(part)
+        else:
+            out.extend(part.replace("\n", " ").split(" "))
+    return out
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) > CACHE_SIZE:
-            self.clear()
-        ids = np.array(tokenizer_of(self.path).encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(piece) <= 128:
-            self[piece] = ids
-        return ids
+
+def encode_all(texts: list[str | None], words: WordIds) -> list[bytes]:
+    """Ids of each text as little-endian 32-bit integers, without the end id."""
+    split = [_raw_words(t) for t in texts]
+    forget = words.learn(set().union(*split).difference(words))
+    get = words.__getitem__
+    out = [b"".join(map(get, ws)) for ws in split]
+    for w in forget:
+        del words[w]
+    return out
 
 
 def encode(text: str | None, words: WordIds) -> bytes:
-    """Ids of one text as little-endian 32-bit integers, without the end id."""
-    out = []
-    get, find = words.__getitem__, PATTERN.findall
-    for k, part in enumerate(SPECIALS.split(text or "")):
-        if k % 2:
-            out.append(get(part))
-        elif part:
-            if not part.isascii():
-                part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
-            out.extend(map(get, find(part.lower())))
-    return b"".join(out)
+    return encode_all([text], words)[0]
 
 
 def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
@@ -71,15 +120,17 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = _CACHES.setdefault(path, WordIds(path))
+        words = _CACHES.get(path) or _CACHES.setdefault(path, WordIds(path))
         for batch in batches:
             index, out = [], []
-            for row, text in enumerate(batch["text"]):
-                ids = encode(text, words) + end
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    index.append(row)
-                    out.append((k, at // 4, len(part) // 4, zlib.crc32(part)))
+            texts = batch["text"].tolist()
+            for first in range(0, len(texts), SLICE):
+                for row, ids in enumerate(encode_all(texts[first : first + SLICE], words), first):
+                    ids += end
+                    for k, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[at : at + 4 * capacity]
+                        index.append(row)
+                        out.append((k, at // 4, len(part) // 4, zlib.crc32(part)))
             frame = pd.DataFrame(out, columns=["piece", "start", "length", "ids_crc32"])
             frame.insert(0, "id", batch["id"].iloc[index].reset_index(drop=True))
             yield frame
