@@ -80,6 +80,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with ``_row``, a number of its own for each row, and ``_tie``, a hash
+    of the row. Written, so that the numbers are the same whenever it is read."""
+    hashed = [c for c, t in df.dtypes if "map<" not in t and "variant" not in t]
+    return cut(df.withColumns({"_row": F.monotonically_increasing_id(), "_tie": F.xxhash64(*hashed)}))
+
+
 def reach(df: DataFrame) -> DataFrame:
     """``df``; from now on its session's Python workers can import this package."""
     root = str(Path(__file__).resolve().parents[2])

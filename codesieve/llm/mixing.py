@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codesieve.llm.common import cut, n_words_column, words_column
+from codesieve.llm.common import cut, n_words_column, numbered, words_column
 
 BLOCK_WORDS = 128
 SHARD_DOCS = 2_000
@@ -123,6 +123,21 @@ def mix_sources(
             n_words_column(F.col(text_col)).alias("size"),
         )
     )
+    return _taken(rows, seed, max_repeat, block_words, shard_docs).select(
+        F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "taken", "start"
+    )
+
+
+def _taken(
+    rows: DataFrame,
+    seed: int = 0,
+    max_repeat: int = MAX_REPEAT,
+    block_words: int = BLOCK_WORDS,
+    shard_docs: int = SHARD_DOCS,
+    ties: tuple[str, ...] = (),
+) -> DataFrame:
+    """``rows`` (id, source, size and others) with source_size, target, taken and
+    start; ``ties`` order rows of one id and size."""
     stats = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("docs"))
     sources = source_targets(stats, max_repeat).withColumn("one", F.lit(1))
     total = F.sum("size").over(Window.partitionBy("one"))
@@ -152,7 +167,7 @@ def mix_sources(
         F.col("source").alias("s_source"), F.col("shard").alias("s_shard"), "shard_size",
         (F.col("quota") * F.col("block")).alias("run"),
     )
-    line = Window.partitionBy("source", "shard").orderBy("place", "id", "size")
+    line = Window.partitionBy("source", "shard").orderBy("place", "id", "size", *ties)
     spread = (
         placed.withColumn("end", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)))
         .join(shards, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("shard") == F.col("s_shard")))
@@ -176,7 +191,7 @@ def mix_sources(
     wrapped = overlap(F.lit(0), run_end - F.col("shard_size"))
     start = F.when(ahead > 0, F.greatest(F.col("begin"), F.col("at")) - F.col("begin")).otherwise(0)
     return spread.select(
-        F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target",
+        *rows.columns, "source_size", "target",
         (F.col("laps") * F.col("size") + ahead + wrapped).cast("long").alias("taken"),
         start.cast("long").alias("start"),
     )
@@ -186,13 +201,23 @@ def apply_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     """The mixed corpus, in the columns of ``df``: whole texts as often as they
     are taken whole, and the part that remains as a text of its own, its words
     joined by single spaces. A column ``n_chars`` follows the text. Ids repeat.
+
+    Each row has its own part of the plan, whatever its id: null and repeated
+    ids are met by a row number, which also spreads them over the join's tasks.
     """
-    plan = mix_sources(df, id_col, text_col, source_col, **options).select(
-        F.col(id_col).alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken"), F.col("start").alias("_start")
+    marked = numbered(df)
+    rows = cut(
+        marked.select(
+            "_row", "_tie", F.col(id_col).alias("id"), F.col(source_col).alias("source"),
+            n_words_column(F.col(text_col)).alias("size"),
+        )
+    )
+    plan = _taken(rows, **options, ties=("_tie",)).select(
+        "_row", F.col("size").alias("_size"), F.col("taken").alias("_taken"), F.col("start").alias("_start")
     ).where("_taken > 0")
-    joined = df.join(plan, df[id_col] == plan["_id"])
+    joined = marked.join(plan, "_row")
     whole, part = F.floor(F.col("_taken") / F.col("_size")), F.col("_taken") % F.col("_size")
-    words = words_column(df[text_col])
+    words = words_column(F.col(text_col))
     cut_text = F.array_join(
         F.slice(F.concat(words, words), (F.col("_start") + 1).cast("int"), part.cast("int")), " "
     )
@@ -200,13 +225,13 @@ def apply_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
         F.array_repeat(F.lit(False), whole.cast("int")), F.when(part > 0, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>"))
     )
     out = joined.withColumn("_part", F.explode(copies))
-    text = F.when(F.col("_part"), cut_text).otherwise(df[text_col])
+    text = F.when(F.col("_part"), cut_text).otherwise(F.col(text_col))
     columns = []
     for c in df.columns:
         if c == text_col:
             columns.append(text.alias(c))
         elif c == "n_chars":
-            columns.append(F.when(F.col("_part"), F.length(cut_text)).otherwise(df[c]).cast(df.schema[c].dataType).alias(c))
+            columns.append(F.when(F.col("_part"), F.length(cut_text)).otherwise(F.col(c)).cast(df.schema[c].dataType).alias(c))
         else:
-            columns.append(df[c])
+            columns.append(F.col(c))
     return out.select(*columns)

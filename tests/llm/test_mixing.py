@@ -1,3 +1,4 @@
+import random
 from collections import defaultdict
 
 import pytest
@@ -93,3 +94,30 @@ def test_applied_mix_matches_the_plan(docs, no_docs):
         taken[r.doc_id] += len(r.text.encode().split())
     assert {k: v for k, v in taken.items() if v} == {k: r.taken for k, r in plan.items() if r.taken}
     assert mixing.mix_sources(no_docs).count() == mixing.apply_mix(no_docs).count() == 0
+
+
+def test_applied_mix_takes_each_row_by_its_own_plan(spark):
+    """Null ids, repeated rows and two texts under one id: nothing lost or squared."""
+    rng = random.Random(3)
+    text = [" ".join(f"w{k}x{j}" for j in range(rng.randint(20, 60))) for k in range(40)]
+    data = [(k, text[k], "a") for k in range(25)] + [(None, text[k], "b") for k in (25, 26, 27, 27)]
+    data += [(7, text[28], "a"), (8, text[29], None)] + [(30, text[30], "b")] * 6
+    df = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(4)
+    plan = mixing.mix_sources(df).collect()
+    assert sum(r.taken for r in plan if r.doc_id is None) > 0
+    mixed = mixing.apply_mix(df).collect()
+    wanted, got = defaultdict(int), defaultdict(int)
+    for r in plan:
+        wanted[r.doc_id, r.source] += r.taken
+    for r in mixed:
+        got[r.doc_id, r.source] += len(r.text.split())
+        whole = [t.split() for i, t, s in data if (i, s) == (r.doc_id, r.source)]
+        assert any(r.text in " ".join(w + w) and len(r.text.split()) <= len(w) for w in whole)
+    assert dict(got) == {k: v for k, v in wanted.items() if v}
+    assert len(mixed) == sum(-(-r.taken // r.size) for r in plan if r.taken)
+    assert sorted(map(str, mixed)) == sorted(map(str, mixing.apply_mix(df.repartition(7)).collect()))
+
+
+def test_applied_mix_takes_the_plan_of_the_whole_fixture(docs):
+    mixed = mixing.apply_mix(docs).collect()
+    assert sum(len(r.text.encode().split()) for r in mixed) == sum(r.taken for r in mixing.mix_sources(docs).collect())
