@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codesieve.llm.common import SMALL_ROWS, cut, small_side
+from codesieve.llm.common import SMALL_ROWS, cut, numbered, small_side
 
 PREFIX = 256
 
@@ -74,9 +74,14 @@ def exact_dedup(
 
 
 def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` without the rows that ``exact_dedup`` drops; columns unchanged."""
-    gone = small_side(
-        exact_dedup(df, id_col, text_col).where("NOT kept").select(F.col(id_col).alias("gone")).distinct(),
-        SMALL_ROWS,
-    )
-    return df.join(gone, df[id_col].eqNullSafe(gone["gone"]), "left_anti")
+    """``df`` with one row of each text; its columns are unchanged.
+
+    The row with the largest id stays, null ids lose. Rows are judged one by one:
+    of rows that repeat id and text one stays too, and others of its id are not
+    touched.
+    """
+    rows = numbered(df)
+    each = F.struct(F.col(id_col).alias("id"), "_tie", "_row")
+    verdicts = exact_dedup(rows.select(each.alias("_key"), text_col), "_key", text_col)
+    gone = small_side(verdicts.where("NOT kept").select("_key._row"), SMALL_ROWS)
+    return rows.join(gone, "_row", "left_anti").select(*df.columns)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codesieve.llm.common import SMALL_ROWS, cut, map_frames, small_side, words_of
+from codesieve.llm.common import SMALL_ROWS, cut, map_frames, numbered, small_side, words_of
 from codesieve.llm.components import connected_components
 
 _U64 = np.uint64
@@ -330,12 +330,18 @@ def near_duplicates(
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with the row of least id of each class; its columns are unchanged."""
-    gone = small_side(
-        near_duplicates(df, id_col, text_col)
-        .where(F.col(id_col) != F.col("component_id"))
-        .select(F.col(id_col).alias("gone"))
-        .distinct(),
+    """``df`` with one row of each class; its columns are unchanged.
+
+    The row of least id stays, null ids lose. Rows are judged one by one, as in
+    ``drop_exact_duplicates``.
+    """
+    rows = numbered(df)
+    named = rows.select("_row", F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), "_tie", "_row").alias("key"))
+    members = cut(near_duplicates(rows, "_row", text_col).select("_row", "component_id").join(named, "_row"))
+    stay = small_side(
+        members.groupBy("component_id").agg(F.min("key").alias("least"), F.count("*").alias("n"))
+        .where("n > 1").select("component_id", F.col("least._row").alias("stay")),
         SMALL_ROWS,
     )
-    return df.join(gone, df[id_col] == gone["gone"], "left_anti")
+    gone = small_side(members.join(stay, "component_id").where("_row != stay").select("_row"), SMALL_ROWS)
+    return rows.join(gone, "_row", "left_anti").select(*df.columns)

@@ -35,6 +35,21 @@ def test_exact_is_native_and_drops_rows(docs, no_docs, rows):
     assert exact_dedup.exact_dedup(no_docs).count() == exact_dedup.drop_exact_duplicates(no_docs).count() == 0
 
 
+def test_drops_are_decided_row_by_row(spark):
+    """Null ids, ids with two texts and rows that repeat id and text."""
+    far = [" ".join(f"{name}{k}" for k in range(60)) for name in ("ab", "cd", "ef", "gh", "ij")]
+    data = [
+        (1, far[0]), (None, far[0]), (None, far[1]),  # a null-id copy, a null-id row of its own
+        (2, far[2]), (3, far[2]), (2, far[3]),  # id 2 has a copy and a text of its own
+        (5, far[4]), (5, far[4]), (None, "one two"), (None, "one two"), (9, None), (4, ""),
+    ]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    exact = [(r.doc_id, r.text or "") for r in exact_dedup.drop_exact_duplicates(df).collect()]
+    assert Counter(exact) == Counter([(1, far[0]), (None, far[1]), (3, far[2]), (2, far[3]), (5, far[4]), (None, "one two"), (9, "")])
+    near = [(r.doc_id, r.text or "") for r in simhash.drop_near_duplicates(df).collect()]
+    assert Counter(near) == Counter([(1, far[0]), (None, far[1]), (2, far[2]), (2, far[3]), (5, far[4]), (None, "one two"), (4, "")])
+
+
 def brute_fingerprint(text, n=4):
     words = [w.lower() for w in (text or "").encode().split()]
     if not words:
