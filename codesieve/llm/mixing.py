@@ -2,14 +2,14 @@
 
 1. Targets: the total of all sizes is shared by weight; no source goes above
    ``max_repeat`` times its own size, the excess is shared anew by weight.
-2. Seats: the total is cut into equal-token blocks. A source's next block has
-   the quotient target / (2 k + 1) after k blocks; the highest quotients win.
-   Nearly all seats of a source are known beforehand (target / block, rounded),
-   so only the few last ones are compared, not one row per block.
-3. Shards: a source's blocks are dealt to its shards by the same rule, with
-   shard sizes as votes. A hot source has many shards.
+2. Seats: a source has the equal-token blocks that fit its target, and a last one
+   cut short. The words of the last blocks are seats: a source's next word has
+   the quotient rest / (2 k + 1) after k words; the highest quotients win. Nearly
+   all seats are known beforehand, so only the few last ones are compared.
+3. Shards: a source's words are dealt to its shards by the same rule, in
+   proportion to their sizes. A hot source has many shards.
 4. Selection: a shard's documents lie on a line in seeded hash order. Its quota
-   of blocks is a run from a seeded place on that line, closed to a circle, so a
+   of words is a run from a seeded place on that line, closed to a circle, so a
    document is taken as often as the run passes it; the run may end inside one.
 """
 
@@ -23,7 +23,6 @@ from codesieve.llm.common import cut, n_words_column, numbered, words_column
 BLOCK_WORDS = 128
 SHARD_DOCS = 2_000
 MAX_REPEAT = 3
-CONTESTED = 4
 
 
 def source_targets(stats: DataFrame, max_repeat: int = MAX_REPEAT) -> DataFrame:
@@ -60,21 +59,48 @@ def source_targets(stats: DataFrame, max_repeat: int = MAX_REPEAT) -> DataFrame:
 def sainte_lague(votes: DataFrame, group: list[str], key: str, vote: Column, seats: Column, cap: Column) -> DataFrame:
     """Adds ``quota`` to ``votes``: the seats of each group by highest quotient.
 
-    ``seats`` is constant in a group, ``cap`` bounds a row's seats. Rows get the
-    seats that any rounding gives them, less ``spare``; the rest is contested
-    row by row. Ties go to the lesser key.
+    ``seats`` is constant in a group, ``cap`` bounds a row's seats. At the divisor
+    d a row has min(cap, round(vote / d)) seats. Two divisors are known between
+    which the right one lies: rows surely get what the greater one gives them,
+    and what the lesser one gives beyond is contested, some two seats a row.
+    Ties go to the lesser key.
     """
     own = Window.partitionBy(*group)
+    # Rows in the order in which their caps are reached as the divisor falls.
+    order = own.orderBy((F.col("_vote") / (F.col("_cap") + 0.5)).desc(), F.col(key).asc_nulls_last())
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    after = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    voting = F.when(F.col("_vote") > 0, 1).otherwise(0)
+    all_votes, voters = F.sum("_vote").over(own), F.sum(voting).over(own)
+    # A row has at least min(cap, vote / d - 1/2) seats; at ``_low`` these sum to
+    # all seats. Without one, the caps together do not reach the seats.
+    needed = F.col("_seats") - F.coalesce(F.sum("_cap").over(before), F.lit(0)) + F.sum(voting).over(after) / 2
+    free = (F.col("_vote") > 0) & (needed > 0) & (F.sum("_vote").over(after) * (F.col("_cap") + 0.5) >= needed * F.col("_vote"))
+    low = F.when(free, F.try_divide(F.sum("_vote").over(after), needed))
+    # And at most min(vote / d + 1/2, 2 vote / d).
+    high = F.least(
+        F.when(F.col("_seats") > voters / 2, all_votes / (F.col("_seats") - voters / 2)),
+        F.when(F.col("_seats") > 0, 2 * all_votes / F.col("_seats")),
+    )
+    place = F.row_number().over(order)
+
+    def at(divisor: str, slack: float) -> Column:
+        return F.least(F.floor(F.col("_vote") / (F.col(divisor) * (1 + slack)) + 0.5), F.col("_cap")).cast("long")
+
     sure = (
         votes.withColumn("_seats", seats).withColumn("_vote", vote).withColumn("_cap", cap)
-        .withColumn("_all", F.sum("_vote").over(own))
-        .withColumn("_fair", F.when(F.col("_all") > 0, F.col("_vote") * F.col("_seats") / F.col("_all")).otherwise(0.0))
-        .withColumn("_sure", F.greatest(F.lit(0), F.least(F.floor("_fair") - 1, F.col("_cap"))).cast("long"))
+        .withColumn("_high", high)
+        .withColumn("_first", F.when(low.isNotNull(), F.struct(place.alias("place"), low.alias("low"))))
+        .withColumn("_low", F.min("_first").over(own)["low"])
+        .withColumn(
+            "_sure",
+            F.when((F.col("_seats") <= 0) | (F.col("_vote") <= 0), F.lit(0))
+            .when(F.col("_low").isNull(), F.col("_cap")).otherwise(at("_high", 1e-12)).cast("long"),
+        )
+        .withColumn("_most", F.when((F.col("_vote") <= 0) | F.col("_low").isNull(), F.col("_sure")).otherwise(at("_low", -1e-12)))
         .withColumn("_open", F.col("_seats") - F.sum("_sure").over(own))
     )
-    # A row's quota is within a seat or so of _fair, so four seats beyond the
-    # sure ones hold all that it can win, and rows stay linear in the shards.
-    tries = F.least(F.col("_cap") - F.col("_sure"), F.greatest(F.col("_open"), F.lit(0)), F.lit(CONTESTED))
+    tries = F.least(F.col("_most") - F.col("_sure"), F.greatest(F.col("_open"), F.lit(0)))
     contested = (
         sure.where(tries > 0)
         .withColumn("_k", F.explode(F.sequence(F.col("_sure"), F.col("_sure") + tries - 1)))
@@ -94,6 +120,11 @@ def sainte_lague(votes: DataFrame, group: list[str], key: str, vote: Column, sea
     )
 
 
+def _whole(words: str) -> Column:
+    """The words of the whole blocks in ``words``."""
+    return (F.floor(F.col(words) / F.col("block")) * F.col("block")).cast("long")
+
+
 def mix_sources(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -109,8 +140,8 @@ def mix_sources(
 
     ``taken`` counts the words that the mix takes, repeats included: the whole
     text ``taken / size`` times and then a part that begins at word ``start``
-    and may wrap to the text's beginning. A source's total is within a block of
-    its target; blocks shrink on small inputs so that there are some 10,000.
+    and may wrap to the text's beginning. A source's total is its target in whole
+    words, at any size of the input.
     No row exceeds ``max_repeat`` times its size. Null text has size 0 and is
     never taken. Null sources form the last source. The order of rows with one
     id and size is irrelevant to the result. Reruns agree: all choices come from
@@ -142,15 +173,16 @@ def _taken(
     sources = source_targets(stats, max_repeat).withColumn("one", F.lit(1))
     total = F.sum("size").over(Window.partitionBy("one"))
     block = F.greatest(F.lit(1), F.least(F.lit(block_words), F.floor(total / 10_000))).cast("long")
-    sources = sources.withColumn("block", block).withColumn("seats", F.floor(total / F.col("block") + 0.5).cast("long"))
+    # Whole blocks below the target, then the words of the last ones.
+    sources = sources.withColumn("block", block).withColumn("whole", _whole("target"))
     sources = sainte_lague(
-        sources, ["one"], "source", F.col("target"), F.col("seats"),
-        F.floor(F.col("size") * max_repeat / F.col("block")).cast("long"),
-    ).withColumn("shards", F.ceil(F.col("docs") / shard_docs).cast("long"))
+        sources, ["one"], "source", F.col("target") - F.col("whole"),
+        total - F.sum("whole").over(Window.partitionBy("one")), F.col("size") * max_repeat - F.col("whole"),
+    ).withColumn("run", F.col("whole") + F.col("quota")).withColumn("shards", F.ceil(F.col("docs") / shard_docs).cast("long"))
     sources = cut(
         sources.select(
             F.col("source").alias("of_source"), F.col("size").alias("source_size"), "target", "block",
-            F.col("quota").alias("source_quota"), "shards",
+            F.col("run").alias("source_run"), "shards",
         )
     )
     placed = rows.join(sources, F.col("source").eqNullSafe(F.col("of_source"))).drop("of_source")
@@ -158,14 +190,17 @@ def _taken(
         "shard", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("place")), F.col("shards"))
     )
     shards = placed.groupBy("source", "shard").agg(
-        F.sum("size").alias("shard_size"), F.first("source_quota").alias("source_quota"), F.first("block").alias("block")
+        F.sum("size").alias("shard_size"), F.first("source_size").alias("source_size"),
+        F.first("source_run").alias("source_run"), F.first("block").alias("block"),
     )
+    fair = F.col("shard_size") * (F.col("source_run") / F.col("source_size"))
+    shards = shards.withColumn("fair", F.when(F.col("source_size") > 0, fair).otherwise(0.0)).withColumn("whole", _whole("fair"))
     shards = sainte_lague(
-        shards, ["source"], "shard", F.col("shard_size").cast("double"), F.col("source_quota"),
-        F.floor(F.col("shard_size") * max_repeat / F.col("block")).cast("long"),
+        shards, ["source"], "shard", F.col("fair") - F.col("whole"),
+        F.col("source_run") - F.sum("whole").over(Window.partitionBy("source")), F.col("shard_size") * max_repeat - F.col("whole"),
     ).select(
         F.col("source").alias("s_source"), F.col("shard").alias("s_shard"), "shard_size",
-        (F.col("quota") * F.col("block")).alias("run"),
+        (F.col("whole") + F.col("quota")).alias("run"),
     )
     line = Window.partitionBy("source", "shard").orderBy("place", "id", "size", *ties)
     spread = (

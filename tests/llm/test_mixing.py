@@ -121,3 +121,24 @@ def test_applied_mix_takes_each_row_by_its_own_plan(spark):
 def test_applied_mix_takes_the_plan_of_the_whole_fixture(docs):
     mixed = mixing.apply_mix(docs).collect()
     assert sum(len(r.text.encode().split()) for r in mixed) == sum(r.taken for r in mixing.mix_sources(docs).collect())
+
+
+@pytest.mark.parametrize("seats", [1400, 1600, 700, 3])
+def test_sainte_lague_with_many_small_voters(spark, seats):
+    from pyspark.sql import functions as F
+
+    small = 0.6 if seats == 1600 else 0.4
+    votes = {"a": 1000.0, **{f"b{k:03}": small for k in range(1000)}}
+    caps = {k: 1300 if k == "a" else 2 for k in votes}
+    df = spark.createDataFrame([("g", k, v, caps[k]) for k, v in votes.items()], "g string, k string, v double, c long")
+    out = mixing.sainte_lague(df, ["g"], "k", F.col("v"), F.lit(seats), F.col("c"))
+    assert {r.k: r.quota for r in out.collect()} == brute_seats(votes, seats, caps)
+
+
+def test_small_sources_meet_their_targets_in_a_large_input(spark):
+    """Blocks have 128 words here; sources of few words must not round to nothing."""
+    words = [("big", 2_000)] * 700 + [(f"s{k:02}", 5 + k) for k in range(60)] + [("one", 1)]
+    df = spark.createDataFrame([(k, "w " * n, s) for k, (s, n) in enumerate(words)], "doc_id long, text string, source string")
+    for shard_docs in (mixing.SHARD_DOCS, 10):
+        for source, group in by_source(mixing.mix_sources(df, shard_docs=shard_docs).collect()).items():
+            assert abs(sum(r.taken for r in group) - group[0].target) <= 1, source
