@@ -112,12 +112,19 @@ def small_side(df: DataFrame, max_rows: int) -> DataFrame:
 
 
 def bounded_ids(df: DataFrame, key: str, limit: int, seed: int = 0) -> DataFrame:
-    """At most ``limit`` keys, those of least seeded hash: a fixed sample."""
+    """At most ``limit`` keys, those of least seeded hash: a fixed sample.
+
+    A hash threshold for some four times as many rows comes first, so that only
+    those are made distinct and sorted, at any size of ``df``.
+    """
+    place = F.xxhash64(F.lit(seed), F.col(key))
+    share = min(1.0, 4 * limit / max(df.count(), 1))
+    below = F.lit(int(share * (1 << 32)))
     return (
-        df.where(F.col(key).isNotNull())
+        df.where(F.col(key).isNotNull() & (F.shiftrightunsigned(place, 32) < below))
         .select(key)
         .distinct()
-        .orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)
+        .orderBy(place, key)
         .limit(limit)
     )
 

@@ -1,19 +1,44 @@
 """Exact duplicates by progressive refinement, in DataFrame operations only.
 
 Rows are first grouped by length, then by a hash of a short prefix, and only
-the rows of groups that survive both are read in full and hashed. The keys that
-survive are broadcast behind a count; beyond it narrow rows are shuffled, never
-texts.
+the rows of groups that survive both are hashed in full. What survives a step is
+broadcast as a bit table of fixed size, so texts are never shuffled and nothing
+that is broadcast grows with the data. The table may let a row pass that it need
+not (two keys share a bit); the next step judges that row, so results are exact.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codesieve.llm.common import SMALL_ROWS, cut, numbered, small_side
+from codesieve.llm.common import SMALL_ROWS, numbered, small_side
 
 PREFIX = 256
+#: Words of 64 bits in a broadcast bit table; a power of two. At most 16 MB of bits.
+FILTER_WORDS = 1 << 20
+
+
+def _word(key: Column, words: int) -> Column:
+    return F.shiftrightunsigned(key, 6).bitwiseAND(F.lit(words - 1))
+
+
+def _bit(key: str) -> Column:
+    return F.expr(f"shiftleft(1L, CAST({key} & 63 AS INT))")
+
+
+def _repeated(keys: DataFrame, words: int) -> DataFrame:
+    """Bit table (word, bits) of the hashes ``key`` that occur more than once."""
+    again = keys.groupBy("key").count().where("count > 1")
+    return again.groupBy(_word(F.col("key"), words).alias("word")).agg(F.bit_or(_bit("key")).alias("bits"))
+
+
+def _among(df: DataFrame, key: Column, table: DataFrame, words: int) -> DataFrame:
+    """``df`` with ``again``: whether the bit of ``key`` is set in the table."""
+    rows = df.withColumn("key", key).withColumn("of_word", _word(F.col("key"), words))
+    rows = rows.join(F.broadcast(table), F.col("of_word") == F.col("word"), "left")
+    again = F.coalesce(F.col("bits").bitwiseAND(_bit("key")) != 0, F.lit(False))
+    return rows.withColumn("again", again).drop("of_word", "word", "bits", "key")
 
 
 def exact_dedup(
@@ -23,38 +48,28 @@ def exact_dedup(
     digest_all: bool = False,
     prefix: int = PREFIX,
     small_rows: int = SMALL_ROWS,
+    filter_words: int = FILTER_WORDS,
 ) -> DataFrame:
     """One row per row of ``df``: id, keep_id, group_size, kept, text_sha256.
 
     Null text equals empty text. Of equal texts the row with the largest id
     stays; null ids lose, and a group of null ids keeps a null keep_id. Rows that
     repeat both id and text cannot be told apart and are all reported kept.
-    ``text_sha256`` is null for rows that no other row resembles, unless
-    ``digest_all``. Other columns of ``df`` are ignored.
+    ``text_sha256`` is null for texts without a copy, unless ``digest_all``.
+    ``small_rows`` and ``filter_words`` decide speed only. Other columns of
+    ``df`` are ignored.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     base = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).select(
-        "id",
-        F.octet_length(text).alias("len"),
-        F.xxhash64(F.substring(text, 1, prefix)).alias("pre"),
-        text.alias("text"),
-    )
-    lengths = small_side(
-        base.groupBy("len").count().where("count > 1").select("len"), small_rows
-    )
-    heads = cut(
-        base.select("len", "pre").join(lengths, "len").groupBy("len", "pre").count()
-        .where("count > 1").select("len", "pre", F.lit(True).alias("again"))
+        "id", text.alias("text"), F.xxhash64(F.octet_length(text)).alias("len"),
+        F.xxhash64(F.octet_length(text), F.substring(text, 1, prefix)).alias("head"),
     )
-    full = F.sha2(F.col("text"), 256)
-    if heads.count() <= small_rows:
-        # The join runs in the scan: only survivors are hashed in full.
-        rows = base.join(F.broadcast(heads), ["len", "pre"], "left")
-        rows = rows.select("id", F.when(F.col("again") | F.lit(digest_all), full).alias("full"), "again")
-    else:
-        # The digest goes through the shuffle in the text's stead.
-        narrow = base.select("id", "len", "pre", full.alias("full"))
-        rows = narrow.join(heads, ["len", "pre"], "left").select("id", "full", "again")
+    lengths = _repeated(base.select(F.col("len").alias("key")), filter_words)
+    longer = _among(base, F.col("len"), lengths, filter_words).where("again")
+    heads = _repeated(longer.select(F.col("head").alias("key")), filter_words)
+    # The join runs in the scan: only survivors are hashed in full.
+    digest = F.when(F.col("again") | F.lit(digest_all), F.sha2(F.col("text"), 256))
+    rows = _among(base, F.col("head"), heads, filter_words).select("id", digest.alias("full"), "again")
     groups = small_side(
         rows.where("again").groupBy("full")
         .agg(F.max("id").alias("keep"), F.count("*").alias("n"))
@@ -64,12 +79,13 @@ def exact_dedup(
     # Rows without a group are spread over the tasks; a hot group's rows are
     # split by the skew join, as both sides come straight from a shuffle.
     key = F.when(F.col("again"), F.col("full")).otherwise(F.col("id").cast("string"))
+    alone = F.col("n").isNull()
     return rows.withColumn("key", key).join(groups, F.col("key") == F.col("digest"), "left").select(
         F.col("id").alias(id_col),
-        F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep")).alias("keep_id"),
+        F.when(alone, F.col("id")).otherwise(F.col("keep")).alias("keep_id"),
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
-        F.when(F.col("n").isNull(), True).otherwise(F.col("id").eqNullSafe(F.col("keep"))).alias("kept"),
-        F.col("full").alias("text_sha256"),
+        F.when(alone, True).otherwise(F.col("id").eqNullSafe(F.col("keep"))).alias("kept"),
+        F.when(~alone | F.lit(digest_all), F.col("full")).alias("text_sha256"),
     )
 
 

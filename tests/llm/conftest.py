@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-EXTRA = "id string, fp string, h string, len string, pre string, n string, keep string, found string, place string, gone string, trusted string, chosen string"
+EXTRA = "id string, fp string, h string, len string, head string, key string, word string, bits string, again string, n string, keep string, found string, place string, gone string, trusted string, chosen string"
 
 
 def words(rng, n):
