@@ -4,16 +4,20 @@ Texts become token ids; only those longer than a sequence are cut. Full pieces
 are sequences of their own. The others are dealt by hash to shards of some
 ``shard_pieces`` pieces, and each shard is packed longest first: a segment tree
 over remaining capacities finds the tightest open sequence in logarithmic time.
-A shard leaves less than one sequence's worth unfilled beyond what best fit
-leaves, so large shards cost nothing measurable against packing all at once.
+
+Best fit leaves at most one sequence of a shard half empty or more. Those are
+packed once more, as pieces, in shards of their own, so that the number of shards
+does not show in the number of sequences.
 """
 
 from __future__ import annotations
 
 import gc
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -22,8 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codesieve.llm.common import cut, map_frames, reach
-from codesieve.llm.token_counts import tokenizer_of
+from codesieve.llm.common import SMALL_ROWS, cut, map_frames, reach, small_side
+from codesieve.llm.token_counts import characters, odd_letters, pattern_of, tokenizer_of
 
 CAPACITY = 4096
 END_ID = 1
@@ -44,12 +48,14 @@ class WordIds(dict):
 
     The tokenizer lower-cases, normalises and drops white space, and never joins
     characters across a space, so a word's ids do not depend on its neighbours.
-    The first CACHE_SIZE words stay; others are held for one call only.
+    The first CACHE_SIZE words stay; others are held for one call only. Words with
+    a character that ``odd`` finds go to the tokenizer whole.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, odd: str | None = None) -> None:
         super().__init__({"": b""})
         self.tokenizer = tokenizer_of(path)
+        self.odd = re.compile(pattern_of(odd_characters(path)) if odd is None else odd)
         self.pieces: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -59,7 +65,10 @@ class WordIds(dict):
 
     def learn(self, words: set[str]) -> list[str]:
         """Encode new words together; returns those to forget after use."""
-        known, cut_up = self.pieces, {w: _cut(w) for w in words}
+        strange = [w for w in words if not w.isascii() and self.odd.search(w)]
+        for w in strange:
+            self[w] = self._ids(w)
+        known, cut_up = self.pieces, {w: _cut(w) for w in words.difference(strange)}
         new = list(set().union(*cut_up.values()).difference(known))
         fresh: dict[str, bytes] = {}
         for at in range(0, len(new), TOGETHER):
@@ -72,16 +81,33 @@ class WordIds(dict):
             return list(words)
         return [w for w in words if len(w) > LONGEST]
 
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def _encode(self, pieces: list[str]) -> dict[str, bytes]:
         """Pieces in one call, joined by spaces; a word-end token closes each."""
         ids = np.array(self.tokenizer.encode(" ".join(pieces), add_special_tokens=False).ids, "<u4")
         stops = np.flatnonzero(self.ends[ids]) + 1
         if len(stops) != len(pieces) or stops[-1] != len(ids):
-            return {p: np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes() for p in pieces}
+            return {p: self._ids(p) for p in pieces}
         raw = ids.tobytes()
         return {p: raw[4 * lo : 4 * hi] for p, lo, hi in zip(pieces, [0, *stops[:-1].tolist()], stops.tolist())}
 
 
+@lru_cache
+def odd_characters(path: str) -> frozenset[str]:
+    """Characters that the tokenizer classes or normalises by another Unicode version."""
+    every, normal = characters().replace("|", ""), tokenizer_of(path).normalizer.normalize_str
+    # A character whose small form is several may leave marks in another order.
+    odd = set(odd_letters()) | {c for c in every if len(c.lower()) > 1}
+    # Alone, between a letter and a mark of the lowest class, before one of the highest.
+    for before, after in (("", ""), ("a", "\u0334"), ("", "\u0345")):
+        framed = "|".join(before + c + after for c in every)
+        theirs, ours = normal(framed).split("|"), re.sub(r"\s", " ", _normal(framed)).split("|")
+        odd.update(c for c, x, y in zip(every, theirs, ours, strict=True) if x != y and not c.isspace())
+    return frozenset(odd)
+
+
 def _normal(word: str) -> str:
     if not word.isascii():
         # Each letter is lowered by itself: a final sigma is no special case.
@@ -138,9 +164,10 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     """(id, piece, start, length, ids_crc32): one row per piece of each text."""
     path = path or public_tokenizers.path("word_bpe_49k.json")
     end = np.array([END_ID], "<u4").tobytes()
+    odd = pattern_of(odd_characters(path))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = _CACHES.get(path) or _CACHES.setdefault(path, WordIds(path))
+        words = _CACHES.get(path) or _CACHES.setdefault(path, WordIds(path, odd))
         for batch in batches:
             index, out = [], []
             texts = batch["text"].tolist()
@@ -222,26 +249,46 @@ def pack(
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null and empty texts are one piece that holds the end id. Repeated rows are
-    packed as often as they come. Reruns agree up to the order of equal pieces.
-    Other columns of ``df`` are ignored.
+    packed as often as they come, and spread over the shards. Reruns agree where
+    the pieces come in the same partitions. Other columns of ``df`` are ignored.
     """
     cut_pieces = cut(pieces(df, id_col, text_col, path, capacity).withColumnRenamed(id_col, "id"))
-    shards = max(1, round(cut_pieces.where(F.col("length") < capacity).count() / shard_pieces))
     full = F.col("length") == capacity
-    dealt = cut_pieces.where(~full).withColumn(
-        "shard", F.pmod(F.xxhash64(F.lit(seed), "id", "start", "length", "ids_crc32"), F.lit(shards)).cast("int")
+    alone = cut_pieces.where(full).select(
+        *cut_pieces.columns, (F.lit(-1) - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
+    )
+    packed = cut(_packed(cut_pieces.where(~full), capacity, shard_pieces, seed))
+    # At most one sequence of a shard is half empty or more; these make new ones.
+    open_ = packed.groupBy("sequence_id").agg(F.sum("length").alias("length")).where(F.col("length") * 2 <= capacity)
+    merged = _packed(cut(open_.withColumnRenamed("sequence_id", "old")), capacity, shard_pieces, seed + 1)
+    merged = small_side(
+        merged.select(
+            "old", (F.col("sequence_id") + (1 << 62)).alias("new"), F.col("offset").alias("ahead")
+        ),
+        SMALL_ROWS,
+    )
+    joined = packed.join(merged, F.col("sequence_id") == F.col("old"), "left").select(
+        "id", "piece", "start", "length", "ids_crc32", F.coalesce("new", "sequence_id").alias("sequence_id"),
+        (F.col("offset") + F.coalesce("ahead", F.lit(0))).alias("offset"),
     )
+    return joined.union(alone).withColumnRenamed("id", id_col)
+
+
+def _packed(rows: DataFrame, capacity: int, shard_pieces: int, seed: int) -> DataFrame:
+    """``rows``, which must be written, with sequence_id and offset by ``length``.
+
+    Rows are dealt by number, so that a shard holds some ``shard_pieces`` of them
+    whatever they hold.
+    """
+    shards = max(1, round(rows.count() / shard_pieces))
+    dealt = rows.withColumn("_row", F.monotonically_increasing_id())
+    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "_row"), F.lit(shards)).cast("int"))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["length", "ids_crc32", "id", "piece"], ascending=[False, True, True, True], kind="stable")
+        frame = frame.sort_values(["length", "_row"], ascending=[False, True])
         sequences, offsets = best_fit_decreasing(frame["length"].tolist(), capacity)
         number = np.array(sequences, np.int64) + (frame["shard"].to_numpy(np.int64) << 32)
-        return frame.drop(columns="shard").assign(sequence_id=number, offset=np.array(offsets, np.int64))
+        return frame.drop(columns=["shard", "_row"]).assign(sequence_id=number, offset=np.array(offsets, np.int64))
 
-    kind = df.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    packed = reach(dealt).groupBy("shard").applyInPandas(run, schema)
-    alone = cut_pieces.where(full).select(
-        *cut_pieces.columns, (F.lit(-1) - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
-    )
-    return packed.union(alone).withColumnRenamed("id", id_col)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", sequence_id long, offset long"
+    return reach(dealt).groupBy("shard").applyInPandas(run, schema)
