@@ -1,11 +1,13 @@
 """Main text of HTML pages by the maximum-scoring subsequence.
 
 A page is read once as a sequence of words and tags. Words score positive and
-tags negative by default; the weights are log ratios fitted on labelled pages,
-those that mark their own article (``<article>`` or ``<main>``), per kind of tag
-and per kind of block that a word stands in. One linear scan finds the
-contiguous region of greatest sum. Inside it, what never is running text
-(scripts, forms, asides, comments) is left out.
+tags negative by default; the scores are log ratios fitted on labelled pages,
+those that mark their own article (``<article>`` or ``<main>``). The score of a
+word adds up: the kind of block that it stands in, and the marks of the elements
+around it, which are their tag (``nav``, ``aside`` and the like) and their class,
+id and role. One linear scan finds the contiguous region of greatest sum. Inside
+it, a marked element whose words score below zero in total is left out. Scripts,
+styles and form fields are no words at all.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,146 +27,228 @@ from pyspark.sql import functions as F
 from codesieve.llm.common import bounded_ids, map_frames
 
 SAMPLE_PAGES = 1_000
+#: Kinds of the model, the commonest of the sample; others score by default.
 MAX_KINDS = 4_096
-#: Weights without any label: a word is text, a tag is not.
-WORD_WEIGHT, TAG_WEIGHT = 1.0, -0.75
+#: Scores without any label: a word is text, a tag is not, a boilerplate mark less so.
+WORD_WEIGHT, TAG_WEIGHT, MARK_WEIGHT = 1.0, -0.3, -2.5
 #: Pseudo-counts that hold a fitted weight near these.
 PRIOR = 5.0
-CLIP = 6.0
+CLIP = 4.0
 
+#: A quote opens a value only where a value begins; one that never closes does not.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)>?|[^<]+|<",
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
+    r"|<(/?)([A-Za-z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]++)?)?)*+)>?|[^<]++|<",
     re.S,
 )
-ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-RAW = {"script", "style", "textarea", "title", "xmp", "noembed", "noframes"}
+ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s>]++)?)?", re.S)
+RAW = {"script", "style", "textarea", "title", "xmp", "noembed", "noframes", "iframe"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins",
     "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
 }
-#: Elements that never hold running text of an article.
-DROPPED = {
-    "script", "style", "noscript", "template", "svg", "canvas", "iframe", "object", "nav", "footer", "aside", "form",
-    "button", "select", "dialog", "menu", "head", "title", "textarea", "xmp", "noembed", "noframes",
+#: Elements whose content is no text of the page.
+NO_TEXT = {
+    "script", "style", "noscript", "template", "svg", "canvas", "iframe", "object", "button", "select", "head", "title",
+    "textarea", "xmp", "noembed", "noframes",
 }
-#: Words in class, id or role that mark such a block.
-BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|breadcrumbs?|comments?|complementary|consent|contentinfo|cookies?|disqus|"
-    r"footer|masthead|menu|nav|navbar|navigation|newsletter|notices?|pagination|popup|promo\w*|related|replies|share|"
-    r"sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])",
-    re.I,
+#: Elements that HTML means for other things than running text.
+ASIDE = {"nav", "footer", "aside", "form", "menu", "dialog"}
+#: Class, id and role words of such blocks, and words that may follow them.
+BOILERPLATE = frozenset(
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent "
+    "contentinfo cookie cookies disqus footer masthead menu nav navbar navigation newsletter notice notices pagination popup promo "
+    "promotion related replies share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
+)
+HOLDERS = frozenset(
+    "area bar block bottom box buttons container content form icons inner items left links list main outer overlay panel posts "
+    "right section slot space stories thread top unit wrap wrapper".split()
 )
 CONTENT = {"article", "main"}
+#: Elements that are the page or its article, or name a part of it: never boilerplate by a class.
+NEUTRAL = {"html", "body", "article", "main", "h1", "h2", "h3", "h4", "h5", "h6"}
 #: Open elements that a new block closes, as browsers do.
 CLOSED_BY_BLOCK = {"p", "h1", "h2", "h3", "h4", "h5", "h6"}
 
 
-def _marks(name: str, attributes: str) -> str:
-    found = " ".join(m[2].strip("\"'") for m in ATTRIBUTE.finditer(attributes)) if attributes else ""
-    return found
+def boilerplate_word(word: str) -> bool:
+    """Whether a whole class word names boilerplate: ``ad``, ``cookie-notice``,
+    ``related-posts``; not ``has-sidebar``, ``comments-open`` or ``related-work``."""
+    first, *rest = re.split(r"[-_]+", word.lower().strip("-_"))
+    return first in BOILERPLATE and all(x in BOILERPLATE or x in HOLDERS or x.isdigit() for x in rest)
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, bool, bool]]:
-    """(kind, text, dropped, inside) in page order.
+@dataclass
+class Page:
+    """A page in order: ``kinds`` and ``texts`` of its tokens, whether each lies in
+    the labelled article, and the marked elements as (marks, start, end).
 
     Text tokens have kind ``w:block`` and their decoded text; tags have kind
-    ``<name`` or ``</name`` with class words, and a text of None for inline tags
-    and '' for those that end a block. ``dropped`` holds within boilerplate,
-    ``inside`` within an article.
+    ``<name`` or ``</name``, and a text of None for inline tags and '' for those
+    that end a block. ``labelled`` holds if the page marks an article.
     """
-    stack: list[tuple[str, bool, bool, str]] = []  # name, dropped, inside, kind of block
+
+    kinds: list[str] = field(default_factory=list)
+    texts: list[str | None] = field(default_factory=list)
+    inside: list[bool] = field(default_factory=list)
+    spans: list[tuple[list[str], int, int]] = field(default_factory=list)
+    labelled: bool = False
+
+
+def _marks(name: str, attributes: str, inside: bool) -> list[str]:
+    marks = [f"!{name}"] if name in ASIDE or (name == "header" and not inside) else []
+    if name not in NEUTRAL and attributes:
+        for m in ATTRIBUTE.finditer(attributes):
+            if m[2] and m[1].lower() in ("class", "id", "role"):
+                marks += [f".{w.lower()}" for w in html.unescape(m[2].strip("\"'")).split()]
+    return marks
+
+
+def parse(page: str | None) -> Page:
+    """The page's tokens in one pass, linear in its length whatever the markup."""
+    out = Page()
+    page = page or ""
+    # name, no text, in the article, not of the article, kind of block, marks, start
+    stack: list[tuple[str, bool, bool, bool, str, list[str], int]] = []
+    open_names: Counter = Counter()
+    closable = 0
+
+    def pop() -> None:
+        nonlocal closable
+        name, _, _, _, _, marks, start = stack.pop()
+        open_names[name] -= 1
+        closable -= name in CLOSED_BY_BLOCK
+        if marks:
+            out.spans.append((marks, start, len(out.kinds)))
+
+    def state() -> tuple[bool, bool, bool, str]:
+        return stack[-1][1:5] if stack else (False, False, False, "body")
+
+    def add(kind: str, text: str | None, inside: bool) -> None:
+        out.kinds.append(kind)
+        out.texts.append(text)
+        out.inside.append(inside)
+
     at, n = 0, len(page)
     while at < n:
         m = TOKEN.match(page, at)
         at = m.end()
         piece = m[0]
-        dropped, inside, block = (stack[-1][1], stack[-1][2], stack[-1][3]) if stack else (False, False, "body")
+        silent, inside, other, block = state()
         if piece[0] != "<" or piece == "<":
-            yield f"w:{block}", html.unescape(piece), dropped, inside
+            if not silent:
+                add(f"w:{block}", html.unescape(piece), inside and not other)
             continue
         if m[2] is None:
             continue
         name = m[2].lower()
         spacing = None if name in INLINE else ""
         if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
-            yield f"</{name}", spacing, dropped, inside
+            if open_names[name]:
+                while stack[-1][0] != name:
+                    pop()
+                pop()
+            if not silent:
+                add(f"</{name}", spacing, inside and not other)
             continue
-        marks = _marks(name, m[3])
-        bad = bool(marks) and bool(BOILERPLATE.search(marks))
         if name not in INLINE:
-            while stack and stack[-1][0] in INLINE:  # an inline element left open ends with its block
-                if not any(x[0] in CLOSED_BY_BLOCK for x in stack):
-                    break
-                stack.pop()
+            if closable:  # an inline element left open ends with its block
+                while stack[-1][0] in INLINE:
+                    pop()
             if stack and stack[-1][0] in CLOSED_BY_BLOCK and name not in VOID:
-                stack.pop()
+                pop()
             if name == "li" and stack and stack[-1][0] == "li":
-                stack.pop()
-            dropped, inside, block = (stack[-1][1], stack[-1][2], stack[-1][3]) if stack else (False, False, "body")
-        header = name == "header" and not inside
-        here_dropped = dropped or name in DROPPED or bad or header
-        here_inside = inside or name in CONTENT
-        here_block = block
-        if name not in INLINE:
-            here_block = "dropped" if here_dropped else name
-        elif name == "a" and block != "dropped":
-            here_block = f"{block}.a" if not block.endswith(".a") else block
-        yield f"<{name}{'!' if bad else ''}", spacing, here_dropped, here_inside
-        if name in VOID or m[3].endswith("/"):
+                pop()
+            silent, inside, other, block = state()
+        marks = [] if silent else _marks(name, m[3], inside)
+        if name not in INLINE and name not in CONTENT and name != "html":
+            block = name
+        elif name == "a" and not block.endswith(".a"):
+            block = f"{block}.a"
+        here = inside or name in CONTENT
+        out.labelled |= name in CONTENT
+        other = other or any(w[0] == "!" or boilerplate_word(w[1:]) for w in marks)
+        start = len(out.kinds)
+        if not silent and name not in NO_TEXT:
+            add(f"<{name}", spacing, here and not other)
+        if name in VOID or m[3].endswith("/") and name not in CONTENT:
             continue
         if name in RAW:
             end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
             if end is None:
-                return
+                break
             at = end.end()
-            yield f"</{name}", spacing, here_dropped, here_inside
             continue
-        stack.append((name, here_dropped, here_inside, here_block))
+        stack.append((name, silent or name in NO_TEXT, here, other, block, marks, start))
+        open_names[name] += 1
+        closable += name in CLOSED_BY_BLOCK
+    while stack:
+        pop()
+    return out
+
+
+def _default(kind: str) -> float:
+    if kind[0] == "w":
+        return WORD_WEIGHT
+    if kind[0] == "!":
+        return MARK_WEIGHT
+    if kind[0] == ".":
+        return MARK_WEIGHT if boilerplate_word(kind[1:]) else 0.0
+    return TAG_WEIGHT
 
 
 def weight_of(kind: str, weights: dict[str, float]) -> float:
     found = weights.get(kind)
-    if found is not None:
-        return found
-    return WORD_WEIGHT if kind[0] == "w" else TAG_WEIGHT
+    return _default(kind) if found is None else found
 
 
 def fit_counts(page: str | None) -> Counter | None:
-    """(kind, inside) counts of one labelled page; None if it has no article."""
+    """(kind, inside) counts of one labelled page; None if it has no article.
+
+    A block's kind counts its words, a mark those of its elements.
+    """
     seen: Counter = Counter()
-    labelled = False
-    for kind, text, _, inside in tokens(page or ""):
-        labelled |= inside
-        n = len(text.split()) if kind[0] == "w" else 1
-        if n and kind not in ("<article", "</article", "<main", "</main"):
+    parsed = parse(page)
+    if not parsed.labelled:
+        return None
+    sums = {True: [0], False: [0]}
+    for kind, text, inside in zip(parsed.kinds, parsed.texts, parsed.inside):
+        words = len(text.split()) if kind[0] == "w" else 0
+        for side in (True, False):
+            sums[side].append(sums[side][-1] + words * (side == inside))
+        n = words if kind[0] == "w" else 1
+        if n and kind.strip("</") not in CONTENT:
             seen[kind, inside] += n
-    return seen if labelled else None
+    for marks, start, end in parsed.spans:
+        for mark in marks:
+            for side in (True, False):
+                n = sums[side][end] - sums[side][start]
+                if n:
+                    seen[mark, side] += n
+    return seen
 
 
 def weights_from(counts: list[tuple[str, bool, int]]) -> dict[str, float]:
-    """log P(kind | inside) / P(kind | outside), shrunk to the default signs."""
-    total = {True: 0.0, False: 0.0}
+    """log P(kind | inside) / P(kind | outside), shrunk to the defaults."""
+    total = {(tag, side): 0.0 for tag in (True, False) for side in (True, False)}
     by: dict[str, dict[bool, float]] = {}
     for kind, inside, n in counts:
-        total[inside] += n
+        if kind[0] in "w<":
+            total[kind[0] == "<", inside] += n
         by.setdefault(kind, {True: 0.0, False: 0.0})[inside] += n
     out = {}
     for kind, n in by.items():
-        default = WORD_WEIGHT if kind[0] == "w" else TAG_WEIGHT
-        a = (n[True] + PRIOR * math.exp(default / 2)) / (total[True] + 2 * PRIOR)
-        b = (n[False] + PRIOR * math.exp(-default / 2)) / (total[False] + 2 * PRIOR)
+        tag, default = kind[0] == "<", _default(kind)
+        a = (n[True] + PRIOR * math.exp(default / 2)) / (total[tag, True] + 2 * PRIOR)
+        b = (n[False] + PRIOR * math.exp(-default / 2)) / (total[tag, False] + 2 * PRIOR)
         ratio = max(-CLIP, min(CLIP, math.log(a / b)))
-        # Words stay positive and tags negative; labels set how much, except for
-        # words of blocks that the labels put outside.
-        if kind[0] == "w":
-            out[kind] = ratio if ratio < 0 else max(ratio, 0.1)
-        else:
-            out[kind] = min(ratio, -0.05)
+        # Tags stay negative and boilerplate marks do; labels set how much.
+        if tag:
+            ratio = min(ratio, -0.05)
+        elif default < 0:
+            ratio = min(ratio, MARK_WEIGHT / 2)
+        out[kind] = ratio
     return out
 
 
@@ -179,24 +265,57 @@ def best_region(weights: list[float]) -> tuple[int, int]:
     return best[1], best[2]
 
 
-def extract(page: str | None, weights: dict[str, float]) -> str:
-    """The main text: blocks in page order, joined by one space."""
-    sequence = list(tokens(page or ""))
+def _word_scores(page: Page, weights: dict[str, float], blocks: dict[str, float]) -> tuple[list[float], list[float]]:
+    """The score of each token, and the sum of its elements' marks."""
+    steps = [0.0] * (len(page.kinds) + 1)
+    for marks, start, end in page.spans:
+        w = sum(weight_of(m, weights) for m in marks)
+        steps[start] += w
+        steps[end] -= w
+    marked = list(accumulate(steps))
     scores = []
-    for kind, text, dropped, _ in sequence:
-        w = weight_of(kind, weights)
+    for kind, text, extra in zip(page.kinds, page.texts, marked):
         if kind[0] == "w":
-            w *= len(text.split())
-        # What is left out anyway neither ends a region nor makes one.
-        scores.append(0.0 if dropped else w)
-    start, end = best_region(scores)
+            scores.append(len(text.split()) * max(-CLIP, min(CLIP, weight_of(kind, blocks) + extra)))
+        else:
+            scores.append(weight_of(kind, blocks))
+    return scores, marked
+
+
+def region_of(page: Page, weights: dict[str, float]) -> tuple[int, int, list[float]]:
+    """(start, end, scores) of the best region.
+
+    Where no run of blocks scores above zero with the fitted weights, as on a page
+    built from blocks that labelled pages use for other things, blocks score by default.
+    """
+    for blocks in (weights, {}):
+        scores, _ = _word_scores(page, weights, blocks)
+        start, end = best_region(scores)
+        if end > start:
+            break
+    return start, end, scores
+
+
+def extract(page: str | None, weights: dict[str, float]) -> str:
+    """The main text: blocks in page order, joined by one space."""
+    parsed = parse(page)
+    start, end, scores = region_of(parsed, weights)
+    sums = [0.0, *accumulate(s if k[0] == "w" else 0.0 for s, k in zip(scores, parsed.kinds))]
+    depth = [0] * (len(scores) + 1)
+    for marks, lo, hi in parsed.spans:
+        if sums[hi] < sums[lo] and sum(weight_of(m, weights) for m in marks) < 0:
+            depth[lo] += 1
+            depth[hi] -= 1
     parts = []
-    for kind, text, dropped, _ in sequence[start:end]:
-        if kind[0] == "w":
-            if not dropped:
-                parts.append(text)
-        elif text is not None:
-            parts.append(" ")
+    for k, left_out in enumerate(accumulate(depth[:end])):
+        if k < start:
+            continue
+        text = parsed.texts[k]
+        if parsed.kinds[k][0] != "w":
+            if text is not None:
+                parts.append(" ")
+        elif not left_out:
+            parts.append(text)
     return " ".join("".join(parts).split())
 
 
@@ -230,7 +349,7 @@ def extract_pages(
     """One row per row of ``df``: id, url, text, n_chars.
 
     Null and empty pages, and pages without a region of positive score, have
-    empty text. White space inside a block becomes one space. Cut-off tags at
+    empty text. An attribute's quote counts only where its value begins. White space inside a block becomes one space. Cut-off tags at
     the end of a page are tags, cut-off references stay as they are. Repeated
     rows and null ids stay. Other columns of ``df`` are ignored.
     """

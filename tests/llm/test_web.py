@@ -2,7 +2,8 @@ import html
 import math
 import random
 import re
-from collections import defaultdict
+import time
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -59,11 +60,70 @@ def test_given_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").withColumnRenamed("url", "url").coalesce(2)
     got = {r.page_id: r for r in html_extract.extract_pages(pages).collect()}
     for p in pages.collect():
-        article = re.search(r"<article>(.*?)</article>", p.html, re.S)[1]
-        text = " ".join(html.unescape(re.sub(r"</?b>", "", re.sub(r"</?(?:p|h1|br)>", " ", article))).split())
+        text = article_text(p.html)
         assert got[p.page_id].text == text and got[p.page_id].n_chars == len(text) and got[p.page_id].url == p.url
 
 
+def article_text(page):
+    article = re.search(r"<article>(.*?)</article>", page, re.S)[1]
+    return " ".join(html.unescape(re.sub(r"</?b>", "", re.sub(r"</?(?:p|h1|br)>", " ", article))).split())
+
+
+def unmarked(page):
+    """The page without a word of what its parts are for: no article, nav, footer or class."""
+    page = re.sub(r"</?article>", "", page)
+    page = re.sub(r"<(/?)(?:nav|footer)>", r"<\1div>", page)
+    return page.replace('<div class="ad">', "<div>")
+
+
+def test_the_region_decides_on_held_out_pages(spark, monkeypatch):
+    """Weights from some pages judge others that lost every mark; nothing but
+    the region can leave menus, adverts and footers out of those."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").orderBy("page_id").collect()]
+    counts = Counter()
+    for page in pages[:125]:
+        counts.update(html_extract.fit_counts(page))
+    weights = html_extract.weights_from([(k, i, n) for (k, i), n in counts.items()])
+
+    def right():
+        return sum(html_extract.extract(unmarked(p), weights) == article_text(p) for p in pages[125:])
+
+    assert right() >= 0.95 * len(pages[125:])
+    monkeypatch.setattr(html_extract, "best_region", lambda scores: (0, len(scores)))
+    assert right() == 0
+
+
+def test_attributes():
+    for page in ("<p title=it's>one two</p><p>don't three</p><p>four", "<p title=a\"b>one two</p><p>don't three</p><p>four", "<p title='it\"s' =x \"y>one two<p>don't three<p>four"):
+        assert html_extract.extract(page, {}) == "one two don't three four"
+    assert html_extract.extract("<p>a > b < c</p><p title='x>y'>d</p><p title=\"open>e f</p>", {}) == "a > b < c d e f"
+
+
+@pytest.mark.parametrize("word, bad", [("ad", True), ("ad-banner", True), ("Cookie-Notice", True), ("related-posts", True), ("sidebar-left", True), ("has-sidebar", False), ("comments-open", False), ("related-work", False), ("post", False), ("", False)])
+def test_class_words(word, bad):
+    assert html_extract.boilerplate_word(word) == bad
+    page = f'<p>before words</p><div class="box {word}"><p>some more words</p></div><p>after words</p>'
+    assert ("some more" not in html_extract.extract(page, {})) == bad
+
+
+def test_the_page_itself_is_never_boilerplate():
+    page = '<body class="no-sidebar ad"><article class="post comments-open comments"><header><h2 id="related">Title of words</h2></header><p>text words here</p></article></body>'
+    assert html_extract.extract(page, {}) == "Title of words text words here"
+
+
+@pytest.mark.parametrize("part, close", [("<div>", "</span>"), ("<p><b>", ""), ("<div class=a>", "</p>"), ("<a b='", ""), ("<!-", ""), ("<x y=\"z'", "</x"), ("<", ""), ("&am", ""), ("<script>", "</scrip")])
+def test_long_bad_markup_takes_linear_time(part, close):
+    def seconds(n):
+        page = "<p>words of text</p>" + part * n + close * n
+        begin = time.process_time()
+        html_extract.extract(page, {})
+        return time.process_time() - begin
+
+    n = 1_000_000 // (len(part) + len(close))
+    seconds(1000)
+    assert seconds(n) < 6 * seconds(n // 4) + 0.5
+
+
 def test_tables_with_gaps(spark):
     df = spark.createDataFrame([(1, None, None, "a"), (1, None, None, "a"), (None, "u", "<p>x y</p>", "b")], "page_id long, url string, html string, text string")
     got = html_extract.extract_pages(df).collect()
