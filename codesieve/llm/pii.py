@@ -9,7 +9,9 @@ segment is bounded (``MAX_SEGMENT`` tokens); all other tokens are outside.
 
 Zones are the places where a candidate can lie: digit groups, "@", "at ... dot".
 The rest of a text is outside whatever the weights, so the program over zones
-equals one over the whole text.
+equals one over the whole text. A zone of any length is decoded whole: candidates
+are scored a stretch of tokens at a time and the program runs on, so time is linear
+in the zone and only the borders chosen so far are held.
 
 Weights are fitted on at most ``sample_docs`` rows: base spans there and variants
 of them (other separators, no plus sign, words for signs) are the segments, all
@@ -20,13 +22,16 @@ touch one, with at least ``MIN_ODDS`` of log odds over leaving them out.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import math
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +40,8 @@ from codesieve.llm.common import bounded_ids, map_frames
 KINDS = ("email", "ip", "card", "phone")
 MAX_SEGMENT = 24
 SAMPLE_DOCS = 2_000
-SAMPLE_ZONES = 400
+#: Zones that fit the model, and the length up to which a zone is one of them.
+SAMPLE_ZONES, LONGEST_LABELLED = 400, 400
 MIN_ODDS = 1.0
 CONTEXT = 24
 
@@ -103,36 +109,31 @@ ZONE = re.compile(
     re.I,
 )
 PIECE = re.compile(r"[0-9]+|[A-Za-z]+|\s+|.", re.S)
-MAX_ZONE = 400
+#: Tokens whose candidates are scored together.
+STRETCH = 256
 
 
 def zones(text: str) -> Iterator[tuple[int, int]]:
-    """Bounded, disjoint stretches of text that may hold a segment."""
+    """Disjoint stretches of text that may hold a segment."""
     for m in ZONE.finditer(text):
-        start, end = m.span()
-        while end - start > MAX_ZONE:
-            split = text.rfind(" ", start + MAX_ZONE // 2, start + MAX_ZONE)
-            split = split + 1 if split > 0 else start + MAX_ZONE
-            yield start, split
-            start = split
-        if end > start:
-            yield start, end
+        yield m.span()
 
 
 def segments(zone: str) -> tuple[list[int], list[tuple[int, int]]]:
-    """Token bounds of a zone and candidate (first, last) bounds.
+    """Token bounds of a zone and candidate (first, last) bounds, by first.
 
     A candidate begins and ends at a letter, digit, '+' or bracket and has at
     most MAX_SEGMENT tokens.
     """
     bounds = [0, *(m.end() for m in PIECE.finditer(zone))]
-    opens = [k for k in range(len(bounds) - 1) if zone[bounds[k]].isalnum() or zone[bounds[k]] in "+("]
-    closes = [k for k in range(1, len(bounds)) if zone[bounds[k] - 1].isalnum()]
+    n = len(bounds) - 1
+    closes = [k > 0 and zone[bounds[k] - 1].isalnum() for k in range(n + 1)]
     pairs = []
-    for i in opens:
-        for j in closes:
-            if i < j <= i + MAX_SEGMENT and bounds[j] - bounds[i] >= 7:
-                pairs.append((i, j))
+    for i in range(n):
+        if zone[bounds[i]].isalnum() or zone[bounds[i]] in "+(":
+            for j in range(i + 1, min(i + MAX_SEGMENT, n) + 1):
+                if closes[j] and bounds[j] - bounds[i] >= 7:
+                    pairs.append((i, j))
     return bounds, pairs
 
 
@@ -202,25 +203,22 @@ def features(segment: str, before: str, after: str) -> np.ndarray:
     return f
 
 
+def _features_of(text: str, start: int, bounds: list[int], pairs: list[tuple[int, int]]) -> np.ndarray:
+    """Features of candidates, with CONTEXT characters before and 12 after."""
+    rows = []
+    for i, j in pairs:
+        lo, hi = start + bounds[i], start + bounds[j]
+        rows.append(features(text[lo:hi], text[max(0, lo - CONTEXT) : lo], text[hi : hi + 12]))
+    return np.array(rows).reshape(len(pairs), len(FEATURES))
+
+
 class Zone:
-    """One zone: its candidates, their features and, in training, its segments."""
+    """One zone in training: its candidates and their features."""
 
     def __init__(self, text: str, start: int, end: int) -> None:
-        zone = text[start:end]
         self.start = start
-        self.bounds, self.pairs = segments(zone)
-        left = text[max(0, start - CONTEXT) : start]
-        right = text[end : end + 12]
-        self.x = np.array(
-            [
-                features(
-                    zone[self.bounds[i] : self.bounds[j]],
-                    (left + zone[: self.bounds[i]])[-CONTEXT:],
-                    (zone[self.bounds[j] :] + right)[:12],
-                )
-                for i, j in self.pairs
-            ]
-        ).reshape(len(self.pairs), len(FEATURES))
+        self.bounds, self.pairs = segments(text[start:end])
+        self.x = _features_of(text, start, self.bounds, self.pairs)
 
     def forward_backward(self, scores: np.ndarray) -> tuple[float, np.ndarray]:
         """log Z and the probability of each (candidate, kind)."""
@@ -243,31 +241,41 @@ class Zone:
         outer = np.array([alpha[i] + beta[j] for i, j in self.pairs]) - alpha[n]
         return alpha[n], np.exp(np.minimum(scores + outer[:, None], 0))
 
-    def best(self, scores: np.ndarray) -> list[tuple[str, int, int, float]]:
-        """Borders and types of greatest total score, with each segment's score."""
-        n = len(self.bounds) - 1
-        top = [0.0] * (n + 1)
-        back: list[tuple[int, int] | None] = [None] * (n + 1)
-        by_end: list[list[int]] = [[] for _ in range(n + 1)]
-        for k, (_, j) in enumerate(self.pairs):
-            by_end[j].append(k)
-        kind = scores.argmax(axis=1) if len(scores) else []
-        for j in range(1, n + 1):
-            top[j], back[j] = top[j - 1], None
-            for k in by_end[j]:
-                value = top[self.pairs[k][0]] + scores[k, kind[k]]
-                if value > top[j]:
-                    top[j], back[j] = value, (k, int(kind[k]))
-        out, j = [], n
-        while j > 0:
-            if back[j] is None:
-                j -= 1
-                continue
-            k, y = back[j]
-            i = self.pairs[k][0]
-            out.append((KINDS[y], self.start + self.bounds[i], self.start + self.bounds[j], float(scores[k, y])))
-            j = i
-        return out[::-1]
+
+def decode(text: str, start: int, end: int, weights: np.ndarray) -> list[tuple[str, int, int, float]]:
+    """Borders and types of greatest total score in a zone, with each segment's score."""
+    bounds, pairs = segments(text[start:end])
+    n = len(bounds) - 1
+    top = [0.0] * (n + 1)
+    back: list[tuple[int, int, float] | None] = [None] * (n + 1)
+    done = at = 0
+    while at < len(pairs):
+        stop = at
+        while stop < len(pairs) and pairs[stop][0] < pairs[at][0] + STRETCH:
+            stop += 1
+        scores = _features_of(text, start, bounds, pairs[at:stop]) @ weights.T
+        kinds = scores.argmax(axis=1).tolist()
+        for (i, j), kind, row in zip(pairs[at:stop], kinds, scores.tolist()):
+            for k in range(done + 1, i + 1):  # all candidates that end here are in
+                if top[k - 1] >= top[k]:
+                    top[k], back[k] = top[k - 1], None
+            done = max(done, i)
+            value = top[i] + row[kind]
+            if value > top[j]:
+                top[j], back[j] = value, (i, kind, row[kind])
+        at = stop
+    for k in range(done + 1, n + 1):
+        if top[k - 1] >= top[k]:
+            top[k], back[k] = top[k - 1], None
+    out, j = [], n
+    while j > 0:
+        if back[j] is None:
+            j -= 1
+            continue
+        i, kind, score = back[j]
+        out.append((KINDS[kind], start + bounds[i], start + bounds[j], score))
+        j = i
+    return out[::-1]
 
 
 def _logsum(terms: list[float]) -> float:
@@ -347,26 +355,41 @@ def fit(zones_: list[tuple[Zone, list[tuple[int, int]]]], rounds: int = 120, dec
     return w
 
 
+def _spark_hash(text: str) -> int:
+    """What Spark's ``xxhash64`` gives for a string."""
+    value = xxhash.xxh64_intdigest(text.encode("utf-8", "replace"), 42)
+    return value - (1 << 64) if value >> 63 else value
+
+
 def fit_weights(df: DataFrame, id_col: str, text_col: str, sample_docs: int) -> np.ndarray:
     """Weights from the zones of at most ``sample_docs`` rows."""
     ids = bounded_ids(df.select(F.col(id_col).alias("chosen")), "chosen", sample_docs)
     sample = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), F.col("id") == F.col("chosen"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        left = SAMPLE_ZONES
+        # The zones of least hash, whatever the partitions.
+        least: list[tuple[int, str, str]] = []
         for batch in batches:
-            out = []
             for text in batch["text"]:
                 text = text or ""
                 base = base_spans(text)
                 for start, end in zones(text):
-                    if left <= 0:
-                        break
+                    if end - start > LONGEST_LABELLED:
+                        continue
                     lo, hi = max(0, start - CONTEXT), end + 12
-                    inside = [(k, s - lo, e - lo) for k, s, e in base if start <= s and e <= end]
-                    out.append((text[lo:hi], shown(inside)))
-                    left -= 1
-            yield pd.DataFrame(out, columns=["snippet", "spans"])
+                    snippet = text[lo:hi]
+                    place = -_spark_hash(snippet)
+                    if len(least) == SAMPLE_ZONES and place <= least[0][0]:
+                        continue
+                    inside = shown([(k, s - lo, e - lo) for k, s, e in base if start <= s and e <= end])
+                    entry = (place, snippet, inside)
+                    if entry in least:
+                        continue
+                    if len(least) < SAMPLE_ZONES:
+                        heapq.heappush(least, entry)
+                    else:
+                        heapq.heappushpop(least, entry)
+        yield pd.DataFrame([x[1:] for x in least], columns=["snippet", "spans"])
 
     rows = map_frames(sample.select("text"), run, "snippet string, spans string")
     rows = rows.distinct().orderBy(F.xxhash64("snippet"), "snippet", "spans").limit(SAMPLE_ZONES).collect()
@@ -380,19 +403,31 @@ def fit_weights(df: DataFrame, id_col: str, text_col: str, sample_docs: int) ->
 def added_spans(text: str, base: list[tuple[str, int, int]], weights: np.ndarray) -> list[tuple[str, int, int]]:
     """Model spans that touch no base span and are surely better than none."""
     out = []
-    taken = sorted((s, e) for _, s, e in base)
+    starts, ends = _covered(base)
     for start, end in zones(text):
-        if any(s <= start and end <= e for s, e in taken):
+        k = bisect_right(starts, start) - 1
+        if k >= 0 and end <= ends[k]:
             continue
-        zone = Zone(text, start, end)
-        if not zone.pairs:
-            continue
-        for kind, s, e, score in zone.best(zone.x @ weights.T):
-            if score >= MIN_ODDS and not any(s < b and a < e for a, b in taken):
+        for kind, s, e, score in decode(text, start, end, weights):
+            k = bisect_right(starts, e - 1) - 1
+            if score >= MIN_ODDS and (k < 0 or ends[k] <= s):
                 out.append((kind, s, e))
     return out
 
 
+def _covered(spans: list[tuple[str, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that spans cover, in order and apart."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for s, e in sorted((s, e) for _, s, e in spans):
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return starts, ends
+
+
 def find_pii(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", weights: np.ndarray | None = None, sample_docs: int = SAMPLE_DOCS
 ) -> DataFrame:

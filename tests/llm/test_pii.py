@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -34,10 +35,12 @@ def test_base_cases(text):
     assert pii.base_spans(text) == brute(text)
 
 
-def test_dynamic_program_equals_enumeration():
+@pytest.mark.parametrize("stretch", [1, 2, 256])
+def test_dynamic_program_equals_enumeration(monkeypatch, stretch):
     """Best segmentation and partition sum, against all of them."""
-    zone = pii.Zone("call 212 555 0123 now", 5, 17)
-    rng = np.random.default_rng(0)
+    text = "call 212 555 0123 now"
+    zone = pii.Zone(text, 5, 17)
+    rng = np.random.default_rng(stretch)
     scores = rng.normal(size=(len(zone.pairs), len(pii.KINDS)))
     n = len(zone.bounds) - 1
     totals, best = [], (-np.inf, None)
@@ -57,7 +60,10 @@ def test_dynamic_program_equals_enumeration():
     walk(0, 0.0, [])
     log_z, p = zone.forward_backward(scores)
     assert abs(log_z - np.logaddexp.reduce(totals)) < 1e-9
-    found = zone.best(scores)
+    row = dict(zip(zone.pairs, scores))
+    monkeypatch.setattr(pii, "STRETCH", stretch)
+    monkeypatch.setattr(pii, "_features_of", lambda t, s, b, pairs: np.array([row[x] for x in pairs]))
+    found = pii.decode(text, 5, 17, np.eye(len(pii.KINDS)))
     assert abs(sum(x[3] for x in found) - best[0]) < 1e-9 and len(found) == len(best[1])
     k = 0
     with_k = np.logaddexp.reduce([t for t in _with(zone, scores, k)]) if zone.pairs else 0
@@ -104,6 +110,36 @@ def test_variants_are_found_and_plain_numbers_are_not(weights):
         assert pii.added_spans(text, pii.base_spans(text), weights) == []
 
 
+def test_long_zones_are_decoded_whole_and_in_linear_time(weights):
+    """A zone is not cut, wherever in it a segment lies; many numbers do no harm."""
+    card = "4111111111111111 4111111111111111"
+    for ahead in (0, 1, 7, 50, 397, 1000):
+        text = "no " + "1 " * ahead + card + " end"
+        alone = pii.added_spans("no 1 " + card + " end", [], weights)
+        found = pii.added_spans(text, pii.base_spans(text), weights)
+        if ahead:
+            assert [x for x in found if x[1] >= 3 + 2 * ahead] == [(k, s + 2 * ahead - 2, e + 2 * ahead - 2) for k, s, e in alone]
+
+    def seconds(n):
+        text = "call +1 (212) 555-0123, 10.0.0.1 " * n + "12 34 " * n
+        begin = time.process_time()
+        pii.added_spans(text, pii.base_spans(text), weights)
+        return time.process_time() - begin
+
+    seconds(50)
+    assert seconds(2000) < 7 * seconds(500) + 0.5
+
+
+def test_the_sampled_zones_do_not_depend_on_the_partitions(spark, monkeypatch):
+    texts = [(k, f"call (212) 555-{k:04} or 10.1.{k % 200}.7 now") for k in range(900)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    seen = []
+    monkeypatch.setattr(pii, "fit", lambda found: seen.append([(x.start, len(x.pairs), true) for x, true in found]))
+    for n in (1, 7):
+        pii.fit_weights(df.repartition(n), "doc_id", "text", 2000)
+    assert seen[0] == seen[1] and len(seen[0]) > pii.SAMPLE_ZONES
+
+
 def test_a_card_written_twice(weights):
     text = "no 4111111111111111 4111111111111111 end"
     assert pii.base_spans(text) == []
