@@ -102,16 +102,22 @@ def guard_language(code: Column, path: Column | None = None) -> Column:
     out = let(F.lower(trim_control(code)), _language_of_content)
     if path is None:
         return out
-    name = F.lower(path)
-    for language, extensions in reversed(GUARD_EXTENSIONS):
-        ends = name.endswith(extensions[0])
-        for e in extensions[1:]:
-            ends = ends | name.endswith(e)
-        out = F.when(ends, language).otherwise(out)
-    return out
+
+    def by_extension(name: Column) -> Column:
+        chosen = F.lit(None).cast("string")
+        for language, extensions in reversed(GUARD_EXTENSIONS):
+            ends = name.endswith(extensions[0])
+            for e in extensions[1:]:
+                ends = ends | name.endswith(e)
+            chosen = F.when(ends, language).otherwise(chosen)
+        return chosen
+
+    return F.coalesce(let(F.lower(path), by_extension), out)
 
 
 def _language_of_content(text: Column) -> Column:
+    """The tests and their order are fixed values."""
+
     def has(*parts: str) -> Column:
         found = text.contains(parts[0])
         for p in parts[1:]:
@@ -136,6 +142,7 @@ def _language_of_content(text: Column) -> Column:
 
 
 def content_language(code: Column) -> Column:
+    """The tests and their order are fixed values."""
     return (
         F.when(code.contains("package ") & code.contains("import android."), "java_android")
         .when(code.contains("package ") & code.contains("public class "), "java")
@@ -220,3 +227,19 @@ def clean_params(raw: Column) -> Column:
         lambda p: trim_control(F.substring_index(trim_control(F.substring_index(p, ":", 1)), "=", 1)),
     )
     return F.filter(names, lambda n: ~n.isin("self", "cls", ""))
+
+
+def one_by_name(found: Column, place: str, last: bool = False) -> Column:
+    """The element of each name with the least (or greatest) ``place``, in the order
+    of places. Neighbours are compared after a sort, so no name is searched for."""
+
+    def chosen(xs: Column) -> Column:
+        def keeps(x: Column, i: Column) -> Column:
+            other = F.get(xs, i + 1) if last else F.get(xs, i - 1)
+            return other.isNull() | (other["name"] != x["name"])
+
+        return F.filter(xs, keeps)
+
+    sorted_ = F.array_sort(F.transform(found, lambda f: F.struct(f["name"].alias("name"), f[place].alias("place"), f.alias("f"))))
+    back = F.array_sort(F.transform(let(sorted_, chosen), lambda x: F.struct(x["place"].alias("place"), x["f"].alias("f"))))
+    return F.transform(back, lambda x: x["f"])

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codesieve.functions.text import clean_params, count_of, indent_spaces, indent_width, let, split_lines, strip_comment, trim_control
+from codesieve.functions.text import clean_params, count_of, indent_spaces, indent_width, let, one_by_name, split_lines, strip_comment, trim_control
 
 #: Methods that are no stubs whatever their body (fixed values).
 SKIPPED = ("__init__", "__del__", "__repr__", "__str__", "__eq__", "__hash__")
@@ -224,19 +224,21 @@ def javascript_functions(code: Column) -> Column:
 DEF_PATTERN = r"def\s+(\w+)\s*\(([^)]*)\)"
 
 
-def function_params(files: DataFrame) -> DataFrame:
-    """(file_id, name, params): the last definition of a name wins."""
-    code = F.col("code")
-    pairs = F.arrays_zip(
-        F.regexp_extract_all(code, F.lit(DEF_PATTERN), F.lit(1)).alias("name"),
-        F.regexp_extract_all(code, F.lit(DEF_PATTERN), F.lit(2)).alias("raw"),
+def params_of(code: Column) -> Column:
+    """array<struct(name, params)> of a text: the last definition of a name wins."""
+    names = F.regexp_extract_all(code, F.lit(DEF_PATTERN), F.lit(1))
+    raws = F.regexp_extract_all(code, F.lit(DEF_PATTERN), F.lit(2))
+    pairs = let(
+        raws, lambda rs: F.transform(names, lambda n, i: F.struct(n.alias("name"), i.alias("at"), F.get(rs, i).alias("raw")))
     )
-    last = F.aggregate(
-        pairs, F.create_map().cast("map<string,string>"),
-        lambda m, p: F.map_concat(F.map_filter(m, lambda k, _: k != p["name"]), F.create_map(p["name"], p["raw"])),
+    return F.transform(
+        one_by_name(pairs, "at", last=True), lambda x: F.struct(x["name"].alias("name"), clean_params(x["raw"]).alias("params"))
     )
-    rows = files.select("file_id", F.explode(last).alias("name", "raw"))
-    return rows.select("file_id", "name", clean_params(F.col("raw")).alias("params"))
+
+
+def function_params(files: DataFrame) -> DataFrame:
+    """(file_id, name, params): the last definition of a name wins."""
+    return files.select("file_id", F.inline(params_of(F.col("code"))))
 
 
 def imports(files: DataFrame) -> DataFrame:
@@ -277,42 +279,61 @@ def class_members(files: DataFrame) -> DataFrame:
     return files.select("file_id", F.inline(let(numbered, fold)))
 
 
-def function_bodies(files: DataFrame) -> DataFrame:
-    """(file_id, name, body): text from a name's first ``def`` to the line before
-    the next statement at or left of it. Indents count spaces only."""
-
-    def bodies(lines: Column) -> Column:
-        starts = F.filter(
-            F.transform(
-                lines,
-                lambda x, i: F.struct(
-                    (i + 1).cast("int").alias("ln"), F.regexp_extract(x, r"\A\s*def\s+(\w+)\s*\(", 1).alias("name"),
-                    F.length(F.regexp_extract(x, r"\A\s*", 0)).alias("base"),
-                ),
-            ),
-            lambda d: d["name"] != "",
-        )
-        first = let(
-            starts, lambda ds: F.filter(ds, lambda d: F.element_at(F.filter(ds, lambda e: e["name"] == d["name"]), 1)["ln"] == d["ln"])
-        )
+_OPEN = "array<struct<name:string,ln:int,base:int>>"
+_CLOSED = "array<struct<name:string,ln:int,end_ln:int>>"
 
-        def body(d: Column) -> Column:
-            rest = F.slice(lines, d["ln"] + 1, F.greatest(F.size(lines) - d["ln"], F.lit(0)))
-            ends = F.transform(
-                rest,
-                lambda x, i: F.when(
-                    (trim_control(x) != "") & (indent_spaces(x) <= d["base"]) & ~trim_control(x).startswith("#"), i
-                ),
+
+def bodies_of(code: Column) -> Column:
+    """array<struct(name, ln, body)> of a text: from a name's first ``def`` to the
+    line before the next statement at or left of it. Indents count spaces only.
+
+    One fold: a line closes the open definitions that it is not deeper than, and
+    those are as few as definitions are nested.
+    """
+
+    def extents(lines: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(_OPEN).alias("open"), F.array().cast(_CLOSED).alias("out"))
+
+        def closed(open_: Column, end: Column) -> Column:
+            return F.transform(
+                open_, lambda d: F.struct(d["name"].alias("name"), d["ln"].alias("ln"), end.cast("int").alias("end_ln"))
+            )
+
+        def step(s: Column, x: Column) -> Column:
+            t = trim_control(x)
+            line = F.struct(
+                ((t != "") & ~t.startswith("#")).alias("live"), indent_spaces(x).alias("ind"),
+                F.regexp_extract(x, r"\A\s*def\s+(\w+)\s*\(", 1).alias("name"), F.length(F.regexp_extract(x, r"\A\s*", 0)).alias("base"),
             )
-            n = F.coalesce(F.array_min(F.filter(ends, lambda e: e.isNotNull())), F.size(rest))
+            return let(line, lambda l: advance(s, l, s["at"] + 1))
+
+        def advance(s: Column, l: Column, at: Column) -> Column:
+            ended = F.when(l["live"], F.filter(s["open"], lambda d: d["base"] >= l["ind"])).otherwise(F.array().cast(_OPEN))
+            still = F.when(l["live"], F.filter(s["open"], lambda d: d["base"] < l["ind"])).otherwise(s["open"])
+            new = F.struct(l["name"].alias("name"), at.cast("int").alias("ln"), l["base"].cast("int").alias("base"))
             return F.struct(
-                d["name"].alias("name"), F.concat(F.array_join(F.slice(lines, d["ln"], n + 1), "\n"), F.lit("\n")).alias("body")
+                at.cast("int").alias("at"),
+                F.when(l["name"] != "", F.concat(still, F.array(new))).otherwise(still).alias("open"),
+                F.when(F.size(ended) > 0, F.concat(s["out"], closed(ended, at - 1))).otherwise(s["out"]).alias("out"),
             )
 
-        return F.transform(first, body)
+        return F.aggregate(lines, start, step, lambda s: F.concat(s["out"], closed(s["open"], s["at"])))
+
+    def texts(lines: Column) -> Column:
+        return F.transform(
+            one_by_name(extents(lines), "ln"),
+            lambda d: F.struct(
+                d["name"].alias("name"), d["ln"].alias("ln"),
+                F.concat(F.array_join(F.slice(lines, d["ln"], d["end_ln"] - d["ln"] + 1), "\n"), F.lit("\n")).alias("body"),
+            ),
+        )
 
-    code = F.regexp_replace("code", r"\n+\z", "")
-    return files.select("file_id", F.inline(let(split_lines(code), bodies)))
+    return let(split_lines(F.regexp_replace(code, r"\n+\z", "")), texts)
+
+
+def function_bodies(files: DataFrame) -> DataFrame:
+    """(file_id, name, body): see ``bodies_of``."""
+    return files.select("file_id", F.inline(bodies_of(F.col("code")))).drop("ln")
 
 
 def signatures(code: Column, language: Column) -> Column:

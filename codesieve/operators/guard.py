@@ -129,21 +129,47 @@ def scope_ok(original: Column, modified: Column, start: Column, end: Column) ->
     return F.when(original.isNull() | modified.isNull() | ~valid, False).otherwise(let(both, compare))
 
 
+#: A function's signature by language: group 1 is the signature, group 2 (and 3)
+#: its name. Looked for at each place, so one never hides another. Fixed values.
+_SIGNATURES = {
+    "PYTHON": r"(?i)(?=(def\s+(\w+)\s*\([^)]*\)\s*(?:->\s*[^:]*)?:))",
+    "JAVA": (
+        r"(?i)(?=((?:public|private|protected|static|final|abstract|synchronized|\s)*\s*(?:<[^>]+>\s*)?(?:[\w<>\[\]]+\s+)?"
+        r"(\w+)\s*\([^)]*\)\s*(?:throws\s+[\w,\s]+)?\s*\{?))"
+    ),
+    "JAVASCRIPT": (
+        r"(?i)(?=((?:function\s+(\w+)|(\w+)\s*=\s*(?:function|\([^)]*\)\s*=>|async\s*\([^)]*\)\s*=>))\s*\(?[^)]*\)?\s*\{?))"
+    ),
+}
+
+
 def signature_of(code: Column, name: Column, language: Column) -> Column:
-    """A function's signature with single spaces; null where there is none."""
-    q = F.concat(F.lit(r"\Q"), name, F.lit(r"\E"))
-    python = F.concat(F.lit(r"(?i)(def\s+"), q, F.lit(r"\s*\([^)]*\)\s*(?:->\s*[^:]*)?:)"))
-    java = F.concat(
-        F.lit(r"(?i)((?:public|private|protected|static|final|abstract|synchronized|\s)*\s*(?:<[^>]+>\s*)?(?:[\w<>\[\]]+\s+)?"), q,
-        F.lit(r"\s*\([^)]*\)\s*(?:throws\s+[\w,\s]+)?\s*\{?)"),
-    )
-    script = F.concat(
-        F.lit(r"(?i)((?:function\s+"), q, F.lit("|"), q,
-        F.lit(r"\s*=\s*(?:function|\([^)]*\)\s*=>|async\s*\([^)]*\)\s*=>))\s*\(?[^)]*\)?\s*\{?)"),
+    """A function's signature with single spaces; null where there is none.
+
+    The patterns are literals; names are compared, not built into a pattern.
+    """
+
+    def found(kind: str) -> Column:
+        pattern = F.lit(_SIGNATURES[kind])
+        groups = F.struct(*[F.regexp_extract_all(code, pattern, F.lit(g)).alias(f"g{g}") for g in ((1, 2, 3) if kind == "JAVASCRIPT" else (1, 2))])
+
+        def first(g: Column) -> Column:
+            def named(s: Column, i: Column) -> Column:
+                same = F.lower(F.get(g["g2"], i)) == F.lower(name)
+                if kind == "JAVASCRIPT":  # after ``function`` a name may go on
+                    same = (F.get(g["g2"], i) != "") & F.lower(F.get(g["g2"], i)).startswith(F.lower(name))
+                    same = same | (F.lower(F.get(g["g3"], i)) == F.lower(name))
+                return same
+
+            return F.get(F.filter(g["g1"], named), F.lit(0))
+
+        return let(groups, first)
+
+    text = (
+        F.when(language == "PYTHON", found("PYTHON")).when(language.isin("JAVA", "KOTLIN"), found("JAVA"))
+        .when(language == "JAVASCRIPT", found("JAVASCRIPT"))
     )
-    pattern = F.when(language == "PYTHON", python).when(language.isin("JAVA", "KOTLIN"), java).when(language == "JAVASCRIPT", script)
-    found = F.call_function("regexp_extract", code, pattern, F.lit(1))
-    return F.when(F.regexp_like(code, pattern), F.regexp_replace(trim_control(found), r"\s+", " "))
+    return F.regexp_replace(trim_control(text), r"\s+", " ")
 
 
 def compared_checks(original: Column, modified: Column, start: Column, end: Column, name: Column, language: Column) -> Column:

@@ -59,12 +59,31 @@ def current_code(versions: DataFrame, sessions: DataFrame) -> DataFrame:
 
 
 def code_after_each(versions: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Current text after every event of a session; a restore begins an epoch."""
-    order = Window.partitionBy("session_id").orderBy("ts", "version_id")
-    epoch = versions.withColumn("epoch", F.sum(F.col("is_restore").cast("int")).over(order))
-    within = Window.partitionBy("session_id", "epoch").orderBy("ts", "version_id")
-    last = F.last(F.when(F.col("approved") & ~F.col("is_restore"), F.col("after")), ignorenulls=True).over(within)
-    return epoch.withColumn("text", last).join(sessions, "session_id").select(
+    """Current text after every event of a session; a restore begins an epoch.
+
+    A task holds one day of one session: what a day leaves behind (its restores,
+    and its last approved text after the last of them) is carried over days first.
+    """
+    rows = versions.withColumn("day", F.to_date("ts")).withColumn("good", F.col("approved") & ~F.col("is_restore"))
+    order = F.struct("ts", "version_id")
+    days = rows.groupBy("session_id", "day").agg(
+        F.count_if("is_restore").alias("restores"), F.max(F.when(F.col("is_restore"), order)).alias("restored"),
+        F.max(F.when(F.col("good"), order)).alias("approved_at"), F.max_by(F.when(F.col("good"), F.col("after")), F.when(F.col("good"), order)).alias("last"),
+    )
+    live = F.col("approved_at").isNotNull() & (F.col("restored").isNull() | (F.col("approved_at") > F.col("restored")))
+    left = F.when(live | (F.col("restores") > 0), F.struct(F.when(live, F.col("last")).alias("text")))
+    before = Window.partitionBy("session_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    carried = days.withColumn("left", left).select(
+        F.col("session_id").alias("s"), F.col("day").alias("d"), F.coalesce(F.sum("restores").over(before), F.lit(0)).alias("epochs"),
+        F.last("left", ignorenulls=True).over(before)["text"].alias("text_before"),
+    )
+    joined = rows.join(carried, F.col("session_id").eqNullSafe(F.col("s")) & F.col("day").eqNullSafe(F.col("d")))
+    by_day = Window.partitionBy("session_id", "day").orderBy("ts", "version_id")
+    numbered = joined.withColumn("new", F.sum(F.col("is_restore").cast("int")).over(by_day))
+    within = Window.partitionBy("session_id", "day", "new").orderBy("ts", "version_id")
+    text = F.last(F.when(F.col("good"), F.col("after")), ignorenulls=True).over(within)
+    text = F.coalesce(text, F.when(F.col("new") == 0, F.col("text_before")))
+    return numbered.withColumn("epoch", F.col("epochs") + F.col("new")).withColumn("text", text).join(sessions, "session_id").select(
         "session_id", "version_id", "epoch", F.coalesce("text", "original_code").alias("current_code")
     )
 
@@ -88,10 +107,11 @@ def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_new")
 
 
-def encode(versions: DataFrame) -> DataFrame:
-    """(session_id, document): one JSON text per session, versions in order."""
+def encode(versions: DataFrame, keep: int = MAX_VERSIONS) -> DataFrame:
+    """(session_id, document): one JSON text per session, its latest ``keep``
+    versions in order, which bounds a document."""
     entry = F.struct("ts", "version_id", "function_name", "after", "approved", "safety_score")
-    listed = versions.groupBy("session_id").agg(F.array_sort(F.collect_list(entry)).alias("v"))
+    listed = retained(versions, keep).groupBy("session_id").agg(F.array_sort(F.collect_list(entry)).alias("v"))
     plain = F.transform(
         "v",
         lambda v: F.struct(

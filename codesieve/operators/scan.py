@@ -57,14 +57,16 @@ def scan_first(files: DataFrame, rules: Sequence[Rule], language: Column | None
     return files.select(*keep, F.inline(hits))
 
 
-def scan_all(files: DataFrame, rules: Sequence[Rule], language: Column | None = None, keep: Sequence[str] = ("file_id",)) -> DataFrame:
-    """Every match: as ``scan_first``, with hit_no (1-based) and in_comment."""
-    code = F.col("code")
+def all_hits(code: Column, rules: Sequence[Rule], language: Column | None = None) -> Column:
+    """Per rule that matches: the rule's fields and ``found``, its matches in order.
+
+    The lines of the text are bound once; a match takes its line by number.
+    """
 
-    def weave(pair: Column) -> Column:
+    def weave(pair: Column, lines: Column) -> Column:
         start = F.struct(
             F.lit(1).alias("ln"), F.lit("").alias("cur"),
-            F.array().cast("array<struct<hit_no:int,ln:int,evidence:string,in_comment:boolean>>").alias("out"),
+            F.array().cast("array<struct<hit_no:int,ln:int,evidence:string,in_comment:boolean,snippet:string>>").alias("out"),
         )
 
         def after(text: Column) -> Column:
@@ -86,6 +88,7 @@ def scan_all(files: DataFrame, rules: Sequence[Rule], language: Column | None =
                                 (i + 1).cast("int").alias("hit_no"), t["ln"].cast("int").alias("ln"),
                                 F.substring(t["hit"], 1, EVIDENCE).alias("evidence"),
                                 comment_or_string(t["cur"]).alias("in_comment"),
+                                F.substring(trim_control(F.get(lines, t["ln"] - 1)), 1, SNIPPET).alias("snippet"),
                             )
                         ),
                     ).alias("out"),
@@ -95,28 +98,45 @@ def scan_all(files: DataFrame, rules: Sequence[Rule], language: Column | None =
         places = F.when(F.size(pair["hits"]) > 0, F.sequence(F.lit(0), F.size(pair["hits"]) - 1)).otherwise(F.array().cast("array<int>"))
         return F.aggregate(places, start, step, lambda s: s["out"])
 
-    def one(rule: Rule, order: int) -> Column:
+    def one(rule: Rule, order: int, lines: Column) -> Column:
         pair = F.struct(
             F.split(code, rule.pattern, -1).alias("pieces"),
             F.regexp_extract_all(code, F.lit(rule.pattern), F.lit(0)).alias("hits"),
         )
         return F.when(
-            _allowed(rule, language) & code.rlike(rule.pattern), F.struct(*_rule_fields(rule, order), let(pair, weave).alias("found"))
+            _allowed(rule, language) & code.rlike(rule.pattern),
+            F.struct(*_rule_fields(rule, order), let(pair, lambda p: weave(p, lines)).alias("found")),
         )
 
-    hits = F.filter(F.array(*[one(r, k) for k, r in enumerate(rules)]), lambda h: h.isNotNull())
-    rows = files.select(*keep, "code", F.inline(hits)).select("*", F.inline("found")).drop("found")
-    line = F.element_at(split_lines(code), F.col("ln"))
-    return rows.withColumn("snippet", F.substring(trim_control(line), 1, SNIPPET)).drop("code")
+    def every(lines: Column) -> Column:
+        return F.filter(F.array(*[one(r, k, lines) for k, r in enumerate(rules)]), lambda h: h.isNotNull())
+
+    return let(split_lines(code), every)
+
+
+def scan_all(files: DataFrame, rules: Sequence[Rule], language: Column | None = None, keep: Sequence[str] = ("file_id",)) -> DataFrame:
+    """Every match: as ``scan_first``, with hit_no (1-based) and in_comment."""
+    rows = files.select(*keep, F.inline(all_hits(F.col("code"), rules, language)))
+    return rows.select("*", F.inline("found")).drop("found")
+
+
+def clear_hits(code: Column, rules: Sequence[Rule], language: Column | None = None) -> Column:
+    """Per rule its first match that lies in no comment or string; no shuffle."""
+
+    def first(h: Column) -> Column:
+        found = F.get(F.filter(h["found"], lambda x: ~x["in_comment"]), F.lit(0))
+        fields = [h[k].alias(k) for k in ("rule_id", "rule_ord", "category", "critical")]
+        return let(
+            found,
+            lambda x: F.when(x.isNotNull(), F.struct(*fields, *[x[k].alias(k) for k in ("hit_no", "ln", "evidence")])),
+        )
+
+    return F.filter(F.transform(all_hits(code, rules, language), first), lambda h: h.isNotNull())
 
 
 def first_outside_comments(files: DataFrame, rules: Sequence[Rule], language: Column | None = None) -> DataFrame:
     """First match of each rule that lies in no comment or string."""
-    clear = scan_all(files, rules, language).where("NOT in_comment")
-    first = clear.groupBy("file_id", "rule_id").agg(
-        F.min_by(F.struct("rule_ord", "category", "critical", "hit_no", "ln", "evidence"), "hit_no").alias("h")
-    )
-    return first.select("file_id", "rule_id", "h.*")
+    return files.select("file_id", F.inline(clear_hits(F.col("code"), rules, language)))
 
 
 def score(weights: Column) -> Column:

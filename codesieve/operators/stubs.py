@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codesieve.functions.text import clean_params, let, split_lines
-from codesieve.operators.functions import javascript_functions, python_functions
+from codesieve.functions.text import clean_params, let, one_by_name, split_lines
+from codesieve.operators.functions import bodies_of, javascript_functions, params_of, python_functions
 
 #: First statements that make a stub (fixed values).
 PLACEHOLDERS = ("pass", "...", "Ellipsis")
@@ -29,21 +29,13 @@ def _python_class(first: Column) -> Column:
     )
 
 
-def _first_by_name(found: Column) -> Column:
-    """The first element of each name, order kept."""
-    return let(
-        found,
-        lambda fs: F.filter(fs, lambda f: F.element_at(F.filter(fs, lambda g: g["name"] == f["name"]), 1)["def_ln"] == f["def_ln"]),
-    )
-
+def stubs_of(code: Column) -> Column:
+    """Stubs of a text as an array, Python's by risk and line, then JavaScript's.
 
-def stubs(files: DataFrame) -> DataFrame:
-    """One row per stub, Python's by risk and line, then JavaScript's; no shuffle.
-
-    Columns: file_id, pos (order in the file), name, language, def_ln, start_ln
-    (first body line), end_ln, base (indent), risk, reason, snippet, single_line
-    (the signature ends on a later line because the definition is on one line).
-    Of one name the first wins; JavaScript names that Python stubs have are dropped.
+    Fields: name, language, def_ln, start_ln (first body line), end_ln, base
+    (indent), risk, reason, snippet, single_line (the signature ends on a later
+    line because the definition is on one line). Of one name the first wins;
+    JavaScript names that Python stubs have are dropped.
     """
 
     def python(f: Column) -> Column:
@@ -51,33 +43,34 @@ def stubs(files: DataFrame) -> DataFrame:
         return F.struct(
             f["name"].alias("name"), F.lit("python").alias("language"), f["def_ln"].alias("def_ln"), f["body_ln"].alias("start_ln"),
             f["end_ln"].alias("end_ln"), f["base"].alias("base"), c["risk"].alias("risk"), c["reason"].alias("reason"),
-            F.coalesce(f["first"], F.lit("")).alias("snippet"), f["sig_ln"].alias("sig_ln"),
+            F.coalesce(f["first"], F.lit("")).alias("snippet"), (f["sig_ln"] > f["def_ln"]).alias("single_line"),
         )
 
     def javascript(f: Column) -> Column:
         return F.struct(
             f["name"].alias("name"), F.lit("javascript").alias("language"), f["ln"].alias("def_ln"), f["ln"].alias("start_ln"),
             f["end_ln"].alias("end_ln"), F.lit(0).alias("base"), F.lit("CONFIRMED").alias("risk"), F.lit("empty function").alias("reason"),
-            f["header"].alias("snippet"), f["ln"].alias("sig_ln"),
+            f["header"].alias("snippet"), F.lit(False).alias("single_line"),
         )
 
     def both(x: Column) -> Column:
-        first = _first_by_name(F.transform(F.filter(x["py"], lambda f: _python_class(f["first"]).isNotNull()), python))
+        first = one_by_name(F.transform(F.filter(x["py"], lambda f: _python_class(f["first"]).isNotNull()), python), "def_ln")
         js = F.transform(F.filter(x["js"], lambda f: f["body"].rlike(JS_TRIVIAL)), javascript)
 
         def joined(py: Column) -> Column:
-            new = F.filter(js, lambda f: ~F.exists(py, lambda p: p["name"] == f["name"]))
+            new = let(F.transform(py, lambda p: p["name"]), lambda names: F.filter(js, lambda f: ~F.array_contains(names, f["name"])))
             sure = F.filter(py, lambda p: p["risk"] == "CONFIRMED")
             unsure = F.filter(py, lambda p: p["risk"] != "CONFIRMED")
-            return F.concat(sure, unsure, _first_by_name(new))
+            return F.concat(sure, unsure, one_by_name(new, "def_ln"))
 
         return let(first, joined)
 
-    code = F.col("code")
-    found = let(F.struct(python_functions(code)["found"].alias("py"), javascript_functions(code).alias("js")), both)
-    rows = files.select("file_id", F.posexplode(found).alias("pos", "s")).select("file_id", "pos", "s.*")
-    first_line = F.col("sig_ln") > F.col("def_ln")
-    return rows.withColumn("single_line", first_line & (F.col("language") == "python")).drop("sig_ln")
+    return let(F.struct(python_functions(code)["found"].alias("py"), javascript_functions(code).alias("js")), both)
+
+
+def stubs(files: DataFrame) -> DataFrame:
+    """One row per stub, in its order ``pos`` in the file; no shuffle. See ``stubs_of``."""
+    return files.select("file_id", F.posexplode(stubs_of(F.col("code"))).alias("pos", "s")).select("file_id", "pos", "s.*")
 
 
 def visited_functions(files: DataFrame) -> DataFrame:
@@ -101,21 +94,22 @@ def _numbered(lines: Column, first: Column, last: Column) -> Column:
 
 def candidates(files: DataFrame) -> DataFrame:
     """One row per stub: function_name, code_snippet, context (five lines around,
-    numbered), start_line, end_line. Stubs and text meet by file_id."""
-    found = stubs(files).select("file_id", "pos", "name", "def_ln", "start_ln", "end_ln")
-    joined = found.join(files.select("file_id", "code"), "file_id")
+    numbered), start_line, end_line. All is cut in the file's own row."""
 
-    def texts(lines: Column) -> Column:
-        snippet = F.slice(lines, F.col("def_ln"), F.greatest(F.col("end_ln") - F.col("def_ln") + 1, F.lit(0)))
-        return F.struct(
-            F.concat(F.array_join(snippet, "\n"), F.when(F.size(snippet) > 0, "\n").otherwise("")).alias("code_snippet"),
-            _numbered(lines, F.greatest(F.lit(1), F.col("start_ln") - CONTEXT_LINES), F.least(F.size(lines), F.col("end_ln") + CONTEXT_LINES)).alias("context"),
-        )
+    def shown(lines: Column) -> Column:
+        def texts(s: Column) -> Column:
+            snippet = F.slice(lines, s["def_ln"], F.greatest(s["end_ln"] - s["def_ln"] + 1, F.lit(0)))
+            return F.struct(
+                s["name"].alias("function_name"),
+                F.concat(F.array_join(snippet, "\n"), F.when(F.size(snippet) > 0, "\n").otherwise("")).alias("code_snippet"),
+                _numbered(lines, F.greatest(F.lit(1), s["start_ln"] - CONTEXT_LINES), F.least(F.size(lines), s["end_ln"] + CONTEXT_LINES)).alias("context"),
+                s["start_ln"].alias("start_line"), s["end_ln"].alias("end_line"),
+            )
+
+        return F.transform(stubs_of(F.col("code")), texts)
 
-    return joined.select(
-        "file_id", "pos", F.col("name").alias("function_name"), let(split_lines(F.col("code")), texts).alias("t"),
-        F.col("start_ln").alias("start_line"), F.col("end_ln").alias("end_line"),
-    ).select("file_id", "pos", "function_name", "t.*", "start_line", "end_line")
+    found = let(split_lines(F.col("code")), shown)
+    return files.select("file_id", F.posexplode(found).alias("pos", "c")).select("file_id", "pos", "c.*")
 
 
 _CHECK4 = ("is_", "validate_", "check_", "verify_")
@@ -150,12 +144,16 @@ NO_PROPOSAL = '    raise NotImplementedError(f"<0>() not implemented - requires
 
 def proposal(name: Column, params: Column) -> Column:
     """struct(code, required_import) for a name and its parameter names."""
-    n = F.lower(name)
-    p1, p2 = F.coalesce(F.get(params, 0), F.lit("value")), F.coalesce(F.get(params, 1), F.lit("items"))
+    bound = F.struct(
+        name.alias("name"), F.lower(name).alias("n"), F.coalesce(F.get(params, 0), F.lit("value")).alias("p1"),
+        F.coalesce(F.get(params, 1), F.lit("items")).alias("p2"),
+    )
+    return let(bound, _proposal)
+
 
-    def made(text: str, needs: str | None) -> Column:
-        filled = F.replace(F.replace(F.replace(F.lit(text), F.lit("<1>"), p1), F.lit("<2>"), p2), F.lit("<0>"), name)
-        return F.struct(filled.alias("code"), F.lit(needs).cast("string").alias("required_import"))
+def _proposal(x: Column) -> Column:
+    def template(text: str, needs: str | None) -> Column:
+        return F.struct(F.lit(text).alias("code"), F.lit(needs).cast("string").alias("required_import"))
 
     def any_of(tests: list[Column]) -> Column:
         out = tests[0]
@@ -163,40 +161,53 @@ def proposal(name: Column, params: Column) -> Column:
             out = out | t
         return out
 
-    out = made(NO_PROPOSAL, None)
+    n = x["n"]
+    out = template(NO_PROPOSAL, None)
     for every, some, prefixes, text, needs in reversed(PROPOSALS):
-        holds = F.lit(True)
-        for part in every:
-            holds = holds & n.contains(part)
+        tests = [n.contains(part) for part in every]
         if some:
-            holds = holds & any_of([n.contains(p) for p in some])
+            tests.append(any_of([n.contains(p) for p in some]))
         if prefixes:
-            holds = holds & any_of([n.startswith(p) for p in prefixes])
-        out = F.when(holds, made(text, needs)).otherwise(out)
-    return out
+            tests.append(any_of([n.startswith(p) for p in prefixes]))
+        holds = tests[0]
+        for t in tests[1:]:
+            holds = holds & t
+        out = F.when(holds, template(text, needs)).otherwise(out)
+
+    def filled(t: Column) -> Column:
+        code = F.replace(F.replace(F.replace(t["code"], F.lit("<1>"), x["p1"]), F.lit("<2>"), x["p2"]), F.lit("<0>"), x["name"])
+        return F.struct(code.alias("code"), t["required_import"].alias("required_import"))
+
+    return let(out, filled)
 
 
-def _params_of(code: Column, name: Column) -> Column:
-    """Parameters at the first ``def name(`` of a text."""
+def proposals_of(code: Column) -> Column:
+    """Stubs of a text with suggestion and required_import; JavaScript stubs get a comment."""
     pattern = F.lit(r"def (\w+)\(([^)]*)\)")
-    names, raws = F.regexp_extract_all(code, pattern, F.lit(1)), F.regexp_extract_all(code, pattern, F.lit(2))
-    at = F.array_position(names, name)
-    return clean_params(F.coalesce(F.get(raws, (at - 1).cast("int")), F.lit("")))
+    defined = F.struct(
+        F.regexp_extract_all(code, pattern, F.lit(1)).alias("names"), F.regexp_extract_all(code, pattern, F.lit(2)).alias("raws")
+    )
 
+    def made(s: Column, d: Column) -> Column:
+        at = F.array_position(d["names"], s["name"])  # the first ``def name(``
+        python = proposal(s["name"], clean_params(F.coalesce(F.get(d["raws"], (at - 1).cast("int")), F.lit(""))))
+        comment = F.struct(
+            F.concat(F.lit("// TODO: implement "), s["name"]).alias("code"), F.lit(None).cast("string").alias("required_import")
+        )
+        fields = ("name", "risk", "reason", "snippet", "def_ln", "start_ln", "end_ln", "base", "language")
+        return let(
+            F.when(s["language"] == "python", python).otherwise(comment),
+            lambda m: F.struct(
+                *[s[k].alias(k) for k in fields], m["code"].alias("suggestion"), m["required_import"].alias("required_import")
+            ),
+        )
 
-def proposals(files: DataFrame) -> DataFrame:
-    """(file_id, pos, name, suggestion, required_import) for each stub.
+    return let(defined, lambda d: F.transform(stubs_of(code), lambda s: made(s, d)))
 
-    JavaScript stubs get a comment.
-    """
-    found = stubs(files).join(files.select("file_id", "code"), "file_id")
-    python = proposal(F.col("name"), _params_of(F.col("code"), F.col("name")))
-    made = F.when(F.col("language") == "python", python).otherwise(
-        F.struct(F.concat(F.lit("// TODO: implement "), F.col("name")).alias("code"), F.lit(None).cast("string").alias("required_import"))
-    )
-    return found.select(
-        "file_id", "pos", "name", "risk", "reason", "snippet", "def_ln", "start_ln", "end_ln", "base", "language", made.alias("m")
-    ).select("*", F.col("m.code").alias("suggestion"), "m.required_import").drop("m")
+
+def proposals(files: DataFrame) -> DataFrame:
+    """(file_id, pos, name, suggestion, required_import and the stub's extent) for each stub."""
+    return files.select("file_id", F.posexplode(proposals_of(F.col("code"))).alias("pos", "s")).select("file_id", "pos", "s.*")
 
 
 #: (type, weight, text around the parameter <p>) of the clues. Fixed values.
@@ -237,20 +248,36 @@ def refine(suggestion: Column, kind: Column, param: Column) -> Column:
     return F.when((kind == "dict") & suggestion.contains(plain), F.replace(suggestion, plain, better)).otherwise(suggestion)
 
 
+def types_of(code: Column) -> Column:
+    """Per function with parameters: name, param, a confidence per type, dominant.
+    The scope is the function's body, else the whole text."""
+
+    def typed(bodies: Column) -> Column:
+        names = F.transform(bodies, lambda b: b["name"])
+
+        def one(p: Column, ns: Column) -> Column:
+            at = F.array_position(ns, p["name"])
+            scope = F.coalesce(F.get(bodies, (at - 1).cast("int"))["body"], code)
+            param = F.get(p["params"], F.lit(0))
+
+            def scored(x: Column) -> Column:
+                scores = F.struct(*[c.alias(k) for k, c in type_confidence(x["scope"], x["param"]).items()])
+                return let(
+                    scores,
+                    lambda v: F.struct(
+                        p["name"].alias("name"), x["param"].alias("param"), *[v[k].alias(k) for k in TYPES],
+                        dominant_type({k: v[k] for k in TYPES}).alias("dominant"),
+                    ),
+                )
+
+            return let(F.struct(scope.alias("scope"), param.alias("param")), scored)
+
+        with_params = F.filter(params_of(code), lambda p: F.size(p["params"]) > 0)
+        return let(names, lambda ns: F.transform(with_params, lambda p: one(p, ns)))
+
+    return let(bodies_of(code), typed)
+
+
 def first_param_types(files: DataFrame) -> DataFrame:
-    """(file_id, name, param, dict, list, string, number, dominant) per function
-    with parameters; the scope is the function's body, else the file."""
-    from codesieve.operators.functions import function_bodies, function_params
-
-    with_params = function_params(files).where(F.size("params") > 0).select("file_id", "name", F.get("params", F.lit(0)).alias("param"))
-    bodies = function_bodies(files)
-    rows = with_params.join(bodies, ["file_id", "name"], "left").join(files.select("file_id", "code"), "file_id")
-    scores = type_confidence(F.coalesce("body", "code"), F.col("param"))
-    named = rows.select("file_id", "name", "param", *[c.alias(k) for k, c in scores.items()])
-    return named.withColumn("dominant", dominant_type({k: F.col(k) for k in TYPES}))
-
-
-def latest_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key in the given order."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    """(file_id, name, param, dict, list, string, number, dominant); see ``types_of``."""
+    return files.select("file_id", F.inline(types_of(F.col("code"))))

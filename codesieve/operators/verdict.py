@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codesieve.functions.text import content_language
+from codesieve.functions.text import content_language, let
 from codesieve.operators.rules import CONTENT, POLICY, Rule
-from codesieve.operators.scan import first_outside_comments, scan_first
+from codesieve.operators.scan import clear_hits, first_outside_comments, scan_first
 
 POLICY_EVIDENCE = 80
 
@@ -32,38 +32,50 @@ def policy_findings(files: DataFrame, rules: Sequence[Rule] = POLICY) -> DataFra
     return files.select("file_id", F.inline(F.filter(hits, lambda h: h.isNotNull())))
 
 
-def policy_verdict(files: DataFrame, rules: Sequence[Rule] = POLICY) -> DataFrame:
-    """One row per file: n_violations, risk_score, verdict, summary. No shuffle."""
-    code = F.col("code")
+def policy_of(code: Column, rules: Sequence[Rule] = POLICY) -> Column:
+    """struct(n_violations, risk_score, verdict, summary) of one text."""
     hit = {r: code.rlike(r.pattern).cast("int") for r in rules}
     n = sum(hit.values(), F.lit(0))
     risk = sum((h * (40 if r.critical else 20) for r, h in hit.items()), F.lit(0))
     critical = sum((h for r, h in hit.items() if r.critical), F.lit(0))
-    rolled = files.select("file_id", n.cast("long").alias("n_violations"), F.least(F.lit(100), risk).cast("long").alias("risk_score"), critical.alias("c"))
-    verdict = F.when(F.col("c") > 0, "BLOCKED").when(F.col("n_violations") > 0, "WARNING").otherwise("ALLOWED")
-    return rolled.withColumn("verdict", verdict).withColumn(
-        "summary",
-        F.when(F.col("verdict") == "BLOCKED", "refused: critical violation").when(F.col("verdict") == "WARNING", "warning: needs review").otherwise("clean"),
-    ).drop("c")
+
+    def rolled(x: Column) -> Column:
+        serious, any_ = x["c"] > 0, x["n"] > 0
+        return F.struct(
+            x["n"].cast("long").alias("n_violations"), F.least(F.lit(100), x["risk"]).cast("long").alias("risk_score"),
+            F.when(serious, "BLOCKED").when(any_, "WARNING").otherwise("ALLOWED").alias("verdict"),
+            F.when(serious, "refused: critical violation").when(any_, "warning: needs review").otherwise("clean").alias("summary"),
+        )
+
+    return let(F.struct(n.alias("n"), risk.alias("risk"), critical.alias("c")), rolled)
+
+
+def policy_verdict(files: DataFrame, rules: Sequence[Rule] = POLICY) -> DataFrame:
+    """One row per file: n_violations, risk_score, verdict, summary. No shuffle."""
+    return files.select("file_id", policy_of(F.col("code"), rules).alias("p")).select("file_id", "p.*")
 
 
 def content_findings(files: DataFrame, rules: Sequence[Rule] = CONTENT) -> DataFrame:
     return first_outside_comments(files, rules, content_language(F.col("code")))
 
 
+def content_of(code: Column, rules: Sequence[Rule] = CONTENT) -> Column:
+    """struct(n_violations, verdict, blocked, message) of one text."""
+
+    def rolled(hits: Column) -> Column:
+        unlawful, any_ = F.exists(hits, lambda h: h["critical"]), F.size(hits) > 0
+        return F.struct(
+            F.size(hits).cast("long").alias("n_violations"),
+            F.when(unlawful, "ILLEGAL").when(any_, "RESTRICTED").otherwise("LEGAL").alias("verdict"), unlawful.alias("blocked"),
+            F.when(unlawful, "refused: unlawful content").when(any_, "warning: restricted content").otherwise("accepted").alias("message"),
+        )
+
+    return let(clear_hits(code, rules, content_language(code)), rolled)
+
+
 def content_verdict(files: DataFrame, rules: Sequence[Rule] = CONTENT) -> DataFrame:
-    """One row per file: n_violations, verdict ILLEGAL, RESTRICTED or LEGAL, blocked.
-
-    Files are joined to their findings; both sides are narrow and keyed by file.
-    """
-    found = content_findings(files, rules).groupBy("file_id").agg(F.count("*").alias("n"), F.bool_or("critical").alias("critical"))
-    joined = files.select("file_id").join(found, "file_id", "left")
-    verdict = F.when(F.col("critical"), "ILLEGAL").when(F.col("n") > 0, "RESTRICTED").otherwise("LEGAL")
-    return joined.select(
-        "file_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_violations"), verdict.alias("verdict"),
-        (verdict == "ILLEGAL").alias("blocked"),
-        F.when(verdict == "ILLEGAL", "refused: unlawful content").when(verdict == "RESTRICTED", "warning: restricted content").otherwise("accepted").alias("message"),
-    )
+    """One row per file: n_violations, verdict ILLEGAL, RESTRICTED or LEGAL, blocked. No shuffle."""
+    return files.select("file_id", content_of(F.col("code"), rules).alias("c")).select("file_id", "c.*")
 
 
 def corpus_rollup(files: DataFrame, rules: Sequence[Rule]) -> DataFrame:

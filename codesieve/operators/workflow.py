@@ -2,37 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codesieve.functions.text import guard_language, let
 from codesieve.operators.guard import direct_checks, report_of
 from codesieve.operators.patches import apply_changes
-from codesieve.operators.stubs import first_param_types, proposals, refine
-from codesieve.operators.verdict import content_verdict, policy_verdict
+from codesieve.operators.stubs import proposals, proposals_of, refine, types_of
+from codesieve.operators.verdict import content_of, policy_of
 
 
 def workflow_items(files: DataFrame) -> DataFrame:
     """One row per stub: stage, label, progress, blocked reason, suggestion.
 
     Gates are computed once per file, in the order content, policy, suggestion
-    guard; the first that blocks decides.
+    guard; the first that blocks decides. All of it stays in the file's row.
     """
-    made = proposals(files)
-    types = first_param_types(files).select("file_id", "name", "param", "dominant")
-    typed = made.join(types, ["file_id", "name"], "left")
-    refined = typed.withColumn(
-        "suggestion",
-        F.when(F.col("dominant").isNull(), F.col("suggestion")).otherwise(refine(F.col("suggestion"), F.col("dominant"), F.col("param"))),
+    code = F.col("code")
+
+    def items_of(x: Column) -> Column:
+        def one(s: Column, names: Column) -> Column:
+            t = F.get(x["types"], (F.array_position(names, s["name"]) - 1).cast("int"))
+            text = F.when(t["dominant"].isNull(), s["suggestion"]).otherwise(refine(s["suggestion"], t["dominant"], t["param"]))
+            return F.struct(
+                s["name"].alias("name"), s["reason"].alias("reason"), text.alias("suggestion"),
+                x["content"]["blocked"].alias("unlawful"), x["content"]["message"].alias("content_message"),
+                (x["policy"]["verdict"] == "BLOCKED").alias("refused"), x["policy"]["summary"].alias("policy_summary"),
+            )
+
+        names = F.transform(x["types"], lambda t: t["name"])
+        return let(names, lambda ns: F.transform(x["stubs"], lambda s: one(s, ns)))
+
+    # Bound once per file: after the explode a mention would be evaluated per stub.
+    bound = F.struct(
+        content_of(code).alias("content"), policy_of(code).alias("policy"), types_of(code).alias("types"), proposals_of(code).alias("stubs")
     )
+    items = files.select("file_id", F.posexplode(let(bound, items_of)).alias("pos", "s")).select("file_id", "pos", "s.*")
     checks = let(F.col("suggestion"), lambda t: direct_checks(t, guard_language(t)))
-    guarded = report_of(
-        refined.select("file_id", "pos", "name", "reason", "suggestion", checks.alias("checks")),
-        ["file_id", "pos", "name", "reason", "suggestion"],
-    ).select("file_id", "pos", "name", "reason", "suggestion", "safety_score", F.col("verdict").alias("guard"), F.col("blocked_reason").alias("guard_reason"))
-    content = content_verdict(files).select("file_id", F.col("blocked").alias("unlawful"), F.col("message").alias("content_message"))
-    policy = policy_verdict(files).select("file_id", (F.col("verdict") == "BLOCKED").alias("refused"), F.col("summary").alias("policy_summary"))
-    rows = guarded.join(content, "file_id", "left").join(policy, "file_id", "left")
+    rows = report_of(items.select(*items.columns, checks.alias("checks")), items.columns).select(
+        *items.columns, "safety_score", F.col("verdict").alias("guard"), F.col("blocked_reason").alias("guard_reason")
+    )
     gate = (
         F.when(F.col("unlawful"), "content").when(F.col("refused"), "policy").when(F.col("guard") == "BLOCKED", "guard").otherwise("none")
     )
@@ -69,12 +78,21 @@ def name_proposals(files: DataFrame) -> DataFrame:
 def review_counters(decisions: DataFrame) -> DataFrame:
     """Running approved, rejected and position per session, in decision order.
 
-    A session is one person's review, so its decisions are a bounded ordered run.
+    A session's days are summed first and carry over, so a task holds one day of
+    one session, not a whole session.
     """
-    w = Window.partitionBy("session_id").orderBy("ts", "version_id").rowsBetween(Window.unboundedPreceding, 0)
-    return decisions.select(
-        "session_id", "version_id", F.count("*").over(w).alias("position"), F.count_if("approved").over(w).alias("approved_so_far"),
-        F.count_if(~F.col("approved")).over(w).alias("rejected_so_far"),
+    approved, rejected = F.col("approved").cast("int"), (~F.col("approved")).cast("int")
+    rows = decisions.withColumn("day", F.to_date("ts"))
+    totals = rows.groupBy("session_id", "day").agg(F.count("*").alias("n"), F.count_if("approved").alias("a"), F.count_if(~F.col("approved")).alias("r"))
+    before = Window.partitionBy("session_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(
+        F.col("session_id").alias("s"), F.col("day").alias("d"), *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("n", "a", "r")]
+    )
+    w = Window.partitionBy("session_id", "day").orderBy("ts", "version_id").rowsBetween(Window.unboundedPreceding, 0)
+    joined = rows.join(carried, F.col("session_id").eqNullSafe(F.col("s")) & F.col("day").eqNullSafe(F.col("d")))
+    return joined.select(
+        "session_id", "version_id", (F.count("*").over(w) + F.col("n_before")).alias("position"),
+        (F.sum(approved).over(w) + F.col("a_before")).alias("approved_so_far"), (F.sum(rejected).over(w) + F.col("r_before")).alias("rejected_so_far"),
     )
 
 

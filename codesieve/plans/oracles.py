@@ -6,11 +6,13 @@ where the operators fold over arrays. Only rule lists and fixed values are share
 
 from __future__ import annotations
 
+import json
+
 from codesieve.functions import text
 from codesieve.operators import history, patches, stubs
 from codesieve.operators.guard import NOISE, OPENERS
 from codesieve.operators.rules import CONTENT, GUARD, POLICY, SECURITY, SEVERITIES, WEIGHTS, Rule
-from codesieve.sources import corpus
+from codesieve.sources import corpus, responses
 from codesieve.sources.corpus import quoted as q
 
 NL = "chr(10)"
@@ -346,7 +348,11 @@ def _signature_of(code: str) -> str:
         "'(?i)(?:function\\s+' || function_name || '|' || function_name || "
         "'\\s*=\\s*(?:function|\\([^)]*\\)\\s*=>|async\\s*\\([^)]*\\)\\s*=>))\\s*\\(?[^)]*\\)?\\s*\\{?'"
     )
-    pattern = f"CASE lang WHEN 'PYTHON' THEN {python} WHEN 'JAVASCRIPT' THEN {script} END"
+    java = (
+        "'(?i)(?:public|private|protected|static|final|abstract|synchronized|\\s)*\\s*(?:<[^>]+>\\s*)?(?:[\\w<>\\[\\]]+\\s+)?' || function_name || "
+        "'\\s*\\([^)]*\\)\\s*(?:throws\\s+[\\w,\\s]+)?\\s*\\{?'"
+    )
+    pattern = f"CASE lang WHEN 'PYTHON' THEN {python} WHEN 'JAVASCRIPT' THEN {script} WHEN 'JAVA' THEN {java} WHEN 'KOTLIN' THEN {java} END"
     return f"nullif(regexp_replace(trim(regexp_extract({code}, {pattern})), '\\s+', ' ', 'g'), '')"
 
 
@@ -437,6 +443,29 @@ _INTENT = _case(
     "'unspecified'",
 )
 
+#: A def is reported once a line below it, at its indent plus four, begins with pass
+#: or '...'; the next def is looked for behind that line. By joins and a recursive walk.
+_REPORTED = rf"""
+  WITH RECURSIVE d AS (SELECT file_id, ln, ind, regexp_extract(head, 'def\s+(\w+)', 1) AS name, {_newlines('head')} AS span FROM (
+      SELECT file_id, ln, ind, regexp_extract(array_to_string(a[ln:], {NL}), '^\s*def\s+\w+\s*\([^)]*\).*:\s*\n') AS head
+      FROM lines JOIN (SELECT file_id, string_split(code, {NL}) AS a FROM source_files) USING (file_id) WHERE regexp_matches(x, '^\s*def\s')) WHERE head <> ''),
+  e AS (SELECT d.file_id, d.name, d.ln, min(l.ln) AS stop FROM d JOIN lines l ON l.file_id = d.file_id AND l.ln >= d.ln + d.span AND l.ind = d.ind + 4
+      AND regexp_matches(l.t, '^(pass|[.][.][.])') GROUP BY ALL),
+  w AS (SELECT file_id, name, ln, stop, 0 AS pos FROM e QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY ln) = 1
+    UNION ALL
+    SELECT file_id, name, ln, stop, pos FROM (SELECT e.file_id, e.name, e.ln, e.stop, w.pos + 1 AS pos,
+        row_number() OVER (PARTITION BY e.file_id ORDER BY e.ln) AS turn FROM w JOIN e ON e.file_id = w.file_id AND e.ln > w.stop) WHERE turn = 1)
+  SELECT file_id, CAST(pos AS BIGINT) AS pos, name, {_FIXABILITY} AS fix FROM w"""
+
+
+def _fix_text(part: int) -> str:
+    return _case([(f"fix = {q(k)}", q(t[part]) if t[part] else "NULL") for k, t in text.FIX_TEXTS.items()], "NULL")
+
+
+#: First line of a prompt, and what a request holds behind its contents.
+_ASK = "Complete the unfinished functions of one file. Change nothing else, add no import that is not needed, and return no placeholder.\n"
+_ENVELOPE = json.dumps(responses.ENVELOPE, separators=(",", ":"))[1:]
+
 _VERSIONS, _SESSIONS = f"({corpus.VERSIONS})", f"({corpus.SESSIONS})"
 
 
@@ -467,7 +496,9 @@ def oracle_sql() -> dict[str, str]:
         ),
         "source_normalised": _with(
             f"""SELECT file_id, string_split(path, '/')[-1] AS name, 'fixed_' || string_split(path, '/')[-1] AS out_name,
-  CAST({_lines_of('code')} AS BIGINT) AS lines, md5(code) AS digest FROM source_files WHERE trim(code) <> ''"""
+  CAST({_lines_of('code')} AS BIGINT) AS lines, md5(code) AS digest
+FROM (SELECT file_id, path, replace(replace(code, chr(13) || chr(10), {NL}), chr(13), {NL}) AS code FROM ({corpus.RAW_FILES}))
+WHERE trim(code, ' ' || {NL} || chr(9)) <> ''"""
         ),
         "python_functions": _with("SELECT file_id, name, def_ln, sig_ln, body_ln, end_ln FROM extents", lines=_LINES, extents=_EXTENTS),
         "stub_detect": _with("SELECT * FROM stubs", **_STUB_TABLES),
@@ -568,7 +599,8 @@ round(avg(safety_score), 4) AS mean_score FROM {_VERSIONS} WHERE NOT is_restore
 WHERE session_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) GROUP BY 1""",
         "history_upsert": f"""SELECT session_id, function_name, version_id, approved FROM {_VERSIONS}
 QUALIFY row_number() OVER (PARTITION BY session_id, function_name ORDER BY approved DESC, ts DESC, version_id DESC) = 1""",
-        "history_document": f"SELECT session_id, version_id, function_name, after, approved, safety_score FROM {_VERSIONS}",
+        "history_document": f"""SELECT session_id, version_id, function_name, after, approved, safety_score FROM {_VERSIONS}
+QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, version_id DESC) <= {history.MAX_VERSIONS}""",
         "review_counters": f"""SELECT session_id, version_id, count(*) OVER w AS position, count(*) FILTER (approved) OVER w AS approved_so_far,
 count(*) FILTER (NOT approved) OVER w AS rejected_so_far FROM {_VERSIONS} WINDOW w AS (PARTITION BY session_id ORDER BY ts, version_id)""",
         "decision_replay": _with(
@@ -598,15 +630,43 @@ kept AS (SELECT file_id, section, function_name, before, after, explanation, saf
 SELECT * FROM kept UNION ALL
 SELECT file_id, 0, '', '', raw, '', 0, true FROM r WHERE file_id NOT IN (SELECT file_id FROM kept)""",
         "related_files": _with(
-            """SELECT file_id, unnest(list_filter(n, lambda x: x IS NOT NULL)) AS related_path FROM (
-  SELECT file_id, [lead(path, 1) OVER w, lead(path, 2) OVER w, lead(path, 3) OVER w] AS n FROM source_files
-  WINDOW w AS (PARTITION BY repo, floor(file_id / 4096) ORDER BY file_id))"""
+            f"SELECT r.file_id, path AS related_path, len(code) AS n_chars FROM ({corpus.RELATED}) r JOIN source_files f ON f.file_id = r.related_id"
+        ),
+        "prompt_rows": _with(
+            f"""SELECT file_id, len(body) AS n_chars, md5(body) AS digest FROM (
+  SELECT file_id, '{{"contents":[{{"role":"user","parts":[{{"text":' || to_json(prompt) || '}}]}}],' || {q(_ENVELOPE)} AS body FROM (
+    SELECT f.file_id, {q(_ASK)} || 'File: ' || path || {NL} || '```' || {NL} || code || {NL} || '```' || {NL} || coalesce(related, '') || listed
+      || {NL} || 'Line numbers of fixes begin at 0.' || {NL} AS prompt
+    FROM source_files f JOIN (SELECT file_id, string_agg({NL} || '--- Candidate #' || (pos + 1) || ' ---' || {NL} || 'Function: ' || name || {NL}
+        || 'Lines: ' || start_ln || ' to ' || end_ln || {NL} || 'Code:' || {NL} || '```' || {NL} || array_to_string(a[def_ln:end_ln], {NL})
+        || CASE WHEN end_ln >= def_ln THEN {NL} ELSE '' END || {NL} || '```', {NL} ORDER BY pos) AS listed
+      FROM stubs JOIN (SELECT file_id, string_split(code, {NL}) AS a FROM source_files) USING (file_id) GROUP BY file_id) USING (file_id)
+    LEFT JOIN (SELECT r.file_id, string_agg({NL} || 'Related file: ' || path || {NL} || '```' || {NL} || code || {NL} || '```', {NL} ORDER BY path) AS related
+      FROM ({corpus.RELATED}) r JOIN source_files g ON g.file_id = r.related_id GROUP BY r.file_id) x ON x.file_id = f.file_id))""",
+            **_STUB_TABLES,
+        ),
+        "report_functions": _with(
+            f"""SELECT file_id, pos, name, 'confirmed' AS risk, fix AS fixability, {_INTENT} AS intent, {_fix_text(0)} AS fix_reason,
+  {_fix_text(1)} AS warning_note, {_fix_text(2)} AS signal, fix = 'HIGH' AS can_auto_fix FROM reported""",
+            lines=_LINES, reported=_REPORTED,
+        ),
+        "report_summary": _with(
+            f"""SELECT file_id, language, total_lines, n_stubs, high_fixable, medium_fixable, low_fixable,
+  CASE WHEN n_stubs = 0 THEN 'no unfinished function found' ELSE n_stubs || ' unfinished functions: ' || high_fixable || ' clear, ' || medium_fixable
+    || ' to review, ' || low_fixable || ' hard' END AS message,
+  CASE WHEN n_stubs = 0 THEN 'the file looks complete' ELSE 'review each proposal before approval' END AS recommendation
+FROM (SELECT f.file_id, CASE WHEN contains(code, 'def ') THEN 'Python' ELSE 'Unknown' END AS language, CAST({_lines_of('code')} AS BIGINT) AS total_lines,
+    coalesce(n, 0) AS n_stubs, coalesce(high, 0) AS high_fixable, coalesce(medium, 0) AS medium_fixable, coalesce(low, 0) AS low_fixable
+  FROM source_files f LEFT JOIN (SELECT file_id, count(*) AS n, count(*) FILTER (fix = 'HIGH') AS high, count(*) FILTER (fix = 'MEDIUM') AS medium,
+    count(*) FILTER (fix = 'LOW') AS low FROM reported GROUP BY file_id) USING (file_id))""",
+            lines=_LINES, reported=_REPORTED,
         ),
-        "conversation_prompts": f"""SELECT conv_id, count(*) AS n_turns, md5(string_agg(role || ': ' || coalesce(text, ''), {NL} ORDER BY turn)) AS digest
-FROM conversations GROUP BY conv_id""",
+        "conversation_prompts": f"""SELECT conv_id, CAST(floor(turn / 64) AS BIGINT) AS part, count(*) AS n_turns,
+md5(string_agg(role || ': ' || coalesce(text, ''), {NL} ORDER BY turn)) AS digest FROM conversations GROUP BY ALL""",
         "stream_decisions": """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start,
 count(*) FILTER (event_type IN ('purchase', 'signup', 'click')) AS approved,
-count(*) FILTER (event_type NOT IN ('purchase', 'signup', 'click')) AS rejected FROM events GROUP BY 1""",
+count(*) FILTER (event_type NOT IN ('purchase', 'signup', 'click')) AS rejected FROM events GROUP BY date_trunc('day', ts)
+HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""",
     }
     out["function_totals"] = _with(
         r"""SELECT f.file_id, CAST(coalesce(n, 0) AS BIGINT) AS total_visited, CAST(len(regexp_extract_all(code, '(?m)^\s*def\s+\w+', 0)) AS BIGINT) AS total_def_lines

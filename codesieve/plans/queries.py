@@ -92,7 +92,7 @@ def language_flavours(spark, sf_dir):
 
 @_register
 def source_normalised(spark, sf_dir):
-    rows = files.rewritten_names(files.normalised(_code(spark, sf_dir)))
+    rows = files.rewritten_names(files.normalised(corpus.derived(spark, sf_dir, corpus.RAW_FILES)))
     return rows.select("file_id", "name", "out_name", text.line_count(F.col("code")).alias("lines"), F.md5("code").alias("digest"))
 
 
@@ -358,26 +358,32 @@ def text_responses_guarded(spark, sf_dir):
     return responses.guarded_proposals(corpus.derived(spark, sf_dir, corpus.TEXT_RESPONSES))
 
 
+def _related(spark: SparkSession, sf_dir: str, code: DataFrame) -> DataFrame:
+    return responses.related_files(code, corpus.derived(spark, sf_dir, corpus.RELATED))
+
+
 @_register
 def prompt_rows(spark, sf_dir):
     code = _code(spark, sf_dir)
     found = stubs.candidates(code)
-    made = responses.prompts(code, found, responses.related_files(code, found))
+    made = responses.prompts(code, found, _related(spark, sf_dir, code))
     return responses.request_bodies(made).select("file_id", F.length("body").alias("n_chars"), F.md5("body").alias("digest"))
 
 
 @_register
 def related_files(spark, sf_dir):
     code = _code(spark, sf_dir)
-    return responses.related_files(code, code).select("file_id", "related_path")
+    return _related(spark, sf_dir, code).select("file_id", "related_path", F.length("related_code").alias("n_chars"))
 
 
 @_register
 def conversation_prompts(spark, sf_dir):
+    """A conversation's turns in numbered parts of 64, so that one of any length fits."""
     turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
-    rows = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns.alias("t"))
+    rows = _table(spark, sf_dir, "conversations").withColumn("part", F.floor(F.col("turn") / 64))
+    rows = rows.groupBy("conv_id", "part").agg(turns.alias("t"))
     joined = F.array_join(F.transform("t", lambda x: F.concat(x["role"], F.lit(": "), F.coalesce(x["text"], F.lit("")))), "\n")
-    return rows.select("conv_id", F.size("t").alias("n_turns"), F.md5(joined).alias("digest"))
+    return rows.select("conv_id", "part", F.size("t").alias("n_turns"), F.md5(joined).alias("digest"))
 
 
 @_register
@@ -391,8 +397,8 @@ def stream_scan(spark, sf_dir):
 
 @_register
 def stream_decisions(spark, sf_dir):
-    rows = streams.drain(streams.decisions(spark, f"{sf_dir}/events.parquet"), streams.shared_folder(spark))
-    return streams.decision_windows(rows)
+    counted = streams.decision_windows(streams.decisions(spark, f"{sf_dir}/events.parquet"))
+    return streams.drain(counted, streams.shared_folder(spark))
 
 
 def queries() -> dict[str, Query]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codesieve.functions.text import base_name, normal_newlines
+from codesieve.functions.text import base_name, normal_newlines, trim_control
 
 COLUMNS = ("file_id", "repo", "path", "code")
 
@@ -32,7 +32,8 @@ def stream_source_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def without_empty(files: DataFrame) -> DataFrame:
-    return files.where(F.trim(F.coalesce("code", F.lit(""))) != "")
+    """Files that hold more than blanks, newlines and other characters up to U+0020."""
+    return files.where(trim_control(F.coalesce("code", F.lit(""))) != "")
 
 
 def normalised(files: DataFrame) -> DataFrame:

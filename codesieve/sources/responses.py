@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codesieve.functions.text import guard_language, let, trim_control
@@ -115,27 +115,61 @@ def prompts(files: DataFrame, candidates: DataFrame, related: DataFrame | None =
     return rows.select("file_id", "n_candidates", prompt.alias("prompt"))
 
 
-def related_files(files: DataFrame, targets: DataFrame, most: int = 3, span: int = 4096) -> DataFrame:
-    """Up to ``most`` other files of a target's repo, those of next greater id.
+def related_files(files: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(file_id, related_path, related_code): every related file that ``pairs``
+    (file_id, related_id) names, a file itself aside; repeated pairs count once.
 
-    Files meet within a repo and a span of ids, so a large repo is never
-    gathered in one task nor paired with itself.
+    The pairs are an input, as a person or a build system gives them: nothing is
+    capped, and no repo is paired with itself. They meet texts by the related id;
+    a file that many others name is split by the skew join.
     """
-    part = F.floor(F.col("file_id") / span)
-    order = Window.partitionBy("repo", part).orderBy("file_id")
-    nexts = [F.lead(F.struct("path", "code"), k).over(order) for k in range(1, most + 1)]
-    rows = files.select("file_id", F.array(*nexts).alias("n")).join(targets.select("file_id").distinct(), "file_id", "left_semi")
-    pairs = rows.select("file_id", F.explode(F.filter("n", lambda x: x.isNotNull())).alias("r"))
-    return pairs.select("file_id", F.col("r.path").alias("related_path"), F.col("r.code").alias("related_code"))
+    wanted = pairs.where("file_id <> related_id").select("file_id", "related_id").distinct()
+    texts = files.select(F.col("file_id").alias("_of"), F.col("path").alias("related_path"), F.col("code").alias("related_code"))
+    return wanted.join(texts, F.col("related_id") == F.col("_of")).select("file_id", "related_path", "related_code")
+
+
+#: Standing instruction of a request (ours), and the schema of the tool's arguments (fixed value).
+INSTRUCTION = (
+    "You complete unfinished functions. Change only the functions that are listed, keep their signatures, use no name that is not "
+    f"in reach, and always call {TOOL} to return the result."
+)
+_FIELDS = {
+    "function_name": "STRING", "before": "STRING", "after": "STRING", "reason": "STRING", "start_line": "INTEGER", "end_line": "INTEGER",
+}
+DECLARATION = {
+    "name": TOOL,
+    "description": "Sends the list of exact fixes for the unfinished functions; an empty list if none is needed or sure.",
+    "parameters": {
+        "type": "OBJECT",
+        "properties": {
+            "fixes": {
+                "type": "ARRAY",
+                "items": {"type": "OBJECT", "properties": {k: {"type": t} for k, t in _FIELDS.items()}, "required": list(_FIELDS)},
+            }
+        },
+        "required": ["fixes"],
+    },
+}
+#: What a request holds behind its contents.
+ENVELOPE = {
+    "systemInstruction": {"parts": [{"text": INSTRUCTION}]},
+    "tools": [{"functionDeclarations": [DECLARATION]}],
+    "toolConfig": {"functionCallingConfig": {"mode": "ANY", "allowedFunctionNames": [TOOL]}},
+    "generationConfig": {"temperature": TEMPERATURE, "maxOutputTokens": MAX_TOKENS},
+}
+
+
+def _literal(value) -> Column:
+    if isinstance(value, dict):
+        return F.struct(*[_literal(v).alias(k) for k, v in value.items()])
+    if isinstance(value, list):
+        return F.array(*[_literal(v) for v in value])
+    return F.lit(value)
 
 
 def request_bodies(prompted: DataFrame) -> DataFrame:
-    """(file_id, body): the JSON that another system sends."""
-    body = F.struct(
-        F.array(F.struct(F.lit("user").alias("role"), F.array(F.struct(F.col("prompt").alias("text"))).alias("parts"))).alias("contents"),
-        F.struct(
-            F.struct(F.lit("ANY").alias("mode"), F.array(F.lit(TOOL)).alias("allowedFunctionNames")).alias("functionCallingConfig")
-        ).alias("toolConfig"),
-        F.struct(F.lit(TEMPERATURE).alias("temperature"), F.lit(MAX_TOKENS).alias("maxOutputTokens")).alias("generationConfig"),
-    )
+    """(file_id, body): the JSON that another system sends: contents, instruction,
+    tool declaration, the choice of that tool, and generation settings."""
+    contents = F.array(F.struct(F.lit("user").alias("role"), F.array(F.struct(F.col("prompt").alias("text"))).alias("parts")))
+    body = F.struct(contents.alias("contents"), *[_literal(v).alias(k) for k, v in ENVELOPE.items()])
     return prompted.select("file_id", F.to_json(body).alias("body"))

@@ -47,8 +47,12 @@ def decisions(spark: SparkSession, path: str, delay: str = "1 hour") -> DataFram
     )
 
 
-def decision_windows(rows: DataFrame, width: str = "1 day") -> DataFrame:
-    """Approved and rejected decisions per tumbling window."""
-    return rows.groupBy(F.window("ts", width).alias("w")).agg(
+def decision_windows(stream: DataFrame, width: str = "1 day") -> DataFrame:
+    """Approved and rejected decisions per tumbling window, counted in the stream.
+
+    In append mode a window leaves when the watermark has passed its end; windows
+    that are still open stay in the state.
+    """
+    return stream.groupBy(F.window("ts", width).alias("w")).agg(
         F.count_if("approved").alias("approved"), F.count_if(~F.col("approved")).alias("rejected")
     ).select(F.col("w.start").cast("string").alias("window_start"), "approved", "rejected")

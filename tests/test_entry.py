@@ -46,3 +46,18 @@ def test_entry(spark):
 
 def test_every_sql_has_its_query():
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
+
+
+def test_every_rule_hits_in_both_engines(spark, con, sf_dir):
+    """A rule without a hit would be green whatever its pattern."""
+    from codesieve.operators import rules
+
+    for name, pack in (("scan_first_match", rules.SECURITY), ("policy_findings", rules.POLICY), ("content_findings", rules.CONTENT)):
+        ids = {r.rule_id for r in pack}
+        sql = f"SELECT DISTINCT rule_id FROM ({oracles.oracle_sql()[name]})"
+        assert ids == {r.rule_id for r in queries.queries()[name](spark, sf_dir).select("rule_id").distinct().collect()}
+        assert ids == {r[0] for r in con.execute(sql).fetchall()}
+    ids = {r.rule_id for pack in rules.GUARD.values() for r in pack}
+    sql = f"SELECT DISTINCT check_id FROM ({oracles.oracle_sql()['guard_checks']}) WHERE NOT passed"
+    failed = queries.queries()["guard_checks"](spark, sf_dir).where("NOT passed").select("check_id").distinct()
+    assert ids <= {r.check_id for r in failed.collect()} and ids <= {r[0] for r in con.execute(sql).fetchall()}

@@ -76,3 +76,30 @@ def test_no_python_in_the_scan_plan(spark):
     plan = scan.scan_summary(files(spark, "x"), SECURITY)._jdf.queryExecution().executedPlan().toString()
     assert "EvalPython" not in plan and "Exchange" not in plan
     assert len(SECURITY) == 15 and len(POLICY) == 10 and len(CONTENT) == 7
+
+
+#: One text that each rule must match and one that it must not; written apart from the patterns.
+HITS = {
+    "SEC001": ('PWD = "abc"', 'pwd = "ab"'), "SEC002": ("apikey='abcdefghij'", "apikey='abc'"), "SEC003": ("AKIA" + "A1" * 8, "AKIA" + "a1" * 8),
+    "SEC004": ("eval (x)", "medieval(x)"), "SEC005": ("exec(x)", "execute(x)"), "SEC006": ('query(f"a {b}")', 'query("a", b)'),
+    "SEC007": ("hashlib.sha1(x)", "hashlib.sha256(x)"), "SEC008": ("verify = False", "verify = True"), "SEC009": ("http://a.b", "https://a.b"),
+    "SEC010": ("DEBUG=true", "debug = 0"), "SEC011": ("os.system('x')", "os.system(x)"), "SEC012": ("pickle.load(f)", "pickle.dump(f)"),
+    "SEC013": ("print(my_token)", "print(x)"), "SEC014": ("-----BEGIN RSA PRIVATE KEY-----", "-----BEGIN PUBLIC KEY-----"),
+    "SEC015": ("redis://host:1", "redis://h"),
+    "POL001": ("os.remove('/etc/x')", "os.remove('x')"), "POL002": ("capture the password", "capture"), "POL003": ("AES glob x.pdf", "AES\nglob x.pdf"),
+    "POL004": ("brute-force", "brute xx force"), "POL005": ("eval( decode", "eval(x)"), "POL006": ("setuid", "chmod 644"),
+    "POL007": ("fetch a.sh and run", "fetch and run"), "POL008": ("requests.put(secret)", "requests.get(secret)"),
+    "POL009": ("open('/etc/sudoers')", "open('/tmp/x')"), "POL010": ("dd if=a", "DD IF=a"),
+    "CON001": ("build a\nbomb", "rebuild a bomb"), "CON002": ("cook the meth", "cook " + "x" * 31 + "meth"), "CON003": ("phishing page", "fishing page"),
+    "CON004": ("keylog and upload", "keylog"), "CON005": ("write a rootkit", "write a root kit"), "CON006": ("exploit the power grid", "use the power grid"),
+    "CON007": ("CSAM", "scam"),
+}
+
+
+def test_each_pack_rule_hits_and_misses(spark):
+    rules = {r.rule_id: r for pack in (SECURITY, POLICY, CONTENT) for r in pack}
+    assert set(HITS) == set(rules)
+    df = files(spark, *[t for pair in HITS.values() for t in pair])
+    found = {(r.file_id, r.rule_id) for r in scan.scan_first(df, list(rules.values())).collect()}
+    for k, rule in enumerate(HITS):
+        assert (2 * k, rule) in found and (2 * k + 1, rule) not in found, rule

@@ -17,7 +17,7 @@ def test_whole_files_batch_equals_stream(spark, tmp_path):
     batch = files.read_source_files(spark, path)
     assert {r.path.rsplit("/", 1)[1]: r.code for r in batch.collect()} == {"a.py": "def a():\n    pass\n", "b.py": "eval(1)\n"}  # Spark's reader passes over files without a byte
     assert files.without_empty(batch).count() == 2
-    blank = spark.createDataFrame([(1, ""), (2, " "), (3, None), (4, "x")], "file_id long, code string").coalesce(1)
+    blank = spark.createDataFrame([(1, ""), (2, " "), (3, None), (4, "x"), (5, " \n\t\r\n")], "file_id long, code string")
     assert [r.file_id for r in files.normalised(blank).collect()] == [4]
     streamed = streams.drain(streams.scan_stream(files.stream_source_files(spark, path)), str(tmp_path / "out"))
     assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, streams.scan_stream(batch).collect()))
@@ -56,20 +56,46 @@ def test_prompts(spark):
         [(1, "r", "r/a.py", "def a():\n    pass\n"), (2, "r", "r/b.py", "x = 1\n"), (3, "s", "s/c.py", "y\n")], "file_id long, repo string, path string, code string"
     )
     found = stubs.candidates(df)
-    related = responses.related_files(df, found)
-    assert [(r.file_id, r.related_path) for r in related.collect()] == [(1, "r/b.py")]
+    pairs = spark.createDataFrame([(1, 2), (1, 2), (1, 1), (1, 3), (3, 9)], "file_id long, related_id long")
+    related = responses.related_files(df, pairs)
+    assert sorted((r.file_id, r.related_path) for r in related.collect()) == [(1, "r/b.py"), (1, "s/c.py")]
     made = responses.prompts(df, found, related)
     row = made.first()
     assert made.count() == 1 and "Candidate #1" in row.prompt and "Related file: r/b.py" in row.prompt
     body = json.loads(responses.request_bodies(made).first().body)
     assert body["contents"][0]["parts"][0]["text"] == row.prompt and body["generationConfig"]["maxOutputTokens"] == 8000
+    assert list(body) == ["contents", "systemInstruction", "tools", "toolConfig", "generationConfig"]
+    declared = body["tools"][0]["functionDeclarations"][0]
+    assert body["toolConfig"]["functionCallingConfig"] == {"mode": "ANY", "allowedFunctionNames": [declared["name"]]}
+    fix = declared["parameters"]["properties"]["fixes"]["items"]
+    assert fix["required"] == ["function_name", "before", "after", "reason", "start_line", "end_line"] == list(fix["properties"])
+    assert fix["properties"]["start_line"] == {"type": "INTEGER"} and declared["parameters"]["required"] == ["fixes"]
+    assert "submit_fixes" in body["systemInstruction"]["parts"][0]["text"]
 
 
-def test_decision_windows_drop_repeats(spark, tmp_path, sf_dir):
+def test_related_files_of_a_folder_are_all_there(spark, tmp_path):
+    """No file of a repo is lost, whatever its id; equal to a plain self-join."""
+    folder = tmp_path / "repo"
+    folder.mkdir()
+    for k in range(30):
+        (folder / f"f{k}.py").write_text(f"x = {k}\n")
+    df = files.read_source_files(spark, str(folder))
+    ids = df.select("repo", "file_id")
+    pairs = ids.join(ids.withColumnRenamed("file_id", "related_id"), "repo").drop("repo")
+    rows = responses.related_files(df, pairs)
+    assert rows.count() == 30 * 29
+    assert {r["count"] for r in rows.groupBy("file_id").count().collect()} == {29}
+
+
+def test_decision_windows_are_counted_in_the_stream(spark, tmp_path, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     folder = str(tmp_path / "events.parquet")
     events.union(events.limit(10)).coalesce(1).write.parquet(folder)
-    rows = streams.drain(streams.decisions(spark, folder), str(tmp_path / "out"))
-    assert rows.count() == events.count()
-    total = streams.decision_windows(rows).agg(F.sum("approved") + F.sum("rejected")).first()[0]
-    assert total == events.count()
+    stream = streams.decision_windows(streams.decisions(spark, folder))
+    assert stream.isStreaming
+    rows = streams.drain(stream, str(tmp_path / "out"))
+    day = F.date_trunc("day", F.col("ts").cast("timestamp"))
+    plain = events.groupBy(day.cast("string").alias("window_start")).agg(F.count("*").alias("n")).collect()
+    got = {r.window_start: r.approved + r.rejected for r in rows.collect()}
+    last = max(r.window_start for r in plain)
+    assert got == {r.window_start: r.n for r in plain if r.window_start in got} and {r.window_start for r in plain} - set(got) <= {last}

@@ -81,3 +81,24 @@ def test_create_record_and_apply(spark):
     )
     out = workflow.apply_decisions(df, decided).collect()
     assert [(r.file_id, r.new_code, r.n_applied) for r in out] == [(0, "def is_ok(x):\n    return x is not None and bool(x)\n", 1)]
+
+
+def test_running_counts_and_texts_carry_over_days(spark):
+    """A session of several days against a plain walk over its events."""
+    import random
+
+    rng = random.Random(4)
+    for seed in range(3):
+        rows = []
+        for n in range(60):
+            ts = datetime(2024, 1, 1 + n // 9 * 2, n % 24)
+            rows.append((seed, n, ts, "f", f"t{n}", rng.random() < 0.4, rng.random() < 0.15, 1))
+        v = spark.createDataFrame(rows, SCHEMA).repartition(3)
+        s = spark.createDataFrame([(seed, "o")], "session_id long, original_code string")
+        each = {r.version_id: (r.epoch, r.current_code) for r in history.code_after_each(v, s).collect()}
+        counters = {r.version_id: (r.position, r.approved_so_far, r.rejected_so_far) for r in workflow.review_counters(v).collect()}
+        epoch, text, good = 0, "o", 0
+        for k, (_, n, _, _, after, approved, restore, _) in enumerate(sorted(rows, key=lambda r: (r[2], r[1])), 1):
+            epoch, text = (epoch + 1, "o") if restore else (epoch, after if approved else text)
+            good += approved
+            assert each[n] == (epoch, text) and counters[n] == (k, good, k - good)
