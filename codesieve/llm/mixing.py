@@ -6,8 +6,9 @@
    cut short. The words of the last blocks are seats: a source's next word has
    the quotient rest / (2 k + 1) after k words; the highest quotients win. Nearly
    all seats are known beforehand, so only the few last ones are compared.
-3. Shards: a source's words are dealt to its shards by the same rule, in
-   proportion to their sizes. A hot source has many shards.
+3. Shards: a source's words are dealt to its bands and a band's to its shards by
+   the same rule, in proportion to their sizes. A hot source has many bands, and no
+   apportionment below the sources sees more than a bounded number of rows.
 4. Selection: a shard's documents lie on a line in seeded hash order. Its quota
    of words is a run from a seeded place on that line, closed to a circle, so a
    document is taken as often as the run passes it; the run may end inside one.
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from codesieve.llm.common import cut, n_words_column, numbered, words_column
 
 BLOCK_WORDS = 128
-SHARD_DOCS = 2_000
+SHARD_DOCS, BAND_SHARDS = 2_000, 1_000
 MAX_REPEAT = 3
 
 
@@ -56,6 +57,12 @@ def source_targets(stats: DataFrame, max_repeat: int = MAX_REPEAT) -> DataFrame:
     ).select(*stats.columns, "weight", "target")
 
 
+def targets(df: DataFrame, text_col: str = "text", source_col: str = "source", max_repeat: int = MAX_REPEAT) -> DataFrame:
+    """One row per source: source, source_size in words, weight, target. See ``source_targets``."""
+    stats = df.groupBy(F.col(source_col).alias("source")).agg(F.sum(n_words_column(F.col(text_col))).alias("size"))
+    return source_targets(stats, max_repeat).select("source", F.col("size").alias("source_size"), F.col("weight").cast("long"), "target")
+
+
 def sainte_lague(votes: DataFrame, group: list[str], key: str, vote: Column, seats: Column, cap: Column) -> DataFrame:
     """Adds ``quota`` to ``votes``: the seats of each group by highest quotient.
 
@@ -125,6 +132,17 @@ def _whole(words: str) -> Column:
     return (F.floor(F.col(words) / F.col("block")) * F.col("block")).cast("long")
 
 
+def _dealt(parts: DataFrame, group: list[str], key: str, max_repeat: int) -> DataFrame:
+    """``parts`` (group, key, part_size, block, of_size, of_run) with ``run``, the words
+    of the group's ``of_run`` that each takes: whole blocks, then Sainte-Lague's seats."""
+    fair = F.when(F.col("of_size") > 0, F.col("part_size") * (F.col("of_run") / F.col("of_size"))).otherwise(0.0)
+    parts = parts.withColumn("fair", fair).withColumn("whole", _whole("fair"))
+    return sainte_lague(
+        parts, group, key, F.col("fair") - F.col("whole"),
+        F.col("of_run") - F.sum("whole").over(Window.partitionBy(*group)), F.col("part_size") * max_repeat - F.col("whole"),
+    ).withColumn("run", F.col("whole") + F.col("quota"))
+
+
 def mix_sources(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -189,18 +207,23 @@ def _taken(
     placed = placed.withColumn("place", F.xxhash64(F.lit(seed), F.col("id"))).withColumn(
         "shard", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("place")), F.col("shards"))
     )
-    shards = placed.groupBy("source", "shard").agg(
-        F.sum("size").alias("shard_size"), F.first("source_size").alias("source_size"),
-        F.first("source_run").alias("source_run"), F.first("block").alias("block"),
+    shards = cut(
+        placed.groupBy("source", "shard").agg(
+            F.sum("size").alias("part_size"), F.first("source_size").alias("of_size"), F.first("source_run").alias("of_run"),
+            F.first("block").alias("block"),
+        ).withColumn("band", F.floor(F.col("shard") / BAND_SHARDS))
+    )
+    bands = shards.groupBy("source", "band").agg(
+        F.sum("part_size").alias("part_size"), *[F.first(c).alias(c) for c in ("of_size", "of_run", "block")]
+    )
+    bands = _dealt(bands, ["source"], "band", max_repeat).select(
+        F.col("source").alias("b_source"), F.col("band").alias("b_band"), F.col("part_size").alias("of_size"), F.col("run").alias("of_run")
+    )
+    shards = shards.drop("of_size", "of_run").join(
+        bands, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("band") == F.col("b_band"))
     )
-    fair = F.col("shard_size") * (F.col("source_run") / F.col("source_size"))
-    shards = shards.withColumn("fair", F.when(F.col("source_size") > 0, fair).otherwise(0.0)).withColumn("whole", _whole("fair"))
-    shards = sainte_lague(
-        shards, ["source"], "shard", F.col("fair") - F.col("whole"),
-        F.col("source_run") - F.sum("whole").over(Window.partitionBy("source")), F.col("shard_size") * max_repeat - F.col("whole"),
-    ).select(
-        F.col("source").alias("s_source"), F.col("shard").alias("s_shard"), "shard_size",
-        (F.col("whole") + F.col("quota")).alias("run"),
+    shards = _dealt(shards, ["source", "band"], "shard", max_repeat).select(
+        F.col("source").alias("s_source"), F.col("shard").alias("s_shard"), F.col("part_size").alias("shard_size"), "run"
     )
     line = Window.partitionBy("source", "shard").orderBy("place", "id", "size", *ties)
     spread = (

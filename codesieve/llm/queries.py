@@ -61,9 +61,17 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(read_table(spark, sf_dir, "pages"))
 
 
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.targets(read_table(spark, sf_dir, "documents"))
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.base_counts(read_table(spark, sf_dir, "documents"))
+
+
 _OPERATORS = (
     op1_simhash, op2_mixing, op3_pii, op4_exact_dedup, op5_token_counts, op6_packing, op7_quality, op8_url_filter,
-    op9_substring_dedup, op10_html_extract,
+    op9_substring_dedup, op10_html_extract, mixing_targets, quality_base,
 )
 
 
@@ -98,6 +106,35 @@ FROM w LEFT JOIN kept USING (doc_id)
 """
 
 
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+#: The level at which sources fill their caps: each source has the lesser of its cap
+#: and its weight's share of one common level, and all together have all words.
+_TARGETS_SQL = f"""
+WITH s AS (SELECT source, CAST(sum(len({_WORDS})) AS BIGINT) AS size FROM documents GROUP BY source),
+w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM s),
+c AS (SELECT *, CAST(3 * size AS DOUBLE) / weight AS full_at FROM w),
+k AS (SELECT a.full_at AS lo, sum(CASE WHEN b.full_at <= a.full_at THEN 3 * b.size ELSE 0 END) AS filled,
+        sum(CASE WHEN b.full_at > a.full_at THEN b.weight ELSE 0 END) AS heavy FROM (SELECT DISTINCT full_at FROM c UNION SELECT -1) a CROSS JOIN c b GROUP BY 1),
+l AS (SELECT lo, CASE WHEN heavy > 0 THEN ((SELECT sum(size) FROM s) - filled) / CAST(heavy AS DOUBLE) END AS level FROM k),
+v AS (SELECT max(level) AS level FROM l WHERE level >= lo)
+SELECT source, size AS source_size, CAST(weight AS BIGINT) AS weight, least(CAST(3 * size AS DOUBLE), level * weight) AS target FROM c CROSS JOIN v
+"""
+
+_QUALITY_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, {_WORDS} AS ws FROM documents),
+p AS (SELECT r, ws, unnest(range(1, len(ws) - 3)) AS i FROM d),
+g AS (SELECT r, i, count(*) OVER (PARTITION BY r, array_to_string(ws[i:i + 4], ' ')) AS n FROM p),
+m AS (SELECT r, count(DISTINCT j) AS n_repeat FROM (SELECT r, unnest(range(i, i + 5)) AS j FROM g WHERE n > 1) GROUP BY r),
+x AS (SELECT r, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^ 	-]')) AS ls FROM d)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+  CAST(len(t) - len(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat, 0) AS BIGINT) AS n_repeat_words,
+  len(ws) < 10 OR 100 * coalesce(n_repeat, 0) > 20 * len(ws) AS base_failed
+FROM d JOIN x USING (r) LEFT JOIN m USING (r)
+"""
+
+
 def _url_sql() -> str:
     """The rules as CASE branches, the priors as one query per level."""
     ordered = sorted(url_filter.RULES, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2]))
@@ -149,4 +186,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_exact_dedup": _EXACT_SQL,
         "op8_url_filter": _url_sql(),
         "op9_substring_dedup": _SUBSTRING_SQL,
+        "mixing_targets": _TARGETS_SQL,
+        "quality_base": _QUALITY_SQL,
     }

@@ -9,8 +9,10 @@
    that a hot list is split over tasks by Gray rank. Neighbours in Gray order
    share bit patterns; each run of them is a node that keeps what all its
    members share.
-3. Inside a node and between two nodes of one list, a tree of such patterns is
-   walked. A parent's pattern is factored out of its children, so differences
+3. Nodes of one list are compared from upper nodes down: those of one prefix of
+   the Gray rank are a group that keeps what they share, groups too far apart are
+   pruned whole, and the join goes on by pairs of groups, so a hot list has many keys.
+   Inside a node and between two nodes, a tree of such patterns is walked. A parent's pattern is factored out of its children, so differences
    add up on the way down, and a pair of groups is pruned once they exceed
    ``max_diff``.
 4. Links come out as spanning stars and feed ``connected_components``.
@@ -32,6 +34,8 @@ from codesieve.llm.components import connected_components
 
 _U64 = np.uint64
 NODE = 256
+#: Bits of the Gray rank by which the upper nodes of a list are grouped.
+LEVELS = (8, 16)
 FAN = 16
 BLOCKS = 6
 
@@ -276,6 +280,43 @@ def _cross(max_diff: int):
     return run
 
 
+def _close_groups(parts: DataFrame, key: str, up: str | None, pairs: DataFrame | None, max_diff: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(choice, shared, left, right) of the groups ``key`` that may hold links, below
+    the pairs of upper groups ``up``; a group with itself too unless it is a node."""
+    keys = ["choice", "shared"]
+
+    def side(name: str) -> DataFrame:
+        above = [F.col(up).alias(f"up_{name}")] if up else []
+        return parts.select(*keys, *above, F.col(key).alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("ones", "zeros", *carry)])
+
+    order = F.col("left") < F.col("right") if carry else F.col("left") <= F.col("right")
+    if pairs is None:
+        joined = side("left").join(side("right"), keys)
+    else:
+        above = pairs.select(*keys, F.col("left").alias("up_left"), F.col("right").alias("up_right"))
+        joined = above.join(side("left"), [*keys, "up_left"]).join(side("right"), [*keys, "up_right"])
+        order = (F.col("up_left") < F.col("up_right")) | ((F.col("up_left") == F.col("up_right")) & order)
+    apart = F.bit_count(
+        F.col("left_ones").bitwiseAND(F.col("right_zeros")).bitwiseOR(F.col("left_zeros").bitwiseAND(F.col("right_ones")))
+    )
+    return joined.where(order & (apart <= max_diff)).select(*keys, "left", "right", *[f"{n}_{c}" for n in ("left", "right") for c in carry])
+
+
+def _node_pairs(nodes: DataFrame, max_diff: int) -> DataFrame:
+    """(left, right): members of each two nodes of one list that may hold a link."""
+    nodes = nodes.withColumns({f"g{p}": F.shiftrightunsigned("first", 64 - p) for p in LEVELS})
+    up = pairs = None
+    for p in LEVELS:
+        group = f"g{p}"
+        parts = nodes.groupBy("choice", "shared", *([up] if up else []), group).agg(
+            F.bit_and("ones").alias("ones"), F.bit_and("zeros").alias("zeros")
+        )
+        pairs = _close_groups(parts, group, up, pairs, max_diff)
+        up = group
+    found = _close_groups(nodes, "first", up, pairs, max_diff, ("members",))
+    return found.select(F.col("left_members").alias("left"), F.col("right_members").alias("right"))
+
+
 def links(fps: DataFrame, max_diff: int = 4, blocks: int = BLOCKS) -> DataFrame:
     """Edges (a, b) that join all fingerprints of one class, from distinct ``fp``.
 
@@ -291,16 +332,7 @@ def links(fps: DataFrame, max_diff: int = 4, blocks: int = BLOCKS) -> DataFrame:
     dealt = listed.repartitionByRange(parts, "choice", "shared", "rank").sortWithinPartitions("choice", "shared", "rank")
     found = cut(map_frames(dealt, _build_nodes(max_diff), _NODE_SCHEMA))
     nodes = found.where("members IS NOT NULL").select("choice", "shared", "first", "ones", "zeros", "members")
-    l, r = nodes.alias("l"), nodes.alias("r")
-    apart = F.bit_count(
-        F.col("l.ones").bitwiseAND(F.col("r.zeros")).bitwiseOR(F.col("l.zeros").bitwiseAND(F.col("r.ones")))
-    )
-    pairs = l.join(
-        r,
-        (F.col("l.choice") == F.col("r.choice")) & (F.col("l.shared") == F.col("r.shared"))
-        & (F.col("l.first") < F.col("r.first")) & (apart <= max_diff),
-    ).select(F.col("l.members").alias("left"), F.col("r.members").alias("right"))
-    across = map_frames(pairs, _cross(max_diff), "a long, b long")
+    across = map_frames(_node_pairs(nodes, max_diff), _cross(max_diff), "a long, b long")
     return found.where("a IS NOT NULL").select("a", "b").union(across).distinct()
 
 

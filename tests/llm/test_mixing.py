@@ -142,3 +142,11 @@ def test_small_sources_meet_their_targets_in_a_large_input(spark):
     for shard_docs in (mixing.SHARD_DOCS, 10):
         for source, group in by_source(mixing.mix_sources(df, shard_docs=shard_docs).collect()).items():
             assert abs(sum(r.taken for r in group) - group[0].target) <= 1, source
+
+
+def test_bands_of_shards_still_meet_the_targets(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BAND_SHARDS", 3)
+    df = spark.createDataFrame([(k, "w " * (1 + k * 7 % 50), "abc"[k % 7 % 3]) for k in range(900)], "doc_id long, text string, source string")
+    for group in by_source(mixing.mix_sources(df, shard_docs=10).collect()).values():
+        assert abs(sum(r.taken for r in group) - group[0].target) <= 1
+        assert all(r.taken <= 3 * r.size for r in group)

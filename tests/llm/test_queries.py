@@ -29,7 +29,7 @@ def test_query_equals_sql(spark, name):
 
 
 def test_all_ten_are_registered():
-    assert [k.split("_")[0] for k in queries.queries()] == [f"op{n}" for n in range(1, 11)]
+    assert [k.split("_")[0] for k in queries.queries()] == [f"op{n}" for n in range(1, 11)] + ["mixing", "quality"]
 
 
 def test_pipeline_stage_by_stage(spark, sf_dir, tmp_path):
