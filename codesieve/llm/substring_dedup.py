@@ -10,7 +10,9 @@ chosen positions, one in fourteen of all, and the result is still exact.
 
 Equal texts are merged before the first level and count twice. A task merges
 equal windows before the shuffle, so that a window that is everywhere sends one
-row per task. Windows are compared by 64-bit hashes, texts by 128.
+row per task. Shorter windows are compared by 64-bit hashes, which can only let
+one too many through to the next level; those of the last level, which decides,
+by two such hashes, and texts by two as well.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from codesieve.llm.common import map_frames, mix, window_hashes, word_hashes, wo
 
 WINDOW = 35
 FLUSH = 2_000_000
+#: Sets the words' second hashes apart from their first.
+SECOND = np.uint64(0xD6E8FEB86659FD93)
 _U64 = np.uint64
 
 
@@ -59,20 +63,21 @@ class _Merger:
         self.parts: list[tuple] = []
         self.rows = 0
 
-    def add(self, th: tuple[int, int], weight: int, hashes: np.ndarray, places: np.ndarray) -> None:
+    def add(self, th: tuple[int, int], weight: int, hashes: tuple[np.ndarray, ...], places: np.ndarray) -> None:
         n = len(places)
         if n:
-            self.parts.append((hashes, np.full(n, th[0]), np.full(n, th[1]), places.astype(np.int32), np.full(n, weight, np.int8)))
+            self.parts.append((np.full(n, th[0]), np.full(n, th[1]), places.astype(np.int32), np.full(n, weight, np.int8), *hashes))
             self.rows += n
 
     def flush(self) -> Iterator[pd.DataFrame]:
         if not self.parts:
             return
-        h, t1, t2, place, weight = (np.concatenate(x) for x in zip(*self.parts))
+        columns = [np.concatenate(x) for x in zip(*self.parts)]
         self.parts, self.rows = [], 0
-        order = np.argsort(h, kind="stable")
-        h, t1, t2, place, weight = h[order], t1[order], t2[order], place[order], weight[order]
-        first = np.concatenate(([True], h[1:] != h[:-1]))
+        order = np.lexsort(columns[:3:-1])  # by the first hash, then by the second
+        t1, t2, place, weight, *hashes = (x[order] for x in columns)
+        h = hashes[0]
+        first = np.concatenate(([True], np.any([x[1:] != x[:-1] for x in hashes], axis=0)))
         starts = np.flatnonzero(first)
         total = np.add.reduceat(weight.astype(np.int64), starts)
         count = np.diff(np.append(starts, len(h)))
@@ -80,16 +85,16 @@ class _Merger:
         # A repeat within the task is settled: it goes on under a key of its own.
         own = mix(h ^ mix(t1.view(_U64)) ^ mix(place.astype(_U64)))
         key = np.where(first, h, own)
+        names = ["h", "h2"][: len(hashes)]
         for at in range(0, len(h), 200_000):
             s = slice(at, at + 200_000)
-            yield pd.DataFrame(
-                {"h": key[s].view(np.int64), "th1": t1[s], "th2": t2[s], "place": place[s], "weight": seen[s].astype(np.int32)}
-            )
+            keys = {name: x[s].view(np.int64) for name, x in zip(names, (key, *hashes[1:]))}
+            yield pd.DataFrame({**keys, "th1": t1[s], "th2": t2[s], "place": place[s], "weight": seen[s].astype(np.int32)})
 
 
 def _emit(window: int, before: int | None, level: int):
     """Rows (h, text, place, weight) for the windows of ``level`` words that
-    stand for windows still alive after the level ``before``."""
+    stand for windows still alive after the level ``before``; the last level has h2 too."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         merger = _Merger()
@@ -106,7 +111,10 @@ def _emit(window: int, before: int | None, level: int):
                     live[np.asarray(alive, np.int64)] = True
                     places = places[live[chosen(window_hashes(words, before), window - before + 1)]]
                 places = np.unique(places)
-                merger.add((th1, th2), min(copies, 2), hashes[places], places)
+                kept = (hashes[places],)
+                if level == window:
+                    kept += (window_hashes(mix(words ^ SECOND), level)[places],)
+                merger.add((th1, th2), min(copies, 2), kept, places)
                 if merger.rows > FLUSH:
                     yield from merger.flush()
         yield from merger.flush()
@@ -146,8 +154,10 @@ def repeated_windows(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     before = None
     for level in levels_of(window):
         source = texts if found is None else texts.join(found, ["th1", "th2"])
-        rows = map_frames(source, _emit(window, before, level), "h long, th1 long, th2 long, place int, weight int")
-        total = F.sum("weight").over(Window.partitionBy("h"))
+        keys = ["h", "h2"] if level == window else ["h"]
+        schema = ", ".join(f"{k} long" for k in [*keys, "th1", "th2"]) + ", place int, weight int"
+        rows = map_frames(source, _emit(window, before, level), schema)
+        total = F.sum("weight").over(Window.partitionBy(*keys))
         alive = rows.withColumn("total", total).where("total >= 2")
         found = alive.groupBy("th1", "th2").agg(F.collect_list("place").alias("found"))
         before = level

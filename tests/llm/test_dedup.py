@@ -172,3 +172,13 @@ def test_substring_merges_in_small_batches(docs, rows, no_docs, monkeypatch):
     assert substring_dedup.levels_of(35) == [9, 18, 35] and substring_dedup.levels_of(1) == [1]
     out = substring_dedup.substring_dedup(docs, with_text=True).where("doc_id = 0").first()
     assert out.kept_text == "" and out.n_removed == out.n_words
+
+
+def test_windows_of_one_first_hash_differ_by_the_second():
+    merger = substring_dedup._Merger()
+    for th, second in ((1, [5, 6, 7]), (2, [6, 8])):
+        n = len(second)
+        merger.add((th, th), 1, (np.zeros(n, np.uint64), np.array(second, np.uint64)), np.arange(n))
+    out = [r for frame in merger.flush() for r in frame.itertuples()]
+    assert {(r.th1, r.place): r.weight for r in out} == {(1, 0): 1, (1, 1): 2, (1, 2): 1, (2, 0): 2, (2, 1): 1}
+    assert len({(r.h, r.h2) for r in out}) == 5 and sum(r.h == 0 for r in out) == 4
