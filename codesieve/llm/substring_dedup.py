@@ -83,12 +83,14 @@ class _Merger:
         count = np.diff(np.append(starts, len(h)))
         seen = np.repeat(np.minimum(total, 2), count)
         # A repeat within the task is settled: it goes on under a key of its own.
-        own = mix(h ^ mix(t1.view(_U64)) ^ mix(place.astype(_U64)))
-        key = np.where(first, h, own)
+        hashes[0] = np.where(first, h, mix(h ^ mix(t1.view(_U64)) ^ mix(place.astype(_U64))))
+        # Back in the order of the texts, whose keys then compress well in the shuffle.
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
         names = ["h", "h2"][: len(hashes)]
         for at in range(0, len(h), 200_000):
-            s = slice(at, at + 200_000)
-            keys = {name: x[s].view(np.int64) for name, x in zip(names, (key, *hashes[1:]))}
+            s = back[at : at + 200_000]
+            keys = {name: x[s].view(np.int64) for name, x in zip(names, hashes)}
             yield pd.DataFrame({**keys, "th1": t1[s], "th2": t2[s], "place": place[s], "weight": seen[s].astype(np.int32)})
 
 
