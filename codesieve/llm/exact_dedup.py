@@ -69,16 +69,17 @@ def exact_dedup(
     heads = _repeated(longer.select(F.col("head").alias("key")), filter_words)
     # The join runs in the scan: only survivors are hashed in full.
     digest = F.when(F.col("again") | F.lit(digest_all), F.sha2(F.col("text"), 256))
-    rows = _among(base, F.col("head"), heads, filter_words).select("id", digest.alias("full"), "again")
+    rows = _among(base, F.col("head"), heads, filter_words).select("id", "head", digest.alias("full"), "again")
     groups = small_side(
         rows.where("again").groupBy("full")
         .agg(F.max("id").alias("keep"), F.count("*").alias("n"))
         .where("n > 1").withColumnRenamed("full", "digest"),
         small_rows,
     )
-    # Rows without a group are spread over the tasks; a hot group's rows are
-    # split by the skew join, as both sides come straight from a shuffle.
-    key = F.when(F.col("again"), F.col("full")).otherwise(F.col("id").cast("string"))
+    # Rows without a group have a head of their own, by which they are spread over
+    # the tasks, whatever their ids; a hot group's rows are split by the skew join,
+    # as both sides come straight from a shuffle. No digest begins with a "-".
+    key = F.when(F.col("again"), F.col("full")).otherwise(F.concat(F.lit("-"), F.col("head").cast("string")))
     alone = F.col("n").isNull()
     return rows.withColumn("key", key).join(groups, F.col("key") == F.col("digest"), "left").select(
         F.col("id").alias(id_col),

@@ -174,6 +174,14 @@ def test_substring_merges_in_small_batches(docs, rows, no_docs, monkeypatch):
     assert out.kept_text == "" and out.n_removed == out.n_words
 
 
+@pytest.mark.parametrize("small_rows", [0, 200_000])
+def test_ids_that_look_like_digests_join_no_group(spark, small_rows):
+    digest = hashlib.sha256(b"twice").hexdigest()
+    df = spark.createDataFrame([(digest, "once"), ("x", "twice"), ("y", "twice"), (None, "null id"), (None, "other null id")], "doc_id string, text string")
+    got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(df, small_rows=small_rows).collect()}
+    assert got == {(digest, digest, 1, True), ("x", "y", 2, False), ("y", "y", 2, True), (None, None, 1, True)}
+
+
 def test_windows_of_one_first_hash_differ_by_the_second():
     merger = substring_dedup._Merger()
     for th, second in ((1, [5, 6, 7]), (2, [6, 8])):
