@@ -16,7 +16,12 @@ from codesieve.llm.common import read_table, shared_folder
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the likelihood ratio reject go."""
+    """Documents that the base rules or the likelihood ratio reject go.
+
+    Null texts have no words and go; repeated rows are judged alike; other columns
+    stay as they are. Without documents none come out, without labelled good texts
+    the base rules alone decide.
+    """
     return quality.drop_low_quality(docs, read_table(spark, sf_dir, "labels"))
 
 
