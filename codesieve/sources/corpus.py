@@ -57,7 +57,8 @@ def _block(selector: str) -> str:
     return f"replace(split_part({quoted('@@'.join(BLOCKS))}, '@@', CAST({selector} AS INT) + 1), '{{k}}', CAST(o_orderkey % 10 AS STRING))"
 
 
-_SECOND, _THIRD = "CAST(floor(o_orderkey / 32) AS BIGINT) % 32", "CAST(floor(o_orderkey / 1024) AS BIGINT) % 32"
+#: The third block changes every 7 orders, so that small tables hold files without a stub as well.
+_SECOND, _THIRD = "CAST(floor(o_orderkey / 32) AS BIGINT) % 32", "CAST(floor(o_orderkey / 7) AS BIGINT) % 32"
 _ENDING = "CASE o_orderkey % 32 " + " ".join(f"WHEN {i} THEN '.{e}'" for i, e in _EXTENSIONS.items()) + " ELSE '.py' END"
 
 #: source_files(file_id, repo, path, code)
