@@ -17,6 +17,38 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+#: Items that a fold reads before it joins what they gave to the long list.
+GATHERED = 128
+
+
+def gather(
+    items: Column, start: Column, kind: str, step: Callable[[Column, Column], Column], finish: Callable[[Column, Column], Column]
+) -> Column:
+    """Fold over ``items`` whose state's ``emit`` (an array of type ``kind``) is gathered.
+
+    ``finish`` takes the last state and the list of all that was emitted. A fold
+    copies its state for each item, so items are read in blocks: the long list is
+    copied once for each block, and lists within a block are short.
+    """
+    empty = F.array().cast(kind)
+
+    def move(a: Column, x: Column) -> Column:
+        emit = a["state"]["emit"]
+        return F.struct(
+            step(a["state"], x).alias("state"), F.when(F.size(emit) > 0, F.concat(a["list"], emit)).otherwise(a["list"]).alias("list")
+        )
+
+    def block(a: Column, k: Column) -> Column:
+        part = F.slice(items, k * GATHERED + 1, GATHERED)
+        read = F.aggregate(part, F.struct(a["state"].alias("state"), empty.alias("list")), move)
+        return let(read, lambda r: F.struct(r["state"].alias("state"), F.concat(a["list"], r["list"]).alias("list")))
+
+    blocks = F.sequence(F.lit(0), (F.size(items) / GATHERED).cast("int"))
+    return F.aggregate(
+        blocks, F.struct(start.alias("state"), empty.alias("list")), block, lambda a: finish(a["state"], F.concat(a["list"], a["state"]["emit"]))
+    )
+
+
 def trim_control(c: Column) -> Column:
     """Cut every character up to U+0020 from both ends (``trim`` cuts spaces only)."""
     return F.regexp_replace(c, r"\A[\x00-\x20]+|[\x00-\x20]+\z", "")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codesieve.functions.text import clean_params, count_of, indent_spaces, indent_width, let, one_by_name, split_lines, strip_comment, trim_control
+from codesieve.functions.text import clean_params, count_of, gather, indent_spaces, indent_width, let, one_by_name, split_lines, strip_comment, trim_control
 
 #: Methods that are no stubs whatever their body (fixed values).
 SKIPPED = ("__init__", "__del__", "__repr__", "__str__", "__eq__", "__hash__")
@@ -51,7 +51,7 @@ def python_functions(code: Column) -> Column:
         start = F.struct(
             F.lit(0).alias("mode"), F.lit("").alias("name"), F.lit(0).alias("def_ln"), F.lit(0).alias("base"), F.lit(0).alias("sig_ln"),
             F.lit(0).alias("body_ln"), F.lit("").alias("first"), F.lit(0).alias("last"), F.lit(0).alias("total"),
-            F.array().cast(_PY_OUT).alias("out"),
+            F.array().cast(_PY_OUT).alias("emit"),
         )
 
         def found(s: Column, body_ln: Column, end_ln: Column, first: Column) -> Column:
@@ -105,10 +105,10 @@ def python_functions(code: Column) -> Column:
                 .when(begins_body, 4)
                 .otherwise(mode)
             )
-            out = (
-                F.when(e["closes"], F.concat(s["out"], F.array(found(s, s["body_ln"], l["ln"] - 1, s["first"]))))
-                .when(e["bare"], F.concat(s["out"], F.array(found(s, l["ln"], l["ln"] - 1, F.lit(None).cast("string")))))
-                .otherwise(s["out"])
+            emit = (
+                F.when(e["closes"], F.array(found(s, s["body_ln"], l["ln"] - 1, s["first"])))
+                .when(e["bare"], F.array(found(s, l["ln"], l["ln"] - 1, F.lit(None).cast("string"))))
+                .otherwise(F.array().cast(_PY_OUT))
             )
             return F.struct(
                 new_mode.cast("int").alias("mode"),
@@ -120,18 +120,18 @@ def python_functions(code: Column) -> Column:
                 F.when(begins_body, t).otherwise(s["first"]).alias("first"),
                 F.when(begins_body | ((mode == 4) & v["statement"]), l["ln"]).otherwise(s["last"]).cast("int").alias("last"),
                 (s["total"] + d["is_def"].cast("int")).alias("total"),
-                out.alias("out"),
+                emit.alias("emit"),
             )
 
-        def finish(s: Column) -> Column:
-            out = (
-                F.when(s["mode"] == 4, F.concat(s["out"], F.array(found(s, s["body_ln"], s["last"], s["first"]))))
-                .when(s["mode"].isin(2, 3), F.concat(s["out"], F.array(found(s, n + 1, s["sig_ln"], F.lit(None).cast("string")))))
-                .otherwise(s["out"])
+        def finish(s: Column, out: Column) -> Column:
+            last = (
+                F.when(s["mode"] == 4, F.array(found(s, s["body_ln"], s["last"], s["first"])))
+                .when(s["mode"].isin(2, 3), F.array(found(s, n + 1, s["sig_ln"], F.lit(None).cast("string"))))
+                .otherwise(F.array().cast(_PY_OUT))
             )
-            return F.struct(s["total"].alias("total"), out.alias("found"))
+            return F.struct(s["total"].alias("total"), F.concat(out, last).alias("found"))
 
-        return F.aggregate(lines, start, step, finish)
+        return gather(lines, start, _PY_OUT, step, finish)
 
     empty = F.struct(F.lit(0).alias("total"), F.array().cast(_PY_OUT).alias("found"))
     return F.when(trim_control(F.coalesce(code, F.lit(""))) == "", empty).otherwise(
@@ -144,7 +144,7 @@ def _last_colon(lines: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(F.filter(lines, lambda l: l["colon"]), lambda l: l["ln"])), F.lit(0))
 
 
-_JS_OUT = "array<struct<name:string,ln:int,end_ln:int,body:string,header:string>>"
+_JS_OUT = "array<struct<name:string,ln:int,brace:int,end_ln:int,header:string>>"
 JS_FUNCTION = r"\A(?:async\s+)?function\s+\w+"
 JS_VARIABLE = r"\A(?:const|let|var)\s+\w+\s*="
 
@@ -158,15 +158,18 @@ def javascript_functions(code: Column) -> Column:
     """
 
     def fold(lines: Column) -> Column:
+        none = F.array().cast(_JS_OUT)
         start = F.struct(
             F.lit(False).alias("on"), F.lit("").alias("name"), F.lit(0).alias("ln"), F.lit(0).alias("brace"), F.lit(0).alias("depth"),
-            F.lit("").alias("body"), F.lit("").alias("header"), F.lit(0).alias("at"), F.array().cast(_JS_OUT).alias("out"),
+            F.lit("").alias("header"), F.lit(0).alias("at"), none.alias("emit"),
         )
 
         def made(s: Column, end: Column) -> Column:
-            return F.struct(
-                s["name"].alias("name"), s["ln"].cast("int").alias("ln"), end.cast("int").alias("end_ln"),
-                trim_control(F.regexp_replace(F.regexp_replace(s["body"], r"[{}]", ""), r"\s+", " ")).alias("body"), s["header"].alias("header"),
+            return F.array(
+                F.struct(
+                    s["name"].alias("name"), s["ln"].cast("int").alias("ln"), s["brace"].cast("int").alias("brace"), end.cast("int").alias("end_ln"),
+                    s["header"].alias("header"),
+                )
             )
 
         def step(s: Column, x: Column) -> Column:
@@ -189,33 +192,41 @@ def javascript_functions(code: Column) -> Column:
             def go(c: Column) -> Column:
                 counts = c["on"] & (at >= c["brace"])
                 depth = F.when(counts, c["depth"] + count_of(x, "{") - count_of(x, "}")).otherwise(c["depth"])
-                text = F.when(at == c["brace"], F.regexp_replace(x, r"\A[^{]*\{", "")).otherwise(x)
-                body = F.when(counts, F.concat(c["body"], text, F.lit("\n"))).otherwise(c["body"])
                 moved = F.struct(
                     c["on"].alias("on"), c["name"].alias("name"), c["ln"].alias("ln"), c["brace"].alias("brace"),
-                    depth.cast("int").alias("depth"), body.alias("body"), c["header"].alias("header"),
+                    depth.cast("int").alias("depth"), c["header"].alias("header"), (counts & (depth == 0)).alias("ends"),
                 )
                 return let(
                     moved,
                     lambda m: F.struct(
-                        (m["on"] & ~(counts & (m["depth"] == 0))).alias("on"), m["name"].alias("name"), m["ln"].cast("int").alias("ln"),
-                        m["brace"].cast("int").alias("brace"), m["depth"].cast("int").alias("depth"), m["body"].alias("body"),
-                        m["header"].alias("header"), at.cast("int").alias("at"),
-                        F.when(counts & (m["depth"] == 0), F.concat(s["out"], F.array(made(m, at)))).otherwise(s["out"]).alias("out"),
+                        (m["on"] & ~m["ends"]).alias("on"), m["name"].alias("name"), m["ln"].cast("int").alias("ln"),
+                        m["brace"].cast("int").alias("brace"), m["depth"].cast("int").alias("depth"), m["header"].alias("header"),
+                        at.cast("int").alias("at"), F.when(m["ends"], made(m, at)).otherwise(none).alias("emit"),
                     ),
                 )
 
             current = F.struct(
                 (s["on"] | begins).alias("on"), F.when(begins, h["name"]).otherwise(s["name"]).alias("name"),
                 F.when(begins, at).otherwise(s["ln"]).alias("ln"), F.when(begins, h["brace"]).otherwise(s["brace"]).alias("brace"),
-                F.when(begins, 0).otherwise(s["depth"]).alias("depth"), F.when(begins, "").otherwise(s["body"]).alias("body"),
+                F.when(begins, 0).otherwise(s["depth"]).alias("depth"),
                 F.when(begins, F.substring(t, 1, 80)).otherwise(s["header"]).alias("header"),
             )
             return let(current, go)
 
-        return F.aggregate(
-            lines, start, step,
-            lambda s: F.when(s["on"], F.concat(s["out"], F.array(made(s, s["at"])))).otherwise(s["out"]),
+        def body(d: Column) -> Column:
+            opening = F.regexp_replace(F.get(lines, d["brace"] - 1), r"\A[^{]*\{", "")
+            rest = F.slice(lines, d["brace"] + 1, d["end_ln"] - d["brace"])
+            text = F.array_join(F.concat(F.array(opening), rest), "\n")
+            return trim_control(F.regexp_replace(F.regexp_replace(text, r"[{}]", ""), r"\s+", " "))
+
+        extents = gather(
+            lines, start, _JS_OUT, step, lambda s, out: F.concat(out, F.when(s["on"], made(s, s["at"])).otherwise(none))
+        )
+        return F.transform(
+            extents,
+            lambda d: F.struct(
+                d["name"].alias("name"), d["ln"].alias("ln"), d["end_ln"].alias("end_ln"), body(d).alias("body"), d["header"].alias("header")
+            ),
         )
 
     return let(split_lines(F.coalesce(code, F.lit(""))), fold)
@@ -258,7 +269,8 @@ def class_members(files: DataFrame) -> DataFrame:
     column-0 statement above it is a class."""
 
     def fold(lines: Column) -> Column:
-        start = F.struct(F.lit(False).alias("inside"), F.array().cast("array<struct<ln:int,name:string,in_class:boolean>>").alias("out"))
+        kind = "array<struct<ln:int,name:string,in_class:boolean>>"
+        start = F.struct(F.lit(False).alias("inside"), F.array().cast(kind).alias("emit"))
 
         def step(s: Column, p: Column) -> Column:
             x = p["x"]
@@ -266,14 +278,10 @@ def class_members(files: DataFrame) -> DataFrame:
             top = (t != "") & ~x.startswith(" ") & ~x.startswith("\t")
             name = F.regexp_extract(t, r"\Adef (\w+)\(", 1)
             inside = F.when(top, t.startswith("class ")).otherwise(s["inside"])
-            return F.struct(
-                inside.alias("inside"),
-                F.when(
-                    name != "", F.concat(s["out"], F.array(F.struct(p["ln"].alias("ln"), name.alias("name"), (~top & s["inside"]).alias("in_class"))))
-                ).otherwise(s["out"]).alias("out"),
-            )
+            member = F.struct(p["ln"].alias("ln"), name.alias("name"), (~top & s["inside"]).alias("in_class"))
+            return F.struct(inside.alias("inside"), F.when(name != "", F.array(member)).otherwise(F.array().cast(kind)).alias("emit"))
 
-        return F.aggregate(lines, start, step, lambda s: s["out"])
+        return gather(lines, start, kind, step, lambda s, out: out)
 
     numbered = F.transform(split_lines(F.col("code")), lambda x, i: F.struct((i + 1).cast("int").alias("ln"), x.alias("x")))
     return files.select("file_id", F.inline(let(numbered, fold)))
@@ -292,7 +300,7 @@ def bodies_of(code: Column) -> Column:
     """
 
     def extents(lines: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(_OPEN).alias("open"), F.array().cast(_CLOSED).alias("out"))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(_OPEN).alias("open"), F.array().cast(_CLOSED).alias("emit"))
 
         def closed(open_: Column, end: Column) -> Column:
             return F.transform(
@@ -314,10 +322,10 @@ def bodies_of(code: Column) -> Column:
             return F.struct(
                 at.cast("int").alias("at"),
                 F.when(l["name"] != "", F.concat(still, F.array(new))).otherwise(still).alias("open"),
-                F.when(F.size(ended) > 0, F.concat(s["out"], closed(ended, at - 1))).otherwise(s["out"]).alias("out"),
+                closed(ended, at - 1).alias("emit"),
             )
 
-        return F.aggregate(lines, start, step, lambda s: F.concat(s["out"], closed(s["open"], s["at"])))
+        return gather(lines, start, _CLOSED, step, lambda s, out: F.concat(out, closed(s["open"], s["at"])))
 
     def texts(lines: Column) -> Column:
         return F.transform(
