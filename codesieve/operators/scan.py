@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codesieve.functions.text import comment_or_string, count_of, let, line_count, scanner_language, split_lines, trim_control
+from codesieve.functions.text import comment_or_string, count_of, gather, let, line_count, scanner_language, split_lines, trim_control
 from codesieve.operators.rules import SEVERITIES, WEIGHTS, Rule
 
 SNIPPET, EVIDENCE = 120, 100
@@ -64,10 +64,8 @@ def all_hits(code: Column, rules: Sequence[Rule], language: Column | None = None
     """
 
     def weave(pair: Column, lines: Column) -> Column:
-        start = F.struct(
-            F.lit(1).alias("ln"), F.lit("").alias("cur"),
-            F.array().cast("array<struct<hit_no:int,ln:int,evidence:string,in_comment:boolean,snippet:string>>").alias("out"),
-        )
+        kind = "array<struct<hit_no:int,ln:int,evidence:string,in_comment:boolean,snippet:string>>"
+        start = F.struct(F.lit(1).alias("ln"), F.lit("").alias("cur"), F.array().cast(kind).alias("emit"))
 
         def after(text: Column) -> Column:
             return F.when(text.contains("\n"), F.substring_index(text, "\n", -1)).otherwise(text)
@@ -81,22 +79,19 @@ def all_hits(code: Column, rules: Sequence[Rule], language: Column | None = None
                 lambda t: F.struct(
                     (t["ln"] + count_of(t["hit"], "\n")).cast("int").alias("ln"),
                     after(F.concat(t["cur"], t["hit"])).alias("cur"),
-                    F.concat(
-                        s["out"],
-                        F.array(
-                            F.struct(
-                                (i + 1).cast("int").alias("hit_no"), t["ln"].cast("int").alias("ln"),
-                                F.substring(t["hit"], 1, EVIDENCE).alias("evidence"),
-                                comment_or_string(t["cur"]).alias("in_comment"),
-                                F.substring(trim_control(F.get(lines, t["ln"] - 1)), 1, SNIPPET).alias("snippet"),
-                            )
-                        ),
-                    ).alias("out"),
+                    F.array(
+                        F.struct(
+                            (i + 1).cast("int").alias("hit_no"), t["ln"].cast("int").alias("ln"),
+                            F.substring(t["hit"], 1, EVIDENCE).alias("evidence"),
+                            comment_or_string(t["cur"]).alias("in_comment"),
+                            F.substring(trim_control(F.get(lines, t["ln"] - 1)), 1, SNIPPET).alias("snippet"),
+                        )
+                    ).alias("emit"),
                 ),
             )
 
         places = F.when(F.size(pair["hits"]) > 0, F.sequence(F.lit(0), F.size(pair["hits"]) - 1)).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(places, start, step, lambda s: s["out"])
+        return let(places, lambda ps: gather(ps, start, kind, step, lambda s, out: out))
 
     def one(rule: Rule, order: int, lines: Column) -> Column:
         pair = F.struct(
