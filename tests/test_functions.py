@@ -123,3 +123,21 @@ def test_report_pattern_may_swallow(spark):
 def test_fold_needs_no_shuffle_and_no_python(spark):
     plan = stubs.stubs(files(spark, "x"))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "EvalPython" not in plan
+
+
+def test_folds_cross_blocks(spark):
+    """Files of more lines than a fold reads at once: no function is lost, doubled or moved."""
+    for n in (42, 43, 64, 300):
+        py = "".join(f"def f{i}(a):\n    pass\n\n" for i in range(n))
+        js = "".join(f"function g{i}(a) {{\n  return {i};\n}}\n" for i in range(n))
+        df = spark.createDataFrame([(1, py, js)], "file_id long, py string, js string")
+        row = df.select(functions.python_functions(F.col("py")).alias("p"), functions.javascript_functions(F.col("js")).alias("j")).first()
+        assert row.p.total == n
+        assert [(f.name, f.def_ln, f.body_ln, f["first"]) for f in row.p.found] == [(f"f{i}", 3 * i + 1, 3 * i + 2, "pass") for i in range(n)]
+        assert [(f.name, f.ln, f.end_ln, f.body) for f in row.j] == [(f"g{i}", 3 * i + 1, 3 * i + 3, f"return {i};") for i in range(n)]
+        files = df.select("file_id", F.col("py").alias("code"))
+        assert {(r.name, r.body) for r in functions.function_bodies(files).collect()} == {
+            (f"f{i}", f"def f{i}(a):\n    pass\n" + ("\n" if i < n - 1 else "")) for i in range(n)
+        }
+        members = [(r.ln, r.name, r.in_class) for r in functions.class_members(files).collect()]
+        assert members == [(3 * i + 1, f"f{i}", False) for i in range(n)]
