@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from codesieve.llm import (
     exact_dedup,
+    fill_in_middle,
     html_extract,
     mixing,
     packing,
@@ -61,6 +62,10 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(read_table(spark, sf_dir, "pages"))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digests(read_table(spark, sf_dir, "documents"))
+
+
 def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.targets(read_table(spark, sf_dir, "documents"))
 
@@ -71,7 +76,7 @@ def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _OPERATORS = (
     op1_simhash, op2_mixing, op3_pii, op4_exact_dedup, op5_token_counts, op6_packing, op7_quality, op8_url_filter,
-    op9_substring_dedup, op10_html_extract, mixing_targets, quality_base,
+    op9_substring_dedup, op10_html_extract, op12_fill_in_middle, mixing_targets, quality_base,
 )
 
 
@@ -126,7 +131,8 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, {_
 p AS (SELECT r, ws, unnest(range(1, len(ws) - 3)) AS i FROM d),
 g AS (SELECT r, i, count(*) OVER (PARTITION BY r, array_to_string(ws[i:i + 4], ' ')) AS n FROM p),
 m AS (SELECT r, count(DISTINCT j) AS n_repeat FROM (SELECT r, unnest(range(i, i + 5)) AS j FROM g WHERE n > 1) GROUP BY r),
-x AS (SELECT r, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^ 	-]')) AS ls FROM d)
+x AS (SELECT r, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^ 	-
+]')) AS ls FROM d)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(array_to_string(ws, '')) AS BIGINT) AS word_chars,
   CAST(len(t) - len(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
   CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat, 0) AS BIGINT) AS n_repeat_words,
@@ -135,6 +141,26 @@ FROM d JOIN x USING (r) LEFT JOIN m USING (r)
 """
 
 
+#: Greedy runs give the units from left to right; positions count from 1.
+_MIDDLE_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+u AS (SELECT *, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS us,
+             CAST('0x' || x[1:8] AS BIGINT) AS h1, CAST('0x' || x[9:16] AS BIGINT) AS h2,
+             CAST('0x' || x[17:24] AS BIGINT) AS h3, CAST('0x' || x[25:32] AS BIGINT) AS h4 FROM d),
+c AS (SELECT *, CAST(len(us) AS BIGINT) AS n, least(h1 % (len(us) + 1), h2 % (len(us) + 1)) AS lo,
+             greatest(h1 % (len(us) + 1), h2 % (len(us) + 1)) AS hi,
+             CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+                  WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, array_to_string(us[1:lo], '') AS pre, array_to_string(us[lo + 1:hi], '') AS mid, array_to_string(us[hi + 1:], '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(len(pre) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(len(mid) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                        ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(CASE form WHEN 'plain' THEN t ELSE pre || mid || suf END) AS restored_sha256
+FROM p
+"""
+
+
 def _url_sql() -> str:
     """The rules as CASE branches, the priors as one query per level."""
     ordered = sorted(url_filter.RULES, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2]))
@@ -186,6 +212,7 @@ def oracle_sql() -> dict[str, str]:
         "op4_exact_dedup": _EXACT_SQL,
         "op8_url_filter": _url_sql(),
         "op9_substring_dedup": _SUBSTRING_SQL,
+        "op12_fill_in_middle": _MIDDLE_SQL,
         "mixing_targets": _TARGETS_SQL,
         "quality_base": _QUALITY_SQL,
     }
