@@ -14,6 +14,7 @@ from codesieve.llm import (
     packing,
     pii,
     quality,
+    resampling,
     simhash,
     substring_dedup,
     token_counts,
@@ -66,6 +67,10 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.digests(read_table(spark, sf_dir, "documents"))
 
 
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.targets(read_table(spark, sf_dir, "documents"))
 
@@ -76,7 +81,7 @@ def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _OPERATORS = (
     op1_simhash, op2_mixing, op3_pii, op4_exact_dedup, op5_token_counts, op6_packing, op7_quality, op8_url_filter,
-    op9_substring_dedup, op10_html_extract, op12_fill_in_middle, mixing_targets, quality_base,
+    op9_substring_dedup, op10_html_extract, op12_fill_in_middle, op13_resampling, mixing_targets, quality_base,
 )
 
 
