@@ -30,12 +30,21 @@ _U64 = np.uint64
 BUCKETS = 10_000
 SEED = 7
 #: Bytes of text that one table holds; a longer text is cut between two words.
-SLICE = 1 << 20
+SLICE = 1 << 18
 #: Longer n-grams are hashed and compared by themselves.
 LONG = 256
 #: Bytes after lower-casing A-Z; what is no word byte becomes a blank.
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 _P1, _P2, _P3, _P4, _P5 = map(_U64, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+def _crc_table() -> np.ndarray:
+    """CRC32 of one byte, for each byte: the reflected polynomial, bit by bit."""
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & np.uint32(1), (table >> np.uint32(1)) ^ np.uint32(0xEDB88320), table >> np.uint32(1))
+    return table
+
+
+_CRC = _crc_table()
 #: What ends a word: a blank, the end of a text, or the end of a part of a text
 #: whose last word belongs to the next part.
 _BLANK, _END, _AHEAD = 0x20, 0x0A, 0x01
@@ -61,9 +70,8 @@ class Spans:
         """XXH64 with seed 0 of each span."""
         out = np.empty(len(self.starts), _U64)
         short = np.flatnonzero(self.lengths <= LONG)
-        order = short[np.argsort(self.lengths[short], kind="stable")]
-        sizes = self.lengths[order]
-        cuts = np.flatnonzero(np.diff(sizes)) + 1
+        order = short[np.argsort(self.lengths[short].astype(np.uint16), kind="stable")]
+        cuts = np.flatnonzero(np.diff(self.lengths[order])) + 1
         for same in np.split(order, cuts) if len(order) else ():
             out[same] = self._hashed(self.starts[same], int(self.lengths[same[0]]))
         for i in np.flatnonzero(self.lengths > LONG):
@@ -104,6 +112,24 @@ class Spans:
         h = (h ^ (h >> _U64(29))) * _P3
         return h ^ (h >> _U64(32))
 
+    def crc32(self, which: np.ndarray) -> np.ndarray:
+        """CRC32 of the spans ``which``, a byte of each at a time, longest first."""
+        values = np.frombuffer(self.raw, np.uint8)
+        sizes = np.minimum(self.lengths[which], LONG + 1).astype(np.uint16)
+        order = np.argsort(LONG + 1 - sizes, kind="stable")
+        starts, sizes = self.starts[which][order], sizes[order]
+        first = int(np.searchsorted(-sizes.astype(np.int64), -LONG))  # the first that is no longer than LONG
+        crc = np.full(len(order), 0xFFFFFFFF, np.uint32)
+        live = np.searchsorted(-sizes.astype(np.int64), -np.arange(LONG + 1), "left")
+        for k in range(int(sizes[first]) if first < len(sizes) else 0):
+            part = crc[first : live[k]]
+            crc[first : live[k]] = _CRC[(part ^ values[starts[first : live[k]] + k]) & np.uint32(0xFF)] ^ (part >> np.uint32(8))
+        out = np.empty(len(order), np.uint32)
+        out[order] = ~crc
+        for i in order[:first].tolist():
+            out[i] = zlib.crc32(self.bytes_of(which[i]))
+        return out
+
     def equal(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Whether spans ``i`` and ``j`` (arrays of numbers) hold the same bytes."""
         same = self.lengths[i] == self.lengths[j]
@@ -144,8 +170,7 @@ class Table:
         self.count = np.bincount(self.slots, minlength=size)
         self.bucket = np.zeros(size, np.int64)
         used = np.flatnonzero(self.owner >= 0)
-        crc = zlib.crc32
-        self.bucket[used] = [crc(spans.bytes_of(i)) % buckets for i in self.owner[used].tolist()]
+        self.bucket[used] = spans.crc32(self.owner[used]) % np.uint32(buckets)
 
     def by_bucket(self, buckets: int) -> np.ndarray:
         return np.bincount(self.bucket, weights=self.count, minlength=buckets).astype(np.int64)

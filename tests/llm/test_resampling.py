@@ -56,7 +56,7 @@ def target(spark):
     return spark.createDataFrame([(k, t, "extra") for k, t in enumerate(texts)], "item_id long, text string, bucket string"), texts
 
 
-@pytest.mark.parametrize("size", [1 << 20, 300])
+@pytest.mark.parametrize("size", [1 << 18, 300])
 def test_equals_plain_version(docs, rows, target, monkeypatch, size):
     if size < 1000:
         monkeypatch.setattr(resampling, "SLICE", size)
@@ -76,12 +76,15 @@ def test_empty_tables(spark, no_docs, docs, rows, target):
     check(docs, [(r[0], r[1]) for r in rows], target[0].limit(0), [])
 
 
-def test_keys_are_xxh64():
+def test_keys_are_xxh64_and_crc32():
     rng = random.Random(1)
     parts = [rng.randbytes(n) for n in [*range(0, 300), 1000, 31, 32, 33]]
     starts = np.cumsum([0] + [len(p) for p in parts[:-1]])
     spans = resampling.Spans(b"".join(parts), starts, np.array([len(p) for p in parts]))
     assert spans.keys().tolist() == [xxhash.xxh64_intdigest(p) for p in parts]
+    some = np.array([k for k in range(len(parts)) if k % 3] + [0])
+    assert spans.crc32(some).tolist() == [zlib.crc32(parts[k]) for k in some]
+    assert spans.crc32(some[:0]).tolist() == []
 
 
 def test_equal_keys_of_other_bytes_get_other_slots():
