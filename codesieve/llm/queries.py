@@ -11,6 +11,7 @@ from codesieve.llm import (
     fill_in_middle,
     html_extract,
     mixing,
+    nearest,
     packing,
     pii,
     quality,
@@ -63,6 +64,10 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(read_table(spark, sf_dir, "pages"))
 
 
+def op11_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest_of_stated(read_table(spark, sf_dir, "embeddings"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.digests(read_table(spark, sf_dir, "documents"))
 
@@ -81,7 +86,7 @@ def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _OPERATORS = (
     op1_simhash, op2_mixing, op3_pii, op4_exact_dedup, op5_token_counts, op6_packing, op7_quality, op8_url_filter,
-    op9_substring_dedup, op10_html_extract, op12_fill_in_middle, op13_resampling, mixing_targets, quality_base,
+    op9_substring_dedup, op10_html_extract, op11_nearest, op12_fill_in_middle, op13_resampling, mixing_targets, quality_base,
 )
 
 
