@@ -51,7 +51,13 @@ def gather(
 
 def trim_control(c: Column) -> Column:
     """Cut every character up to U+0020 from both ends (``trim`` cuts spaces only)."""
-    return F.regexp_replace(c, r"\A[\x00-\x20]+|[\x00-\x20]+\z", "")
+    # Looking behind lets a run be tried once, not from each of its characters.
+    return F.regexp_replace(c, r"\A[\x00-\x20]++|(?<![\x00-\x20])[\x00-\x20]++\z", "")
+
+
+def cut_newlines(c: Column) -> Column:
+    """Cut newlines from the end."""
+    return F.regexp_replace(c, r"(?<!\n)\n++\z", "")
 
 
 def normal_newlines(code: Column) -> Column:
@@ -66,7 +72,7 @@ def count_of(c: Column, mark: str) -> Column:
 
 def line_count(code: Column) -> Column:
     """Lines without trailing empty ones; empty text counts 1, only newlines 0."""
-    body = F.regexp_replace(code, r"\n+\z", "")
+    body = cut_newlines(code)
     return F.when(code == "", 1).when(body == "", 0).otherwise(count_of(body, "\n") + 1)
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codesieve.functions.text import clean_params, count_of, gather, indent_spaces, indent_width, let, one_by_name, split_lines, strip_comment, trim_control
+from codesieve.functions.text import clean_params, count_of, cut_newlines, gather, indent_spaces, indent_width, let, one_by_name, split_lines, strip_comment, trim_control
 
 #: Methods that are no stubs whatever their body (fixed values).
 SKIPPED = ("__init__", "__del__", "__repr__", "__str__", "__eq__", "__hash__")
@@ -336,7 +336,7 @@ def bodies_of(code: Column) -> Column:
             ),
         )
 
-    return let(split_lines(F.regexp_replace(code, r"\n+\z", "")), texts)
+    return let(split_lines(cut_newlines(code)), texts)
 
 
 def function_bodies(files: DataFrame) -> DataFrame:

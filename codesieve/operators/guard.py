@@ -5,6 +5,8 @@ Checks are an array in the file's row, so a report needs no shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,24 +14,35 @@ from codesieve.functions.text import guard_language, indent_width, let, split_li
 from codesieve.operators.functions import signatures
 from codesieve.operators.rules import GUARD
 
-#: Strings and comments by language, longest form first.
-_DOUBLE, _SINGLE = r'"(?:\\.|[^"\\\n])*"', r"'(?:\\.|[^'\\\n])*'"
+
+def _body(quote: str, ends: str = "") -> str:
+    """What stands behind an opening quote. Possessive, and with no repeated choice:
+    the matcher takes a literal of any length in one loop, without a stack."""
+    return rf"{quote}[^{quote}\\{ends}]*+(?:\\.[^{quote}\\{ends}]*+)*+"
+
+
+_DOUBLE, _SINGLE, _TEMPLATE = _body('"', r"\n"), _body("'", r"\n"), _body("`")
+_CLOSED = f"{_DOUBLE}\"|{_SINGLE}'"
+_OPEN = f"|({_DOUBLE}|{_SINGLE})"
+_C_COMMENTS = r"//[^\n]*+|/\*[\s\S]*?(?:\*/|\z)"
+#: Strings and comments by language, longest form first. Group 1 is a string that
+#: stays open; it is kept, so that no character is looked at again from each quote in it.
 NOISE = {
-    "PYTHON": r'"""[\s\S]*?"""|' + r"'''[\s\S]*?'''|" + _DOUBLE + "|" + _SINGLE + r"|#[^\n]*",
-    "JAVASCRIPT": _DOUBLE + "|" + _SINGLE + r"|`(?:\\.|[^`\\])*`|//[^\n]*|/\*[\s\S]*?\*/",
-    "JAVA": _DOUBLE + "|" + _SINGLE + r"|//[^\n]*|/\*[\s\S]*?\*/",
-    "HTML": r"<!--[\s\S]*?-->",
-    "UNKNOWN": _DOUBLE + "|" + _SINGLE,
+    "PYTHON": r'"""[\s\S]*?"""|' + r"'''[\s\S]*?'''|" + _CLOSED + r"|#[^\n]*+" + _OPEN,
+    "JAVASCRIPT": f"{_CLOSED}|{_TEMPLATE}`|{_C_COMMENTS}|({_DOUBLE}|{_SINGLE}|{_TEMPLATE})",
+    "JAVA": f"{_CLOSED}|{_C_COMMENTS}{_OPEN}",
+    "HTML": r"<!--[\s\S]*?(?:-->|\z)|(?!)()",
+    "UNKNOWN": _CLOSED + _OPEN,
 }
 OPENERS = ("def ", "class ", "if ", "for ", "while ", "try:", "with ", "elif ", "else:")
 
 
 def noise_free(code: Column, language: Column) -> Column:
-    """Text without strings and comments."""
-    out = F.regexp_replace(code, NOISE["UNKNOWN"], "")
+    """Text without comments and closed strings."""
+    out = F.regexp_replace(code, NOISE["UNKNOWN"], "$1")
     for name, pattern in NOISE.items():
         same = language.isin("JAVA", "KOTLIN") if name == "JAVA" else language == name
-        out = F.when(same, F.regexp_replace(code, pattern, "")).otherwise(out)
+        out = F.when(same, F.regexp_replace(code, pattern, "$1")).otherwise(out)
     return out
 
 
@@ -49,7 +62,7 @@ def balanced(code: Column, language: Column) -> Column:
         )
 
     def all_kinds(text: Column) -> Column:
-        open_string = (text.contains('"') | text.contains("'")) & (language != "HTML")
+        open_string = (text.contains('"') | text.contains("'") | (text.contains("`") & (language == "JAVASCRIPT"))) & (language != "HTML")
         return per_kind(text, "(", ")") & per_kind(text, "[", "]") & per_kind(text, "{", "}") & ~open_string
 
     return let(noise_free(code, language), all_kinds)
@@ -129,47 +142,147 @@ def scope_ok(original: Column, modified: Column, start: Column, end: Column) ->
     return F.when(original.isNull() | modified.isNull() | ~valid, False).otherwise(let(both, compare))
 
 
-#: A function's signature by language: group 1 is the signature, group 2 (and 3)
-#: its name. Looked for at each place, so one never hides another. Fixed values.
-_SIGNATURES = {
-    "PYTHON": r"(?i)(?=(def\s+(\w+)\s*\([^)]*\)\s*(?:->\s*[^:]*)?:))",
-    "JAVA": (
-        r"(?i)(?=((?:public|private|protected|static|final|abstract|synchronized|\s)*\s*(?:<[^>]+>\s*)?(?:[\w<>\[\]]+\s+)?"
-        r"(\w+)\s*\([^)]*\)\s*(?:throws\s+[\w,\s]+)?\s*\{?))"
-    ),
-    "JAVASCRIPT": (
-        r"(?i)(?=((?:function\s+(\w+)|(\w+)\s*=\s*(?:function|\([^)]*\)\s*=>|async\s*\([^)]*\)\s*=>))\s*\(?[^)]*\)?\s*\{?))"
-    ),
-}
+#: Read backwards from a name: a type, a generic clause and modifiers (fixed values).
+_BACK_MODIFIERS = r"\s*+(?:(?:cilbup|etavirp|detcetorp|citats|lanif|tcartsba|dezinorhcnys)\s*+)*+"
+_BACK_GENERIC = r"(?:\s*+>[^>]+<)?+"
+_BACK_TYPED, _BACK_UNTYPED = (rf"(?i)\A{t}{_BACK_GENERIC}{_BACK_MODIFIERS}" for t in (r"\s++[\w<>\[\]]++", ""))
+#: A Python header read backwards, what follows a Java header, a JavaScript header.
+_BACK_DEF = r"(?i)\A\s*+(\w++)\s++fed"
+_AFTER_JAVA = r"(?i)\A\s*+(?:throws\s[\w,\s]++)?+\{?"
+_JS_HEADER = r"(?i)function\s++(?=(\w++))|(?<!\w)(\w++)\s*+=\s*+(?=(function|async\s*+\(|\())"
+_EVERYTHING = 1 << 30
 
 
-def signature_of(code: Column, name: Column, language: Column) -> Column:
-    """A function's signature with single spaces; null where there is none.
+def _first(found: Column, body) -> Column:
+    """``body`` of the first element; null without one."""
+    return F.get(F.transform(F.slice(found, 1, 1), body), F.lit(0))
 
-    The patterns are literals; names are compared, not built into a pattern.
-    """
 
-    def found(kind: str) -> Column:
-        pattern = F.lit(_SIGNATURES[kind])
-        groups = F.struct(*[F.regexp_extract_all(code, pattern, F.lit(g)).alias(f"g{g}") for g in ((1, 2, 3) if kind == "JAVASCRIPT" else (1, 2))])
+def _tail(x: Column, m: Column) -> Column:
+    """Pieces behind the ``m``-th (from 0), as they were between round brackets."""
+    return F.array_join(F.slice(x, m + 2, F.size(x)), "(")
 
-        def first(g: Column) -> Column:
-            def named(s: Column, i: Column) -> Column:
-                same = F.lower(F.get(g["g2"], i)) == F.lower(name)
-                if kind == "JAVASCRIPT":  # after ``function`` a name may go on
-                    same = (F.get(g["g2"], i) != "") & F.lower(F.get(g["g2"], i)).startswith(F.lower(name))
-                    same = same | (F.lower(F.get(g["g3"], i)) == F.lower(name))
-                return same
 
-            return F.get(F.filter(g["g1"], named), F.lit(0))
+def _headers(parts: Column, heads: Callable[[Column], Column], follows: Callable[[Column], Column]) -> Column:
+    """(k, m, pieces) of the parts, cut at ')', of which a piece, cut at '(', ends
+    with a wanted head and whose next part may follow it."""
 
-        return let(groups, first)
+    def one(part: Column, k: Column) -> Column:
+        def placed(pieces: Column) -> Column:
+            wanted = F.transform(F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))), heads)
+            return F.struct(k.alias("k"), (F.array_position(wanted, True) - 1).cast("int").alias("m"), pieces.alias("pieces"))
 
-    text = (
-        F.when(language == "PYTHON", found("PYTHON")).when(language.isin("JAVA", "KOTLIN"), found("JAVA"))
-        .when(language == "JAVASCRIPT", found("JAVASCRIPT"))
-    )
-    return F.regexp_replace(trim_control(text), r"\s+", " ")
+        return F.when((k < F.size(parts) - 1) & follows(k), let(F.split(part, r"\(", -1), placed))
+
+    return F.filter(F.transform(parts, one), lambda x: x["m"] >= 0)
+
+
+def _python_signature(code: Column, name: Column) -> Column:
+    back = F.reverse(F.lower(name))
+
+    def of(parts: Column) -> Column:
+        last_colon = F.coalesce(F.array_max(F.transform(parts, lambda p, k: F.when(p.contains(":"), k))), F.lit(-1))
+
+        def text(x: Column) -> Column:
+            head = F.reverse(F.regexp_extract(F.reverse(F.get(x["pieces"], x["m"])), _BACK_DEF, 0))
+            near = F.get(parts, x["k"] + 1)
+            rest = F.when(near.contains(":"), near).otherwise(F.array_join(F.slice(parts, x["k"] + 2, F.size(parts)), ")"))
+            return F.concat(head, F.lit("("), _tail(x["pieces"], x["m"]), F.lit(")"), F.substring_index(rest, ":", 1), F.lit(":"))
+
+        def with_last(last: Column) -> Column:
+            def follows(k: Column) -> Column:
+                after = F.get(parts, k + 1)
+                return after.rlike(r"\A\s*+:") | (after.rlike(r"\A\s*+->") & (k + 1 <= last))
+
+            heads = _headers(parts, lambda p: F.lower(F.regexp_extract(F.reverse(p), _BACK_DEF, 1)) == back, follows)
+            return _first(heads, text)
+
+        return let(last_colon, with_last)
+
+    return let(F.split(code, r"\)", -1), of)
+
+
+def _java_signature(code: Column, name: Column) -> Column:
+    back = F.reverse(F.lower(name))
+
+    def bare(piece: Column) -> Column:
+        """A piece read backwards from its last character that is no blank."""
+        return F.reverse(F.regexp_replace(piece, r"(?<!\s)\s++\z", ""))
+
+    def of(parts: Column) -> Column:
+        def text(x: Column) -> Column:
+            piece = F.get(x["pieces"], x["m"])
+            before = F.substring(bare(piece), F.length(name) + 1, F.lit(_EVERYTHING))
+            typed, untyped = F.regexp_extract(before, _BACK_TYPED, 0), F.regexp_extract(before, _BACK_UNTYPED, 0)
+            prefix = F.reverse(F.when(F.length(typed) > F.length(untyped), typed).otherwise(untyped))
+            head = F.reverse(F.substring(bare(piece), F.lit(1), F.length(name)))
+            blank = F.regexp_extract(piece, r"(?<!\s)\s++\z", 0)
+            return F.concat(
+                prefix, head, blank, F.lit("("), _tail(x["pieces"], x["m"]), F.lit(")"), F.regexp_extract(F.get(parts, x["k"] + 1), _AFTER_JAVA, 0)
+            )
+
+        heads = _headers(parts, lambda p: F.lower(bare(p)).startswith(back), lambda k: F.lit(True))
+        return _first(heads, text)
+
+    return let(F.split(code, r"\)", -1), of)
+
+
+def _javascript_signature(code: Column, name: Column) -> Column:
+    low = F.lower(name)
+
+    def of(parts: Column) -> Column:
+        def found(part: Column, k: Column) -> Column:
+            groups = [F.regexp_extract_all(part, F.lit(_JS_HEADER), F.lit(g)) for g in range(4)]
+            arrow = F.coalesce(F.get(parts, k + 1).rlike(r"\A\s*+=>"), F.lit(False))
+
+            def wanted(g: Column) -> Column:
+                def one(whole: Column, i: Column) -> Column:
+                    called, set_, kind = (F.get(g[f"g{n}"], i) for n in (1, 2, 3))
+                    fits = (called != "") & F.lower(called).startswith(low)
+                    given = (set_ != "") & F.lower(set_).endswith(low) & ((F.lower(kind) == "function") | arrow)
+                    return F.struct(
+                        (fits | given).alias("fits"), k.alias("k"), i.alias("i"), (fits | (F.lower(kind) == "function")).alias("near"),
+                        F.when(fits, 0).otherwise(F.length(set_) - F.length(name)).alias("skipped"),
+                    )
+
+                return F.filter(F.transform(g["g0"], one), lambda x: x["fits"])
+
+            return F.slice(let(F.struct(*[c.alias(f"g{n}") for n, c in enumerate(groups)]), wanted), 1, 1)
+
+        def text(x: Column) -> Column:
+            part = F.get(parts, x["k"])
+            heads = F.slice(F.regexp_extract_all(part, F.lit(_JS_HEADER), F.lit(0)), 1, x["i"])
+            between = F.slice(F.split(part, _JS_HEADER, -1), 1, x["i"] + 1)
+            before = F.length(F.array_join(between, "")) + F.length(F.array_join(heads, "")) + x["skipped"]
+            end = x["k"] + F.when(x["near"], 0).otherwise(1)
+            rest = F.when(~x["near"], F.concat(F.lit(")"), F.get(parts, end))).otherwise("")
+            closed = F.when(end < F.size(parts) - 1, F.concat(F.lit(")"), F.regexp_extract(F.get(parts, end + 1), r"\A\s*+\{?", 0))).otherwise("")
+            return F.concat(F.substring(part, before + 1, F.lit(_EVERYTHING)), rest, closed)
+
+        return _first(F.flatten(F.transform(parts, found)), text)
+
+    return let(F.split(code, r"\)", -1), of)
+
+
+def signature_of(code: Column, name: Column, language: Column) -> Column:
+    """A function's signature with single spaces; null where there is none.
+
+    The text is cut at ')' and its parts at '(': a header's arguments end with its
+    part, so each part is read once, whatever its length. Names are compared, not
+    built into a pattern. The first header counts whose arguments close and which
+    goes on as its language asks.
+    """
+
+    def of(x: Column) -> Column:
+        text = (
+            F.when(x["language"] == "PYTHON", _python_signature(x["code"], x["name"]))
+            .when(x["language"].isin("JAVA", "KOTLIN"), _java_signature(x["code"], x["name"]))
+            .when(x["language"] == "JAVASCRIPT", _javascript_signature(x["code"], x["name"]))
+        )
+        return F.regexp_replace(trim_control(text), r"\s++", " ")
+
+    held = let(F.struct(code.alias("code"), name.alias("name"), language.alias("language")), of)
+    return F.when(F.lower(code).contains(F.lower(name)), held)
 
 
 def compared_checks(original: Column, modified: Column, start: Column, end: Column, name: Column, language: Column) -> Column:

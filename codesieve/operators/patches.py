@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codesieve.functions.text import let, normal_newlines, split_lines, trim_control
+from codesieve.functions.text import cut_newlines, let, normal_newlines, split_lines, trim_control
 
 #: Parts of a body that is no implementation (fixed values).
 FAKE_MARKERS = (
@@ -108,7 +108,7 @@ def diffs(patches: DataFrame, files: DataFrame) -> DataFrame:
                 F.when((i + first >= F.col("start_line")) & (i + first < F.col("end_line")), "- ").otherwise("  "), x
             ),
         )
-        added = F.transform(split_lines(F.regexp_replace(F.col("after"), r"\n+\z", "")), lambda x: F.concat(F.lit("+ "), x))
+        added = F.transform(split_lines(cut_newlines(F.col("after"))), lambda x: F.concat(F.lit("+ "), x))
         head = F.array(
             F.concat(F.lit("--- "), F.col("function_name")),
             F.concat(F.lit("+++ "), F.col("function_name"), F.lit(" (modified)")),
@@ -117,7 +117,7 @@ def diffs(patches: DataFrame, files: DataFrame) -> DataFrame:
         return F.array_join(F.concat(head, shown, F.array(F.lit("--- change ---")), added), "\n")
 
     found = F.coalesce(F.col("code").contains(F.col("before")), F.lit(False))
-    body = F.regexp_replace("code", r"\n+\z", "")
+    body = cut_newlines(F.col("code"))
     return rows.select(
         "file_id", "patch_no",
         F.when(found, let(split_lines(body), text)).otherwise("no diff: the text before is not in the file").alias("diff"),

@@ -10,7 +10,7 @@ import json
 
 from codesieve.functions import text
 from codesieve.operators import history, patches, stubs
-from codesieve.operators.guard import NOISE, OPENERS
+from codesieve.operators.guard import OPENERS
 from codesieve.operators.rules import CONTENT, GUARD, POLICY, SECURITY, SEVERITIES, WEIGHTS, Rule
 from codesieve.sources import corpus, responses
 from codesieve.sources.corpus import quoted as q
@@ -269,9 +269,21 @@ _TYPES = f"""SELECT file_id, name, param, dict, list, string, number,
               FROM params p LEFT JOIN bodies b USING (file_id, name) JOIN source_files f USING (file_id) WHERE len(p.params) > 0))"""
 
 
+_STRINGS = r'"(?:\\.|[^"\\\n])*"' + "|" + r"'(?:\\.|[^'\\\n])*'"
+_COMMENTS = r"//[^\n]*|/\*[\s\S]*?(?:\*/|\z)"
+#: Closed strings and comments; this engine needs no stack, so plain choices do.
+_NOISE = {
+    "PYTHON": r'"""[\s\S]*?"""|' + r"'''[\s\S]*?'''|" + _STRINGS + r"|#[^\n]*",
+    "JAVASCRIPT": _STRINGS + r"|`(?:\\.|[^`\\])*`|" + _COMMENTS,
+    "JAVA": _STRINGS + "|" + _COMMENTS,
+    "HTML": r"<!--[\s\S]*?(?:-->|\z)",
+    "UNKNOWN": _STRINGS,
+}
+
+
 def _balanced(code: str, language: str) -> str:
     def clean(kind: str) -> str:
-        return f"regexp_replace({code}, {q(NOISE[kind])}, '', 'g')"
+        return f"regexp_replace({code}, {q(_NOISE[kind])}, '', 'g')"
 
     text_ = (
         f"CASE WHEN {language} = 'PYTHON' THEN {clean('PYTHON')} WHEN {language} = 'JAVASCRIPT' THEN {clean('JAVASCRIPT')} "
@@ -287,7 +299,7 @@ def _balanced(code: str, language: str) -> str:
 
     return (
         f"list_transform([{text_}], lambda w: {kind('(', ')')} AND {kind('[', ']')} AND {kind('{', '}')} "
-        f"AND NOT ((contains(w, '\"') OR contains(w, '''')) AND {language} <> 'HTML'))[1]"
+        f"AND NOT ((contains(w, '\"') OR contains(w, '''') OR (contains(w, '`') AND {language} = 'JAVASCRIPT')) AND {language} <> 'HTML'))[1]"
     )
 
 

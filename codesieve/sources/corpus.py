@@ -61,12 +61,15 @@ def _block(selector: str) -> str:
 _SECOND, _THIRD = "CAST(floor(o_orderkey / 32) AS BIGINT) % 32", "CAST(floor(o_orderkey / 7) AS BIGINT) % 32"
 _ENDING = "CASE o_orderkey % 32 " + " ".join(f"WHEN {i} THEN '.{e}'" for i, e in _EXTENSIONS.items()) + " ELSE '.py' END"
 
+#: A line with a literal of over 10,000 characters, brackets and escaped quotes in it.
+_LONG = "CASE WHEN o_orderkey % 500 = 3 THEN 'long_text = f(\"' || repeat('0a)' || chr(92) || '\"1b{c', 1250) || '\")' || chr(10) ELSE '' END"
+
 #: source_files(file_id, repo, path, code)
 SOURCE_FILES = f"""
 SELECT o_orderkey AS file_id, 'repo' || CAST(o_custkey % 50 AS STRING) AS repo,
        'repo' || CAST(o_custkey % 50 AS STRING) || '/f' || CAST(o_orderkey AS STRING)
          || {_ENDING} AS path,
-       {_block('o_orderkey % 32')} || {_block(_SECOND)} || {_block(_THIRD)} AS code
+       {_block('o_orderkey % 32')} || {_block(_SECOND)} || {_block(_THIRD)} || {_LONG} AS code
 FROM orders"""
 
 #: raw_files: the same with other newlines, blank files and missing texts.
