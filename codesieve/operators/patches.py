@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codesieve.functions.text import cut_newlines, let, normal_newlines, split_lines, trim_control
+from codesieve.functions.text import cut_newlines, gather, let, normal_newlines, split_lines, trim_control
 
 #: Parts of a body that is no implementation (fixed values).
 FAKE_MARKERS = (
@@ -134,6 +134,60 @@ def _dedent(lines: Column) -> Column:
     return let(lines, cut)
 
 
+_EDITS = "array<struct<lo:int,hi:int,text:string>>"
+
+
+def edits_of(changes: Column) -> Column:
+    """Edits (lo, hi, text) in order from an array of changes: lines lo to hi go, text
+    comes ahead of line lo. An insertion and a replacement at one line become one edit."""
+
+    def edit(c: Column) -> Column:
+        whole = F.ltrim(c["suggestion"]).startswith(F.concat(F.lit("def "), c["name"]))
+        empty = c["start_ln"] > c["end_ln"]
+        lo = F.when(whole, c["def_ln"]).when(empty, c["end_ln"] + 1).otherwise(c["start_ln"])
+        hi = F.when(whole | empty, c["end_ln"]).otherwise(c["start_ln"])
+        lead = F.repeat(F.lit(" "), (c["base"] + F.when(whole, 0).otherwise(4)).cast("int"))
+        text = F.array_join(F.transform(_dedent(split_lines(c["suggestion"])), lambda x: F.concat(lead, x)), "\n")
+        return F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"), text.alias("text"))
+
+    def merged(es: Column) -> Column:
+        def one(e: Column, i: Column) -> Column:
+            before, after = F.get(es, i - 1), F.get(es, i + 1)
+            both = F.struct(e["lo"], after["hi"], F.concat(e["text"], F.lit("\n"), after["text"])).cast("struct<lo:int,hi:int,text:string>")
+            return F.when(F.coalesce(before["lo"] == e["lo"], F.lit(False)), None).when(F.coalesce(after["lo"] == e["lo"], F.lit(False)), both).otherwise(e)
+
+        return F.filter(F.transform(es, one), lambda e: e.isNotNull())
+
+    return let(F.array_sort(F.transform(changes, edit)), merged)
+
+
+def rebuilt(code: Column, edits: Column) -> Column:
+    """The text after its edits: one fold walks lines and edits together."""
+    none = F.array().cast("array<string>")
+
+    def walk(x: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("turn"), F.lit(0).alias("gone"), none.alias("emit"))
+
+        def step(s: Column, line: Column) -> Column:
+            at = s["at"] + 1
+
+            def meet(e: Column) -> Column:
+                here = F.coalesce(e["lo"] == at, F.lit(False))
+                gone = F.when(here, e["hi"]).otherwise(s["gone"])
+                kept = F.filter(F.array(F.when(here, e["text"]), F.when(at > gone, line)), lambda t: t.isNotNull())
+                return F.struct(
+                    at.cast("int").alias("at"), (s["turn"] + here.cast("int")).alias("turn"), gone.cast("int").alias("gone"), kept.alias("emit")
+                )
+
+            return let(F.get(x["edits"], s["turn"]), meet)
+
+        # A last insertion may stand behind the last line.
+        lines = F.concat(x["lines"], F.array(F.lit(None).cast("string")))
+        return let(lines, lambda ls: F.array_join(gather(ls, start, "array<string>", step, lambda s, out: out), "\n"))
+
+    return let(F.struct(split_lines(code).alias("lines"), edits.alias("edits")), walk)
+
+
 def apply_changes(files: DataFrame, changes: DataFrame) -> DataFrame:
     """(file_id, new_code, n_applied): all changes of a file in one rebuild.
 
@@ -142,30 +196,17 @@ def apply_changes(files: DataFrame, changes: DataFrame) -> DataFrame:
     another one replaces the first statement, or fills an empty body, at the
     definition's indent plus four. Extents do not overlap, so order is free.
     """
-    lines = F.transform(
-        _dedent(split_lines(F.col("suggestion"))), lambda x: F.concat(F.repeat(F.lit(" "), F.col("base") + F.when(F.col("whole"), 0).otherwise(4)), x)
+    change = F.struct("name", "suggestion", "def_ln", "start_ln", "end_ln", "base")
+    joined = files.join(changes.groupBy("file_id").agg(F.collect_list(change).alias("changes")), "file_id")
+    return joined.select(
+        "file_id", rebuilt(F.col("code"), edits_of(F.col("changes"))).alias("new_code"), F.size("changes").cast("long").alias("n_applied")
     )
-    edits = (
-        changes.withColumn("whole", F.ltrim("suggestion").startswith(F.concat(F.lit("def "), F.col("name"))))
-        .withColumn("empty", F.col("start_ln") > F.col("end_ln"))
-        .select(
-            "file_id",
-            F.when(F.col("whole"), F.col("def_ln")).when(F.col("empty"), F.col("end_ln") + 1).otherwise(F.col("start_ln")).alias("lo"),
-            F.when(F.col("whole"), F.col("end_ln")).when(F.col("empty"), F.col("end_ln")).otherwise(F.col("start_ln")).alias("hi"),
-            F.array_join(lines, "\n").alias("text"),
-        )
-        .groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "text"))).alias("edits"))
-    )
-    joined = files.join(edits, "file_id")
-
-    def rebuild(ls: Column) -> Column:
-        numbered = F.transform(F.concat(ls, F.array(F.lit(None).cast("string"))), lambda x, i: F.struct((i + 1).alias("n"), x.alias("x")))
-
-        def line(p: Column) -> Column:
-            gone = F.exists(F.col("edits"), lambda e: (e["lo"] <= p["n"]) & (p["n"] <= e["hi"]))
-            parts = F.array(F.try_element_at(F.filter(F.col("edits"), lambda e: e["lo"] == p["n"]), F.lit(1))["text"], F.when(~gone, p["x"]))
-            return F.filter(parts, lambda t: t.isNotNull())
 
-        return F.array_join(F.flatten(F.transform(numbered, line)), "\n")
 
-    return joined.select("file_id", let(split_lines(F.col("code")), rebuild).alias("new_code"), F.size("edits").cast("long").alias("n_applied"))
+def apply_own(files: DataFrame, changes: Column) -> DataFrame:
+    """As ``apply_changes`` with changes from the file's own row (an array): no
+    shuffle, and no row for a file without one."""
+    rows = files.select("file_id", "code", changes.alias("changes")).where(F.size("changes") > 0)
+    return rows.select(
+        "file_id", rebuilt(F.col("code"), edits_of(F.col("changes"))).alias("new_code"), F.size("changes").cast("long").alias("n_applied")
+    )

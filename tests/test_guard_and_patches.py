@@ -132,3 +132,63 @@ def test_apply_changes(spark):
 def test_files_without_candidates(spark):
     df = files(spark, ("a.py", CODE), ("b.py", "x = 1"))
     assert [r.file_id for r in patches.without_candidates(df, stubs.stubs(df)).collect()] == [1]
+
+
+def changed(code, changes):
+    """A plain walk: (lo, hi, text) edits of 1-based lines."""
+    lines = code.split("\n")
+    out = []
+    for n in range(1, len(lines) + 2):
+        out += [t for lo, _, t in sorted(changes) if lo == n]
+        if n <= len(lines) and not any(lo <= n <= hi for lo, hi, _ in changes):
+            out.append(lines[n - 1])
+    return "\n".join(out)
+
+
+def test_edits_of_all_kinds_against_a_plain_walk(spark):
+    import random
+
+    rng = random.Random(6)
+    rows, want = [], {}
+    for i in range(40):
+        n = rng.randint(1, 400)
+        code = "\n".join(f"l{k}" for k in range(n)) + rng.choice(["", "\n"])
+        at, changes, edits = 1, [], []
+        while at <= n:
+            kind, name = rng.choice(["none", "whole", "first", "fill"]), f"f{at}"
+            end = min(n, at + rng.randint(0, 3))
+            if kind == "whole":
+                changes.append((i, name, f"def {name}(a):\n    x", at, at + 1, end, 0))
+                edits.append((at, end, f"def {name}(a):\n    x"))
+            elif kind == "first" and end > at:
+                changes.append((i, name, "return 1\n  y", at, at + 1, end, 4))
+                edits.append((at + 1, at + 1, " " * 8 + "return 1\n" + " " * 10 + "y"))
+            elif kind == "fill":
+                changes.append((i, name, "pass", at, end + 1, end, 2))
+                edits.append((end + 1, end, " " * 6 + "pass"))
+            at = end + 1
+        if changes:
+            rows += changes
+            want[i] = (changed(code, edits), len(changes))
+        rows_code = (i, "r", "p", code)
+        want.setdefault("files", []).append(rows_code)
+    df = spark.createDataFrame(want.pop("files"), "file_id long, repo string, path string, code string")
+    changes = spark.createDataFrame(rows, "file_id long, name string, suggestion string, def_ln int, start_ln int, end_ln int, base int")
+    got = {r.file_id: (r.new_code, r.n_applied) for r in patches.apply_changes(df, changes.repartition(3)).collect()}
+    assert got == want
+
+
+def test_time_grows_with_the_number_of_edits(spark):
+    import time
+
+    def seconds(n):
+        df = files(spark, ("a.py", "".join(f"def f{k}(a):\n    pass\n" for k in range(n))))
+        changes = spark.createDataFrame([(0, f"f{k}", "return 1", 2 * k + 1, 2 * k + 2, 2 * k + 2, 0) for k in range(n)], "file_id long, name string, suggestion string, def_ln int, start_ln int, end_ln int, base int")
+        began = time.time()
+        out = patches.apply_changes(df, changes).first()
+        took = time.time() - began
+        assert out.n_applied == n and out.new_code == "".join(f"def f{k}(a):\n    return 1\n" for k in range(n))
+        return took
+
+    seconds(1000)
+    assert seconds(8000) < 2.5 * seconds(4000) + 1
