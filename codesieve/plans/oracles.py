@@ -629,6 +629,19 @@ JOIN {_VERSIONS} v ON v.version_id = p.file_id AND p.name = 'is_ready_' || (v.ve
         ),
         "history_record": f"""SELECT session_id, count(*) AS n, max(version_id) AS last FROM (SELECT * FROM {_VERSIONS}
 QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, version_id DESC) <= {history.MAX_VERSIONS}) GROUP BY 1""",
+        "history_increments": f"""WITH v AS {_VERSIONS}, s AS {_SESSIONS},
+r AS (SELECT session_id, max((ts, version_id)) AS restored FROM v WHERE is_restore GROUP BY 1),
+a AS (SELECT session_id, after FROM v LEFT JOIN r USING (session_id) WHERE approved AND NOT is_restore AND (restored IS NULL OR (ts, version_id) > restored)
+      QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, version_id DESC) = 1),
+k AS (SELECT session_id, count(*) AS n, CAST(sum(version_id) AS BIGINT) AS id_sum FROM (SELECT * FROM v
+      QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, version_id DESC) <= {history.MAX_VERSIONS}) GROUP BY 1)
+SELECT session_id, coalesce(after, original_code) AS current_code, after IS NOT NULL AS changed, n, id_sum FROM s LEFT JOIN a USING (session_id) JOIN k USING (session_id)""",
+        "stream_history": f"""WITH v AS {_VERSIONS}, s AS {_SESSIONS},
+e AS (SELECT *, CAST(count(*) FILTER (is_restore) OVER (PARTITION BY session_id ORDER BY ts, version_id) AS BIGINT) AS epoch FROM v),
+c AS (SELECT session_id, version_id, ts, epoch, coalesce(last_value(CASE WHEN approved AND NOT is_restore THEN after END IGNORE NULLS)
+  OVER (PARTITION BY session_id, epoch ORDER BY ts, version_id), original_code) AS current_code FROM e JOIN s USING (session_id))
+SELECT session_id, version_id, epoch, current_code FROM c
+WHERE ts <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM v)""",
         "model_responses": """
 SELECT o_orderkey AS file_id, CAST(0 AS BIGINT) AS fix_no, 'f' || (o_orderkey % 10) AS function_name, 'pass' AS before, 'return 1' AS after, 'r' AS reason,
   CAST(1 AS BIGINT) AS start_line, CAST(2 AS BIGINT) AS end_line FROM orders WHERE o_orderkey % 5 = 0

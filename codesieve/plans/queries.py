@@ -11,7 +11,8 @@ from codesieve.functions import text
 from codesieve.operators import functions, guard, history, patches, report, scan, stubs, verdict, workflow
 from codesieve.operators.rules import GUARD, SECURITY
 from codesieve.sources import corpus, files, responses
-from codesieve.streaming import streams
+from codesieve.sources.history_store import HistoryStore
+from codesieve.streaming import history_stream, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -252,7 +253,7 @@ def patch_diff(spark, sf_dir):
 @_register
 def apply_change(spark, sf_dir):
     code = _code(spark, sf_dir)
-    return patches.apply_changes(code, stubs.proposals(code).where("language = 'python'"))
+    return patches.apply_own(code, F.filter(stubs.proposals_of(F.col("code")), lambda s: s["language"] == "python"))
 
 
 @_register
@@ -337,6 +338,24 @@ def history_record(spark, sf_dir):
     )
 
 
+@_register
+def history_increments(spark, sf_dir):
+    """The store after five batches, one of them given twice, others out of order."""
+    rows = _versions(spark, sf_dir)
+    store = HistoryStore(spark, streams.shared_folder(spark), buckets=8)
+    store.create(corpus.derived(spark, sf_dir, corpus.SESSIONS))
+    for k in (1, 0, 3, 0, 2):
+        store.record(rows.where(F.col("version_id") % 4 == k))
+    kept = store.versions().groupBy("session_id").agg(F.count("*").alias("n"), F.sum("version_id").alias("id_sum"))
+    return store.current().join(kept, "session_id")
+
+
+@_register
+def stream_history(spark, sf_dir):
+    stream = history_stream.code_after_each(history_stream.versions(spark, f"{sf_dir}/events.parquet"))
+    return history_stream.drained(stream, streams.shared_folder(spark), corpus.derived(spark, sf_dir, corpus.SESSIONS))
+
+
 @_register
 def decision_replay(spark, sf_dir):
     items = stubs.stubs(_code(spark, sf_dir)).select("file_id", F.col("name").alias("function_name"), "risk")
