@@ -5,9 +5,14 @@ tags negative by default; the scores are log ratios fitted on labelled pages,
 those that mark their own article (``<article>`` or ``<main>``). The score of a
 word adds up: the kind of block that it stands in, and the marks of the elements
 around it, which are their tag (``nav``, ``aside`` and the like) and their class,
-id and role. One linear scan finds the contiguous region of greatest sum. Inside
-it, a marked element whose words score below zero in total is left out. Scripts,
-styles and form fields are no words at all.
+id and role. One linear scan finds the contiguous region of greatest sum.
+
+Elements that HTML or a whole class word sets apart (``aside``, ``comments``) are
+taken out ahead of the scan, whatever blocks they hold: they neither add to a region
+nor break it. Within an article of the page's own, no kind of block counts against a
+word; outside it, on the same page, none makes up for that place. Other marks are
+learned, and an element whose marks and words both score below zero is left out.
+Scripts, styles and form fields are no words at all.
 """
 
 from __future__ import annotations
@@ -34,6 +39,8 @@ WORD_WEIGHT, TAG_WEIGHT, MARK_WEIGHT = 1.0, -0.3, -2.5
 #: Pseudo-counts that hold a fitted weight near these.
 PRIOR = 5.0
 CLIP = 4.0
+#: The least that a tag counts, and what one counts within an article.
+TAG_LEAST, TAG_WITHIN = -1.0, -0.02
 
 #: A quote opens a value only where a value begins; one that never closes does not.
 TOKEN = re.compile(
@@ -82,23 +89,38 @@ def boilerplate_word(word: str) -> bool:
 @dataclass
 class Page:
     """A page in order: ``kinds`` and ``texts`` of its tokens, whether each lies in
-    the labelled article, and the marked elements as (marks, start, end).
+    an article of the page's own, and its marked elements.
 
     Text tokens have kind ``w:block`` and their decoded text; tags have kind
     ``<name`` or ``</name``, and a text of None for inline tags and '' for those
-    that end a block. ``labelled`` holds if the page marks an article.
+    that end a block. ``spans`` are (marks, start, end), ``apart`` the (start, end) of
+    elements set apart, ``forms`` those of forms. ``labelled`` holds if the page marks an article.
     """
 
     kinds: list[str] = field(default_factory=list)
     texts: list[str | None] = field(default_factory=list)
-    inside: list[bool] = field(default_factory=list)
+    content: list[bool] = field(default_factory=list)
     spans: list[tuple[list[str], int, int]] = field(default_factory=list)
+    apart: list[tuple[int, int]] = field(default_factory=list)
+    forms: list[tuple[int, int]] = field(default_factory=list)
     labelled: bool = False
 
+    def dropped(self, forms: bool = True) -> list[bool]:
+        """Whether each token lies in an element set apart; a form that holds the
+        article is not one."""
+        first = self.content.index(True) if self.labelled and True in self.content else -1
+        spans = self.apart + [(lo, hi) for lo, hi in self.forms if forms and not lo <= first < hi]
+        steps = [0] * (len(self.kinds) + 1)
+        for lo, hi in spans:
+            steps[lo] += 1
+            steps[hi] -= 1
+        return [d > 0 for d in accumulate(steps[: len(self.kinds)])]
 
-def _marks(name: str, attributes: str, inside: bool) -> list[str]:
+
+def _marks(name: str, attributes: str, inside: bool, first: bool) -> list[str]:
+    """Marks of an element. An article is the page's own if it is the ``first``."""
     marks = [f"!{name}"] if name in ASIDE or (name == "header" and not inside) else []
-    if name not in NEUTRAL and attributes:
+    if (name not in NEUTRAL or (name == "article" and not first)) and attributes:
         for m in ATTRIBUTE.finditer(attributes):
             if m[2] and m[1].lower() in ("class", "id", "role"):
                 marks += [f".{w.lower()}" for w in html.unescape(m[2].strip("\"'")).split()]
@@ -109,10 +131,11 @@ def parse(page: str | None) -> Page:
     """The page's tokens in one pass, linear in its length whatever the markup."""
     out = Page()
     page = page or ""
-    # name, no text, in the article, not of the article, kind of block, marks, start
+    # name, no text, in an article, set apart, kind of block, marks, start
     stack: list[tuple[str, bool, bool, bool, str, list[str], int]] = []
     open_names: Counter = Counter()
     closable = 0
+    endless: set[str] = set()
 
     def pop() -> None:
         nonlocal closable
@@ -120,7 +143,12 @@ def parse(page: str | None) -> Page:
         open_names[name] -= 1
         closable -= name in CLOSED_BY_BLOCK
         if marks:
-            out.spans.append((marks, start, len(out.kinds)))
+            span = start, len(out.kinds)
+            out.spans.append((marks, *span))
+            if any(w[0] == "." and boilerplate_word(w[1:]) or w[0] == "!" and name != "form" for w in marks):
+                out.apart.append(span)
+            elif name == "form":
+                out.forms.append(span)
 
     def state() -> tuple[bool, bool, bool, str]:
         return stack[-1][1:5] if stack else (False, False, False, "body")
@@ -128,7 +156,7 @@ def parse(page: str | None) -> Page:
     def add(kind: str, text: str | None, inside: bool) -> None:
         out.kinds.append(kind)
         out.texts.append(text)
-        out.inside.append(inside)
+        out.content.append(inside)
 
     at, n = 0, len(page)
     while at < n:
@@ -138,7 +166,7 @@ def parse(page: str | None) -> Page:
         silent, inside, other, block = state()
         if piece[0] != "<" or piece == "<":
             if not silent:
-                add(f"w:{block}", html.unescape(piece), inside and not other)
+                add(f"w:{block}", html.unescape(piece), inside)
             continue
         if m[2] is None:
             continue
@@ -150,7 +178,7 @@ def parse(page: str | None) -> Page:
                     pop()
                 pop()
             if not silent:
-                add(f"</{name}", spacing, inside and not other)
+                add(f"</{name}", spacing, inside)
             continue
         if name not in INLINE:
             if closable:  # an inline element left open ends with its block
@@ -161,24 +189,29 @@ def parse(page: str | None) -> Page:
             if name == "li" and stack and stack[-1][0] == "li":
                 pop()
             silent, inside, other, block = state()
-        marks = [] if silent else _marks(name, m[3], inside)
+        marks = [] if silent else _marks(name, m[3], inside, not out.labelled)
         if name not in INLINE and name not in CONTENT and name != "html":
             block = name
         elif name == "a" and not block.endswith(".a"):
             block = f"{block}.a"
-        here = inside or name in CONTENT
-        out.labelled |= name in CONTENT
-        other = other or any(w[0] == "!" or boilerplate_word(w[1:]) for w in marks)
+        other = other or any(w[0] == "!" and name != "form" or w[0] == "." and boilerplate_word(w[1:]) for w in marks)
+        here = inside or (name in CONTENT and not other)
+        out.labelled |= here
         start = len(out.kinds)
         if not silent and name not in NO_TEXT:
-            add(f"<{name}", spacing, here and not other)
-        if name in VOID or m[3].endswith("/") and name not in CONTENT:
+            add(f"<{name}", spacing, here)
+        if name in VOID:
             continue
-        if name in RAW:
+        if name in RAW and name not in endless:
             end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
-            if end is None:
+            if end is not None:
+                at = end.end()
+            elif name in ("script", "style"):
                 break
-            at = end.end()
+            else:  # never closed: what follows is the page's text again
+                endless.add(name)
+            continue
+        if name in RAW:
             continue
         stack.append((name, silent or name in NO_TEXT, here, other, block, marks, start))
         open_names[name] += 1
@@ -213,7 +246,8 @@ def fit_counts(page: str | None) -> Counter | None:
     if not parsed.labelled:
         return None
     sums = {True: [0], False: [0]}
-    for kind, text, inside in zip(parsed.kinds, parsed.texts, parsed.inside):
+    for kind, text, content, dropped in zip(parsed.kinds, parsed.texts, parsed.content, parsed.dropped()):
+        inside = content and not dropped
         words = len(text.split()) if kind[0] == "w" else 0
         for side in (True, False):
             sums[side].append(sums[side][-1] + words * (side == inside))
@@ -245,7 +279,7 @@ def weights_from(counts: list[tuple[str, bool, int]]) -> dict[str, float]:
         ratio = max(-CLIP, min(CLIP, math.log(a / b)))
         # Tags stay negative and boilerplate marks do; labels set how much.
         if tag:
-            ratio = min(ratio, -0.05)
+            ratio = max(TAG_LEAST, min(ratio, -0.05))
         elif default < 0:
             ratio = min(ratio, MARK_WEIGHT / 2)
         out[kind] = ratio
@@ -265,45 +299,56 @@ def best_region(weights: list[float]) -> tuple[int, int]:
     return best[1], best[2]
 
 
-def _word_scores(page: Page, weights: dict[str, float], blocks: dict[str, float]) -> tuple[list[float], list[float]]:
-    """The score of each token, and the sum of its elements' marks."""
+def _scores(page: Page, weights: dict[str, float], blocks: dict[str, float], dropped: list[bool]) -> list[float]:
+    """The score of each token."""
     steps = [0.0] * (len(page.kinds) + 1)
     for marks, start, end in page.spans:
-        w = sum(weight_of(m, weights) for m in marks)
+        w = sum(weight_of(m, weights) for m in marks if m != "!form")
         steps[start] += w
         steps[end] -= w
-    marked = list(accumulate(steps))
     scores = []
-    for kind, text, extra in zip(page.kinds, page.texts, marked):
-        if kind[0] == "w":
-            scores.append(len(text.split()) * max(-CLIP, min(CLIP, weight_of(kind, blocks) + extra)))
+    for kind, text, content, apart, extra in zip(page.kinds, page.texts, page.content, dropped, accumulate(steps)):
+        if apart:
+            score = 0.0
+        elif kind[0] != "w":
+            score = TAG_WITHIN if content else weight_of(kind, blocks)
         else:
-            scores.append(weight_of(kind, blocks))
-    return scores, marked
+            block = weight_of(kind, blocks)
+            score = max(block, WORD_WEIGHT) if content else max(-CLIP, min(CLIP, block + extra))
+            if not content and extra < 0:
+                score = min(score, extra / 2)
+            if not content and page.labelled:
+                score = min(score, MARK_WEIGHT / 2)
+            score *= len(text.split())
+        scores.append(score)
+    return scores
 
 
-def region_of(page: Page, weights: dict[str, float]) -> tuple[int, int, list[float]]:
-    """(start, end, scores) of the best region.
+def region_of(page: Page, weights: dict[str, float]) -> tuple[int, int, list[float], list[bool]]:
+    """(start, end, scores, dropped) of the best region.
 
     Where no run of blocks scores above zero with the fitted weights, as on a page
-    built from blocks that labelled pages use for other things, blocks score by default.
+    built from blocks that labelled pages use for other things, blocks score by
+    default; where forms hold all text, they are not set apart.
     """
-    for blocks in (weights, {}):
-        scores, _ = _word_scores(page, weights, blocks)
-        start, end = best_region(scores)
-        if end > start:
-            break
-    return start, end, scores
+    for forms in (True, False):
+        dropped = page.dropped(forms)
+        for blocks in (weights, {}):
+            scores = _scores(page, weights, blocks, dropped)
+            start, end = best_region(scores)
+            if end > start:
+                return start, end, scores, dropped
+    return 0, 0, scores, dropped
 
 
 def extract(page: str | None, weights: dict[str, float]) -> str:
     """The main text: blocks in page order, joined by one space."""
     parsed = parse(page)
-    start, end, scores = region_of(parsed, weights)
+    start, end, scores, dropped = region_of(parsed, weights)
     sums = [0.0, *accumulate(s if k[0] == "w" else 0.0 for s, k in zip(scores, parsed.kinds))]
     depth = [0] * (len(scores) + 1)
     for marks, lo, hi in parsed.spans:
-        if sums[hi] < sums[lo] and sum(weight_of(m, weights) for m in marks) < 0:
+        if sums[hi] < sums[lo] and sum(weight_of(m, weights) for m in marks if m != "!form") < 0:
             depth[lo] += 1
             depth[hi] -= 1
     parts = []
@@ -314,7 +359,7 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
         if parsed.kinds[k][0] != "w":
             if text is not None:
                 parts.append(" ")
-        elif not left_out:
+        elif not left_out and not dropped[k]:
             parts.append(text)
     return " ".join("".join(parts).split())
 
