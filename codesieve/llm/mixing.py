@@ -2,16 +2,18 @@
 
 1. Targets: the total of all sizes is shared by weight; no source goes above
    ``max_repeat`` times its own size, the excess is shared anew by weight.
-2. Seats: a source has the equal-token blocks that fit its target, and a last one
-   cut short. The words of the last blocks are seats: a source's next word has
-   the quotient rest / (2 k + 1) after k words; the highest quotients win. Nearly
-   all seats are known beforehand, so only the few last ones are compared.
-3. Shards: a source's words are dealt to its bands and a band's to its shards by
-   the same rule, in proportion to their sizes. A hot source has many bands, and no
+2. Seats are blocks of equally many words. After k of them a source has the quotient
+   target / (2 k + 1), and the highest quotients win the blocks of the whole mix.
+   Nearly all seats are known beforehand, so only the few last ones are compared. A
+   last block of its own length brings each source to its target in whole words.
+3. Shards: a source's blocks are dealt to its bands and a band's to its shards by
+   the same rule, by their sizes. The seat of least quotient, the last that was
+   dealt, is the source's last block. A hot source has many bands, and no
    apportionment below the sources sees more than a bounded number of rows.
-4. Selection: a shard's documents lie on a line in seeded hash order. Its quota
-   of words is a run from a seeded place on that line, closed to a circle, so a
-   document is taken as often as the run passes it; the run may end inside one.
+4. Selection: a shard's documents lie on a line in seeded hash order, cut into blocks.
+   Where the quota holds the whole line, all is taken; of what is left, exactly as
+   many whole blocks as the quota asks are chosen, evenly from a seeded start, and the
+   words of a block cut short come from the first that was not chosen.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codesieve.llm.common import cut, n_words_column, numbered, words_column
+from codesieve.llm.common import cut, let, n_words_column, numbered, words_column
 
 BLOCK_WORDS = 128
 SHARD_DOCS, BAND_SHARDS = 2_000, 1_000
@@ -108,39 +110,40 @@ def sainte_lague(votes: DataFrame, group: list[str], key: str, vote: Column, sea
         .withColumn("_open", F.col("_seats") - F.sum("_sure").over(own))
     )
     tries = F.least(F.col("_most") - F.col("_sure"), F.greatest(F.col("_open"), F.lit(0)))
-    contested = (
-        sure.where(tries > 0)
-        .withColumn("_k", F.explode(F.sequence(F.col("_sure"), F.col("_sure") + tries - 1)))
-        .withColumn("_quotient", F.col("_vote") / (2 * F.col("_k") + 1))
+    # A row for each contested seat, one without a seat where there is none.
+    each = sure.withColumn("_k", F.explode_outer(F.when(tries > 0, F.sequence(F.col("_sure"), F.col("_sure") + tries - 1))))
+    quotient = F.col("_vote") / (2 * F.col("_k") + 1)
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy(quotient.desc_nulls_last(), F.col(key).asc_nulls_last()))
+    won = F.sum(F.when(F.col("_k").isNotNull() & (F.col("_rank") <= F.col("_open")), 1).otherwise(0))
+    others = [c for c in votes.columns if c not in (*group, key)]
+    counted = each.withColumn("_rank", rank).groupBy(*group, key).agg(
+        *[F.first(c).alias(c) for c in others], (F.first("_sure") + won).alias("quota")
     )
-    rank = Window.partitionBy(*group).orderBy(F.col("_quotient").desc(), F.col(key).asc_nulls_last())
-    won = (
-        contested.withColumn("_rank", F.row_number().over(rank)).where("_rank <= _open")
-        .groupBy(*group, F.col(key).alias("_key")).agg(F.count("*").alias("_won"))
-    )
-    won = won.select(*[F.col(g).alias(f"_g_{g}") for g in group], "_key", "_won")
-    same = F.col(key).eqNullSafe(F.col("_key"))
-    for g in group:
-        same = same & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
-    return sure.join(won, same, "left").select(
-        *votes.columns, (F.col("_sure") + F.coalesce("_won", F.lit(0))).alias("quota")
-    )
-
+    return counted.select(*votes.columns, "quota")
 
-def _whole(words: str) -> Column:
-    """The words of the whole blocks in ``words``."""
-    return (F.floor(F.col(words) / F.col("block")) * F.col("block")).cast("long")
 
+def _dealt(parts: DataFrame, group: list[str], key: str, block: int, max_repeat: int) -> DataFrame:
+    """``parts`` (group, key, part_size, of_words, of_seats) with ``run`` and ``seats``,
+    the words and blocks that each takes of its group's.
 
-def _dealt(parts: DataFrame, group: list[str], key: str, max_repeat: int) -> DataFrame:
-    """``parts`` (group, key, part_size, block, of_size, of_run) with ``run``, the words
-    of the group's ``of_run`` that each takes: whole blocks, then Sainte-Lague's seats."""
-    fair = F.when(F.col("of_size") > 0, F.col("part_size") * (F.col("of_run") / F.col("of_size"))).otherwise(0.0)
-    parts = parts.withColumn("fair", fair).withColumn("whole", _whole("fair"))
-    return sainte_lague(
-        parts, group, key, F.col("fair") - F.col("whole"),
-        F.col("of_run") - F.sum("whole").over(Window.partitionBy(*group)), F.col("part_size") * max_repeat - F.col("whole"),
-    ).withColumn("run", F.col("whole") + F.col("quota"))
+    Where a part's bound cuts its blocks, the words go to the next parts with room.
+    """
+    own = Window.partitionBy(*group)
+    most = F.col("part_size") * max_repeat
+    won = sainte_lague(parts, group, key, F.col("part_size").cast("double"), F.col("of_seats"), F.ceil(most / block))
+    last_first = own.orderBy(
+        F.when(F.col("quota") > 0, F.col("part_size") / (2 * F.col("quota") - 1)).asc_nulls_last(), F.col(key).desc_nulls_first()
+    )
+    odd = F.when(F.row_number().over(last_first) == 1, F.col("of_seats") * block - F.col("of_words")).otherwise(0)
+    wanted = won.withColumn("wanted", F.greatest(F.lit(0), F.least(F.col("quota") * block - odd, most)))
+    room = most - F.col("wanted")
+    before = F.sum(room).over(own.orderBy(F.col(key).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1))
+    missing = F.col("of_words") - F.sum("wanted").over(own) - F.coalesce(before, F.lit(0))
+    run = F.col("wanted") + F.least(room, F.greatest(F.lit(0), missing))
+    return (
+        wanted.withColumn("run", run.cast("long"))
+        .withColumn("seats", F.col("quota") + (F.col("run") > F.col("quota") * block).cast("long")).drop("quota", "wanted")
+    )
 
 
 def mix_sources(
@@ -156,10 +159,9 @@ def mix_sources(
     """One row per row of ``df``: id, source, size, source_size, target, taken,
     start.
 
-    ``taken`` counts the words that the mix takes, repeats included: the whole
-    text ``taken / size`` times and then a part that begins at word ``start``
-    and may wrap to the text's beginning. A source's total is its target in whole
-    words, at any size of the input.
+    ``taken`` counts the words that the mix takes, repeats included: the whole text
+    ``taken / size`` times, and parts of it of which the first begins at word
+    ``start``. A source's total is its target in whole words, at any size of the input.
     No row exceeds ``max_repeat`` times its size. Null text has size 0 and is
     never taken. Null sources form the last source. The order of rows with one
     id and size is irrelevant to the result. Reruns agree: all choices come from
@@ -185,44 +187,24 @@ def _taken(
     shard_docs: int = SHARD_DOCS,
     ties: tuple[str, ...] = (),
 ) -> DataFrame:
-    """``rows`` (id, source, size and others) with source_size, target, taken and
-    start; ``ties`` order rows of one id and size."""
-    stats = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("docs"))
-    sources = source_targets(stats, max_repeat).withColumn("one", F.lit(1))
-    total = F.sum("size").over(Window.partitionBy("one"))
-    block = F.greatest(F.lit(1), F.least(F.lit(block_words), F.floor(total / 10_000))).cast("long")
-    # Whole blocks below the target, then the words of the last ones.
-    sources = sources.withColumn("block", block).withColumn("whole", _whole("target"))
-    sources = sainte_lague(
-        sources, ["one"], "source", F.col("target") - F.col("whole"),
-        total - F.sum("whole").over(Window.partitionBy("one")), F.col("size") * max_repeat - F.col("whole"),
-    ).withColumn("run", F.col("whole") + F.col("quota")).withColumn("shards", F.ceil(F.col("docs") / shard_docs).cast("long"))
-    sources = cut(
-        sources.select(
-            F.col("source").alias("of_source"), F.col("size").alias("source_size"), "target", "block",
-            F.col("run").alias("source_run"), "shards",
-        )
-    )
+    """``rows`` (id, source, size and others) with source_size, target, taken, laps and
+    start, and what ``_parts`` needs; ``ties`` order rows of one id and size."""
+    sources = cut(_source_quotas(rows, max_repeat, block_words, shard_docs))
     placed = rows.join(sources, F.col("source").eqNullSafe(F.col("of_source"))).drop("of_source")
     placed = placed.withColumn("place", F.xxhash64(F.lit(seed), F.col("id"))).withColumn(
         "shard", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("place")), F.col("shards"))
     )
+    quotas = ("of_words", "of_seats")
     shards = cut(
-        placed.groupBy("source", "shard").agg(
-            F.sum("size").alias("part_size"), F.first("source_size").alias("of_size"), F.first("source_run").alias("of_run"),
-            F.first("block").alias("block"),
-        ).withColumn("band", F.floor(F.col("shard") / BAND_SHARDS))
-    )
-    bands = shards.groupBy("source", "band").agg(
-        F.sum("part_size").alias("part_size"), *[F.first(c).alias(c) for c in ("of_size", "of_run", "block")]
+        placed.groupBy("source", "shard").agg(F.sum("size").alias("part_size"), *[F.first(c).alias(c) for c in quotas])
+        .withColumn("band", F.floor(F.col("shard") / BAND_SHARDS))
     )
-    bands = _dealt(bands, ["source"], "band", max_repeat).select(
-        F.col("source").alias("b_source"), F.col("band").alias("b_band"), F.col("part_size").alias("of_size"), F.col("run").alias("of_run")
+    bands = shards.groupBy("source", "band").agg(F.sum("part_size").alias("part_size"), *[F.first(c).alias(c) for c in quotas])
+    bands = _dealt(bands, ["source"], "band", block_words, max_repeat).select(
+        F.col("source").alias("b_source"), F.col("band").alias("b_band"), F.col("run").alias("of_words"), F.col("seats").alias("of_seats")
     )
-    shards = shards.drop("of_size", "of_run").join(
-        bands, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("band") == F.col("b_band"))
-    )
-    shards = _dealt(shards, ["source", "band"], "shard", max_repeat).select(
+    shards = shards.drop(*quotas).join(bands, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("band") == F.col("b_band")))
+    shards = _dealt(shards, ["source", "band"], "shard", block_words, max_repeat).select(
         F.col("source").alias("s_source"), F.col("shard").alias("s_shard"), F.col("part_size").alias("shard_size"), "run"
     )
     line = Window.partitionBy("source", "shard").orderBy("place", "id", "size", *ties)
@@ -231,33 +213,79 @@ def _taken(
         .join(shards, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("shard") == F.col("s_shard")))
         .withColumn("begin", F.col("end") - F.col("size"))
     )
-    # The run covers the circle `laps` times and then [at, at + rest), which may wrap.
+    # The line `laps` times; of the `rest`, `whole` of its `blocks` and `odd` words.
     laps = F.when(F.col("shard_size") > 0, F.floor(F.col("run") / F.col("shard_size"))).otherwise(0)
-    at = F.when(
-        F.col("shard_size") > 0,
-        F.pmod(F.xxhash64(F.lit(seed + 2), F.col("source"), F.col("shard")), F.col("shard_size")),
-    ).otherwise(0)
-    spread = spread.withColumn("laps", laps).withColumn("at", at).withColumn(
-        "rest", F.col("run") - F.col("laps") * F.col("shard_size")
+    spread = (
+        spread.withColumn("laps", laps.cast("long")).withColumn("rest", F.col("run") - F.col("laps") * F.col("shard_size"))
+        .withColumn("blocks", F.floor(F.col("shard_size") / block_words)).withColumn("whole", F.floor(F.col("rest") / block_words))
+        .withColumn("odd", F.col("rest") - F.col("whole") * block_words)
+        .withColumn("from", F.when(F.col("blocks") > 0, F.pmod(F.xxhash64(F.lit(seed + 2), F.col("source"), F.col("shard")), F.col("blocks"))).otherwise(0))
+        .withColumn("odd_at", F.when(F.col("whole") < F.col("blocks"), F.floor(F.col("from") / (F.col("blocks") - F.col("whole")))).otherwise(F.col("blocks")) * block_words)
+    )
+    taken = F.col("laps") * F.col("size") + _words_before(F.col("end"), block_words) - _words_before(F.col("begin"), block_words)
+    first = F.get(_parts(block_words), F.lit(0))["at"]
+    return spread.select(
+        *rows.columns, "source_size", "target", taken.cast("long").alias("taken"), F.coalesce(first, F.lit(0)).cast("long").alias("start"),
+        *_LINE,
     )
 
-    def overlap(lo: Column, hi: Column) -> Column:
-        return F.greatest(F.lit(0), F.least(F.col("end"), hi) - F.greatest(F.col("begin"), lo))
 
-    run_end = F.col("at") + F.col("rest")
-    ahead = overlap(F.col("at"), run_end)
-    wrapped = overlap(F.lit(0), run_end - F.col("shard_size"))
-    start = F.when(ahead > 0, F.greatest(F.col("begin"), F.col("at")) - F.col("begin")).otherwise(0)
-    return spread.select(
-        *rows.columns, "source_size", "target",
-        (F.col("laps") * F.col("size") + ahead + wrapped).cast("long").alias("taken"),
-        start.cast("long").alias("start"),
+def _source_quotas(rows: DataFrame, max_repeat: int, block: int, shard_docs: int) -> DataFrame:
+    """One row per source: target, words, blocks (the last one of its own length) and shards."""
+    stats = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("docs"))
+    sources = source_targets(stats, max_repeat).withColumn("one", F.lit(1))
+    total = F.sum("size").over(Window.partitionBy("one"))
+    sources = sainte_lague(sources, ["one"], "source", F.col("target"), F.floor(total / block), F.ceil(F.col("target") / block))
+    words = F.least(F.round("target"), F.col("size") * max_repeat).cast("long")
+    return sources.select(
+        F.col("source").alias("of_source"), F.col("size").alias("source_size"), "target", words.alias("of_words"),
+        (F.col("quota") + (words > F.col("quota") * block).cast("long")).alias("of_seats"), F.ceil(F.col("docs") / shard_docs).cast("long").alias("shards"),
     )
 
 
+#: What a row knows of its shard's line.
+_LINE = ("begin", "end", "laps", "blocks", "whole", "odd", "from", "odd_at")
+
+
+def _chosen_before(block: Column) -> Column:
+    """Chosen blocks ahead of one: ``whole`` of ``blocks`` evenly, from a seeded start."""
+    return F.when(F.col("blocks") > 0, F.floor((block * F.col("whole") + F.col("from")) / F.col("blocks"))).otherwise(0)
+
+
+def _words_before(place: Column, block: int) -> Column:
+    """Chosen words ahead of a place on the line, without whole laps."""
+    at = F.least(F.floor(place / block), F.col("blocks"))
+    inside = F.when((at < F.col("blocks")) & (_chosen_before(at + 1) > _chosen_before(at)), place - at * block).otherwise(0)
+    return _chosen_before(at) * block + inside + F.least(F.col("odd"), F.greatest(F.lit(0), place - F.col("odd_at")))
+
+
+def _parts(block: int) -> Column:
+    """array<struct(at, n)>: a row's chosen words besides whole laps, adjacent ones as
+    one part, ``at`` counted from the text's beginning."""
+    first, last = F.floor(F.col("begin") / block), F.least(F.floor((F.col("end") - 1) / block), F.col("blocks") - 1)
+    numbers = F.when((F.col("size") > 0) & (last >= first), F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+    whole = F.transform(
+        F.filter(numbers, lambda j: _chosen_before(j + 1) > _chosen_before(j)), lambda j: F.struct((j * block).alias("lo"), ((j + 1) * block).alias("hi"))
+    )
+    odd = F.when(F.col("odd") > 0, F.array(F.struct(F.col("odd_at").alias("lo"), (F.col("odd_at") + F.col("odd")).alias("hi"))))
+    runs = F.concat(whole, F.coalesce(odd, F.array().cast("array<struct<lo:bigint,hi:bigint>>")))
+    own = F.filter(
+        F.transform(runs, lambda r: F.struct(F.greatest(r["lo"], F.col("begin")).alias("lo"), F.least(r["hi"], F.col("end")).alias("hi"))),
+        lambda r: r["hi"] > r["lo"],
+    )
+
+    def joined(xs: Column) -> Column:
+        """A run that begins where the one before ends makes it longer."""
+        firsts = F.filter(xs, lambda r, i: F.coalesce(F.get(xs, i - 1)["hi"] != r["lo"], F.lit(True)))
+        lasts = F.filter(xs, lambda r, i: F.coalesce(F.get(xs, i + 1)["lo"] != r["hi"], F.lit(True)))
+        return F.zip_with(firsts, lasts, lambda f, l: F.struct((f["lo"] - F.col("begin")).alias("at"), (l["hi"] - f["lo"]).alias("n")))
+
+    return let(F.array_sort(own), joined).cast("array<struct<at:bigint,n:bigint>>")
+
+
 def apply_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mixed corpus, in the columns of ``df``: whole texts as often as they
-    are taken whole, and the part that remains as a text of its own, its words
+    are taken whole, and each part that remains as a text of its own, its words
     joined by single spaces. A column ``n_chars`` follows the text. Ids repeat.
 
     Each row has its own part of the plan, whatever its id: null and repeated
@@ -270,26 +298,23 @@ def apply_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
             n_words_column(F.col(text_col)).alias("size"),
         )
     )
-    plan = _taken(rows, **options, ties=("_tie",)).select(
-        "_row", F.col("size").alias("_size"), F.col("taken").alias("_taken"), F.col("start").alias("_start")
-    ).where("_taken > 0")
-    joined = marked.join(plan, "_row")
-    whole, part = F.floor(F.col("_taken") / F.col("_size")), F.col("_taken") % F.col("_size")
-    words = words_column(F.col(text_col))
-    cut_text = F.array_join(
-        F.slice(F.concat(words, words), (F.col("_start") + 1).cast("int"), part.cast("int")), " "
-    )
-    copies = F.concat(
-        F.array_repeat(F.lit(False), whole.cast("int")), F.when(part > 0, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>"))
+    block = options.get("block_words", BLOCK_WORDS)
+    planned = _taken(rows, **options, ties=("_tie",))
+    parts = F.concat(
+        F.array_repeat(F.struct(F.lit(0).cast("long").alias("at"), F.col("size").alias("n")), F.col("laps").cast("int")), _parts(block)
     )
-    out = joined.withColumn("_part", F.explode(copies))
-    text = F.when(F.col("_part"), cut_text).otherwise(F.col(text_col))
+    plan = planned.where("taken > 0").select("_row", F.col("size").alias("_size"), parts.alias("_parts"))
+    # Rows are met by their numbers, then a text is repeated and cut.
+    out = marked.join(plan, "_row").withColumn("_part", F.explode("_parts"))
+    part = F.col("_part")["n"] < F.col("_size")
+    cut_text = F.array_join(F.slice(words_column(F.col(text_col)), (F.col("_part")["at"] + 1).cast("int"), F.col("_part")["n"].cast("int")), " ")
+    text = F.when(part, cut_text).otherwise(F.col(text_col))
     columns = []
     for c in df.columns:
         if c == text_col:
             columns.append(text.alias(c))
         elif c == "n_chars":
-            columns.append(F.when(F.col("_part"), F.length(cut_text)).otherwise(F.col(c)).cast(df.schema[c].dataType).alias(c))
+            columns.append(F.when(part, F.length(cut_text)).otherwise(F.col(c)).cast(df.schema[c].dataType).alias(c))
         else:
             columns.append(F.col(c))
     return out.select(*columns)

@@ -150,3 +150,73 @@ def test_bands_of_shards_still_meet_the_targets(spark, monkeypatch):
     for group in by_source(mixing.mix_sources(df, shard_docs=10).collect()).values():
         assert abs(sum(r.taken for r in group) - group[0].target) <= 1
         assert all(r.taken <= 3 * r.size for r in group)
+
+
+def brute_blocks(votes, seats, caps):
+    """Highest quotients one seat at a time; also the seat that was dealt last."""
+    quota = dict.fromkeys(votes, 0)
+    for _ in range(seats):
+        free = [k for k in votes if quota[k] < caps[k] and votes[k] > 0]
+        if not free:
+            break
+        quota[min(free, key=lambda k: (-votes[k] / (2 * quota[k] + 1), k))] += 1
+    last = max((k for k in votes if quota[k]), key=lambda k: (-votes[k] / (2 * quota[k] - 1), k), default=None)
+    return quota, last
+
+
+def test_source_quotas_are_blocks_of_highest_quotient(spark):
+    sizes = {"a": 5_000, "b": 900, "c": 20_000, "d": 450, "e": 700, "f": 333, "g": 77, "h": 410}
+    df = spark.createDataFrame([(k, n) for k, n in sizes.items()], "source string, size long")
+    got = {r.of_source: r for r in mixing._source_quotas(df, 3, 128, 2_000).collect()}
+    targets = brute_targets(sizes)
+    quota, _ = brute_blocks(targets, sum(sizes.values()) // 128, {k: -(-t // 128) for k, t in targets.items()})
+    words = {k: round(t) for k, t in targets.items()}
+    assert {k: r.of_words for k, r in got.items()} == words
+    assert {k: r.of_seats for k, r in got.items()} == {k: q + (words[k] > q * 128) for k, q in quota.items()}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_shard_quotas_equal_dealing_and_differ_from_rounding(spark, seed):
+    rng = random.Random(seed)
+    sizes = {k: rng.choice([0, 10, 100, 700, 900, 1500, 5000]) + rng.randint(0, 60) for k in range(40)}
+    total = sum(sizes.values())
+    words = rng.randint(total // 3, 3 * total)
+    seats = -(-words // 128)
+    df = spark.createDataFrame([("g", k, n, words, seats) for k, n in sizes.items()], "g string, k long, part_size long, of_words long, of_seats long")
+    got = {r.k: r.run for r in mixing._dealt(df, ["g"], "k", 128, 3).collect()}
+    quota, last = brute_blocks(sizes, seats, {k: -(-3 * n // 128) for k, n in sizes.items()})
+    want = {k: max(0, min(q * 128 - (seats * 128 - words) * (k == last), 3 * sizes[k])) for k, q in quota.items()}
+    left = words - sum(want.values())
+    for k in sorted(want):
+        more = min(left, 3 * sizes[k] - want[k])
+        want[k], left = want[k] + more, left - more
+    assert got == want and sum(got.values()) == words
+    assert any(abs(got[k] - round(n * words / total)) > 20 for k, n in sizes.items())
+
+
+def test_chosen_blocks_against_a_plain_walk(spark):
+    """Blocks of a shard's line are listed one by one; words are counted one by one."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(11)
+    data = [(k, "w " * rng.choice([0, 1, 5, 40, 300, 2000]), rng.choice(["a", "b", "b", "b", None])) for k in range(260)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    rows = df.select(F.col("doc_id").alias("id"), "source", mixing.n_words_column(F.col("text")).alias("size"))
+    planned = mixing._taken(rows, shard_docs=40, block_words=50)
+    parts = mixing._parts(50).alias("parts")
+    lines = defaultdict(list)
+    for r in planned.select("*", parts).collect():
+        lines[r.source, r.blocks, r["from"], r.whole, r.odd, r.laps, r.odd_at].append(r)
+    assert sum(1 for k in lines if 0 < k[3] < k[1]) > 3
+    for (_, blocks, start, whole, odd, laps, odd_at), group in lines.items():
+        chosen = [j for j in range(blocks) if (j * whole + start) % blocks + whole >= blocks] if whole else []
+        assert len(chosen) == whole
+        places = {w for j in chosen for w in range(50 * j, 50 * j + 50)}
+        assert not places & set(range(odd_at, odd_at + odd))
+        places |= set(range(odd_at, odd_at + odd))
+        assert odd_at == 50 * next((j for j in range(blocks) if j not in chosen), blocks)
+        for r in group:
+            own = [w - r.begin for w in range(r.begin, r.end) if w in places]
+            assert r.taken == laps * r.size + len(own)
+            assert [w for p in r.parts for w in range(p["at"], p["at"] + p.n)] == own
+            assert all(a["at"] + a.n < b["at"] for a, b in zip(r.parts, r.parts[1:])) and r.start == (own or [0])[0]
