@@ -34,7 +34,8 @@ from codesieve.llm.components import connected_components
 
 _U64 = np.uint64
 NODE = 256
-#: Bits of the Gray rank by which the upper nodes of a list are grouped.
+#: Bits of the Gray rank by which the upper nodes of a list are grouped. The rank is
+#: that of the bits which the list does not share, so all lists have groups.
 LEVELS = (8, 16)
 FAN = 16
 BLOCKS = 6
@@ -84,13 +85,44 @@ def gray_rank(fp: Column) -> Column:
     return fp
 
 
-def _choices(max_diff: int, blocks: int) -> list[int]:
-    """Masks of the block choices one of which two linked fingerprints share."""
+def _choices(max_diff: int, blocks: int) -> list[tuple[int, list[tuple[int, int, int]]]]:
+    """The block choices one of which two linked fingerprints share: the mask of the
+    shared bits, and (lowest bit, bits, place) of the other blocks, packed from the top."""
     if not 0 <= max_diff < blocks:
         raise ValueError("more blocks than differing bits are needed")
     edges = [round(64 * k / blocks) for k in range(blocks + 1)]
-    parts = [sum(1 << b for b in range(lo, hi)) for lo, hi in zip(edges, edges[1:])]
-    return [sum(c) for c in combinations(parts, blocks - max_diff)]
+    parts = list(zip(edges, edges[1:]))
+    out = []
+    for chosen in combinations(range(blocks), blocks - max_diff):
+        mask = sum(((1 << hi - lo) - 1) << lo for lo, hi in (parts[k] for k in chosen))
+        others, top = [], 64
+        for lo, hi in (parts[k] for k in range(blocks) if k not in chosen):
+            top -= hi - lo
+            others.append((lo, hi - lo, top))
+        out.append((mask, others))
+    return out
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _packed(fp: Column, others: list[tuple[int, int, int]]) -> Column:
+    """The bits that a list does not share, from the top bit on."""
+    out = F.lit(0).cast("long")
+    for lo, bits, place in others:
+        out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(fp, lo).bitwiseAND(F.lit((1 << bits) - 1)), place))
+    return out
+
+
+def _unpacked(rank: np.ndarray, choice: np.ndarray, shared: np.ndarray, layout: list[tuple[int, list[tuple[int, int, int]]]]) -> np.ndarray:
+    """Fingerprints from their lists' shared bits and their Gray ranks."""
+    packed, out = _unrank(rank), shared.copy()
+    for c in np.unique(choice):
+        own = choice == c
+        for lo, bits, place in layout[c][1]:
+            out[own] |= ((packed[own] >> _U64(place)) & _U64((1 << bits) - 1)) << _U64(lo)
+    return out
 
 
 class _Tree:
@@ -194,13 +226,15 @@ def _unrank(rank: np.ndarray) -> np.ndarray:
 _NODE_SCHEMA = "choice int, shared long, first long, ones long, zeros long, members binary, a long, b long"
 
 
-def _build_nodes(max_diff: int):
+def _build_nodes(max_diff: int, blocks: int):
     """Nodes of NODE members at most, and the links inside each of them.
 
     Rows come sorted by (choice, shared, rank). A list that ends inside this
     task and fits one node needs no node row: its links are all found here.
     """
 
+    layout = _choices(max_diff, blocks)
+
     def lists(batches):
         rest = None
         for batch in batches:
@@ -223,7 +257,7 @@ def _build_nodes(max_diff: int):
         for rows, edge in lists(batches):
             nodes, links_a, links_b = [], [], []
             choice, shared = rows["choice"].to_numpy(), rows["shared"].to_numpy()
-            fps = _unrank(rows["rank"].to_numpy().view(_U64))
+            fps = _unpacked(rows["rank"].to_numpy().view(_U64), choice, shared.view(_U64), layout)
             bounds = [0, *edge.tolist(), len(rows)]
             sizes = np.diff(bounds)
             # Short lists, all at once: compare each row with the next few.
@@ -280,16 +314,16 @@ def _cross(max_diff: int):
     return run
 
 
-def _close_groups(parts: DataFrame, key: str, up: str | None, pairs: DataFrame | None, max_diff: int, carry: tuple[str, ...] = ()) -> DataFrame:
+def _close_groups(parts: DataFrame, key: str, up: str | None, pairs: DataFrame | None, max_diff: int, leaf: bool = False) -> DataFrame:
     """(choice, shared, left, right) of the groups ``key`` that may hold links, below
-    the pairs of upper groups ``up``; a group with itself too unless it is a node."""
+    the pairs of upper groups ``up``; a group with itself too unless it is a ``leaf``."""
     keys = ["choice", "shared"]
 
     def side(name: str) -> DataFrame:
         above = [F.col(up).alias(f"up_{name}")] if up else []
-        return parts.select(*keys, *above, F.col(key).alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("ones", "zeros", *carry)])
+        return parts.select(*keys, *above, F.col(key).alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("ones", "zeros")])
 
-    order = F.col("left") < F.col("right") if carry else F.col("left") <= F.col("right")
+    order = F.col("left") < F.col("right") if leaf else F.col("left") <= F.col("right")
     if pairs is None:
         joined = side("left").join(side("right"), keys)
     else:
@@ -299,21 +333,30 @@ def _close_groups(parts: DataFrame, key: str, up: str | None, pairs: DataFrame |
     apart = F.bit_count(
         F.col("left_ones").bitwiseAND(F.col("right_zeros")).bitwiseOR(F.col("left_zeros").bitwiseAND(F.col("right_ones")))
     )
-    return joined.where(order & (apart <= max_diff)).select(*keys, "left", "right", *[f"{n}_{c}" for n in ("left", "right") for c in carry])
+    return joined.where(order & (apart <= max_diff)).select(*keys, "left", "right")
+
+
+def _groups(nodes: DataFrame, bits: int, up: str | None = None) -> DataFrame:
+    """Upper nodes: those of one list and one prefix of the rank, with what they share."""
+    return nodes.groupBy("choice", "shared", *([up] if up else []), f"g{bits}").agg(F.bit_and("ones").alias("ones"), F.bit_and("zeros").alias("zeros"))
+
+
+def _prefixed(nodes: DataFrame) -> DataFrame:
+    return nodes.withColumns({f"g{p}": F.shiftrightunsigned("first", 64 - p) for p in LEVELS})
 
 
 def _node_pairs(nodes: DataFrame, max_diff: int) -> DataFrame:
-    """(left, right): members of each two nodes of one list that may hold a link."""
-    nodes = nodes.withColumns({f"g{p}": F.shiftrightunsigned("first", 64 - p) for p in LEVELS})
+    """(left, right): members of each two nodes of one list that may hold a link.
+    Pairs are found by the nodes' keys; members come to the pairs that are left."""
+    plain = _prefixed(nodes.drop("members"))
     up = pairs = None
     for p in LEVELS:
-        group = f"g{p}"
-        parts = nodes.groupBy("choice", "shared", *([up] if up else []), group).agg(
-            F.bit_and("ones").alias("ones"), F.bit_and("zeros").alias("zeros")
-        )
-        pairs = _close_groups(parts, group, up, pairs, max_diff)
-        up = group
-    found = _close_groups(nodes, "first", up, pairs, max_diff, ("members",))
+        pairs = _close_groups(_groups(plain, p, up), f"g{p}", up, pairs, max_diff)
+        up = f"g{p}"
+    found = _close_groups(plain, "first", up, pairs, max_diff, leaf=True)
+    for name in ("left", "right"):
+        own = nodes.select("choice", "shared", F.col("first").alias(name), F.col("members").alias(f"{name}_members"))
+        found = found.join(own, ["choice", "shared", name])
     return found.select(F.col("left_members").alias("left"), F.col("right_members").alias("right"))
 
 
@@ -322,15 +365,14 @@ def links(fps: DataFrame, max_diff: int = 4, blocks: int = BLOCKS) -> DataFrame:
 
     Edges span each class within a node; they are not all its pairs.
     """
-    masks = _choices(max_diff, blocks)
-    rank = gray_rank(F.col("fp"))
-    listed = fps.select(
-        rank.alias("rank"),
-        F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for m in masks])).alias("choice", "shared"),
-    ).select("choice", "shared", "rank")
+    fp = F.col("fp")
+    lists = [F.struct(fp.bitwiseAND(F.lit(_signed(m))).alias("shared"), _packed(fp, others).alias("packed")) for m, others in _choices(max_diff, blocks)]
+    listed = fps.select(F.posexplode(F.array(*lists)).alias("choice", "list")).select(
+        "choice", "list.shared", gray_rank(F.col("list.packed")).alias("rank")
+    )
     parts = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     dealt = listed.repartitionByRange(parts, "choice", "shared", "rank").sortWithinPartitions("choice", "shared", "rank")
-    found = cut(map_frames(dealt, _build_nodes(max_diff), _NODE_SCHEMA))
+    found = cut(map_frames(dealt, _build_nodes(max_diff, blocks), _NODE_SCHEMA))
     nodes = found.where("members IS NOT NULL").select("choice", "shared", "first", "ones", "zeros", "members")
     across = map_frames(_node_pairs(nodes, max_diff), _cross(max_diff), "a long, b long")
     return found.where("a IS NOT NULL").select("a", "b").union(across).distinct()

@@ -190,3 +190,39 @@ def test_windows_of_one_first_hash_differ_by_the_second():
     out = [r for frame in merger.flush() for r in frame.itertuples()]
     assert {(r.th1, r.place): r.weight for r in out} == {(1, 0): 1, (1, 1): 2, (1, 2): 1, (2, 0): 2, (2, 1): 1}
     assert len({(r.h, r.h2) for r in out}) == 5 and sum(r.h == 0 for r in out) == 4
+
+
+def test_lists_of_every_choice_have_groups(spark):
+    """Upper nodes must divide a hot list whichever blocks it shares."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(3)
+    layout = simhash._choices(4, simhash.BLOCKS)
+    assert len(layout) == 15
+    rows = []
+    for c, (mask, _) in enumerate(layout):  # one hot list of each choice
+        fps = (rng.integers(0, 1 << 63, 20_000, np.uint64) * np.uint64(2)) & ~np.uint64(mask)
+        rows.append((c, fps.view(np.int64)))
+    for c, fps in rows:
+        df = spark.createDataFrame([(int(f),) for f in fps], "fp long")
+        packed = df.select(simhash.gray_rank(simhash._packed(F.col("fp"), layout[c][1])).alias("first"))
+        g = simhash._prefixed(packed).agg(F.countDistinct("g8").alias("a"), F.countDistinct("g16").alias("b")).first()
+        assert g.a >= 100 and g.b >= 10_000
+        ranks = np.array([r.first for r in packed.select("first").limit(500).collect()], np.int64).view(np.uint64)
+        back = simhash._unpacked(ranks, np.full(len(ranks), c), np.zeros(len(ranks), np.uint64), layout)
+        assert set(back.view(np.int64).tolist()) <= set(fps.tolist())
+
+
+def test_links_in_a_hot_list(spark):
+    """Many fingerprints that share one choice of blocks, near pairs among them."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 43, 3000, np.uint64)  # the upper blocks are zero
+    near = base[:300] ^ (np.uint64(1) << rng.integers(0, 43, 300).astype(np.uint64)) ^ np.uint64(5)
+    fps = np.unique(np.concatenate([base, near]))
+    df = spark.createDataFrame([(int(f),) for f in fps], "fp long").repartition(4)
+    roots = {r.node: r.root for r in components.connected_components(simhash.links(df)).collect()}
+    i, j = np.nonzero(np.triu(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4, 1))
+    assert len(i) >= 300
+    assert all(roots[int(fps[a])] == roots[int(fps[b])] for a, b in zip(i, j))
+    linked = {int(fps[k]) for k in (*i, *j)}
+    assert set(roots) == linked
