@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WORD_BREAK = r"[\x20\x09-\x0D]+"
@@ -74,6 +76,26 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it lies."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def work_folder(spark: SparkSession, path: str) -> Iterator[None]:
+    """Checkpoints go to ``path`` meanwhile, and are deleted at the end: nothing that
+    was made from them may be read later."""
+    before = shared_folder(spark)
+    spark.sparkContext.setCheckpointDir(path)
+    try:
+        yield
+    finally:
+        spark.sparkContext.setCheckpointDir(before)
+        delete_folder(spark, path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
@@ -112,21 +134,20 @@ def small_side(df: DataFrame, max_rows: int) -> DataFrame:
 
 
 def bounded_ids(df: DataFrame, key: str, limit: int, seed: int = 0) -> DataFrame:
-    """At most ``limit`` keys, those of least seeded hash: a fixed sample.
+    """Keys of at most ``limit`` rows, those of least seeded hash: a fixed sample.
 
-    A hash threshold for some four times as many rows comes first, so that only
-    those are made distinct and sorted, at any size of ``df``.
+    A key whose rows alone are more than the limit is left out, and so are keys that
+    would bring the rows above it: rows are bounded, however often a key repeats. A
+    hash threshold for some four times as many rows comes first, so that only those
+    are counted and sorted, at any size of ``df``.
     """
     place = F.xxhash64(F.lit(seed), F.col(key))
     share = min(1.0, 4 * limit / max(df.count(), 1))
     below = F.lit(int(share * (1 << 32)))
-    return (
-        df.where(F.col(key).isNotNull() & (F.shiftrightunsigned(place, 32) < below))
-        .select(key)
-        .distinct()
-        .orderBy(place, key)
-        .limit(limit)
-    )
+    some = df.where(F.col(key).isNotNull() & (F.shiftrightunsigned(place, 32) < below)).groupBy(key).agg(F.count("*").alias("_rows"))
+    first = some.where(F.col("_rows") <= limit).orderBy(place, key).limit(limit)  # so many rows at most reach the window's one task
+    total = F.sum("_rows").over(Window.orderBy(place, key))
+    return first.withColumn("_total", total).where(F.col("_total") <= limit).select(key)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -2,9 +2,10 @@
 
 Rows are first grouped by length, then by a hash of a short prefix, and only
 the rows of groups that survive both are hashed in full. What survives a step is
-broadcast as a bit table of fixed size, so texts are never shuffled and nothing
-that is broadcast grows with the data. The table may let a row pass that it need
-not (two keys share a bit); the next step judges that row, so results are exact.
+counted and broadcast as a bit table with SPARSE bits or more for each key, so at most
+one row in SPARSE passes that it need not (two keys share a bit); the next step judges
+that row, so results are exact. Texts are never shuffled. A table that would outgrow
+its bound is not broadcast: then narrow keys are shuffled, after all texts are hashed.
 """
 
 from __future__ import annotations
@@ -12,11 +13,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codesieve.llm.common import SMALL_ROWS, numbered, small_side
+from codesieve.llm.common import SMALL_ROWS, cut, numbered, small_side
 
 PREFIX = 256
-#: Words of 64 bits in a broadcast bit table; a power of two. At most 16 MB of bits.
+#: Most words of 64 bits in a broadcast bit table; a power of two. At most 16 MB.
 FILTER_WORDS = 1 << 20
+#: Least bits for each key in a table: at most 1 / SPARSE of them are set.
+SPARSE = 8
 
 
 def _word(key: Column, words: int) -> Column:
@@ -27,9 +30,14 @@ def _bit(key: str) -> Column:
     return F.expr(f"shiftleft(1L, CAST({key} & 63 AS INT))")
 
 
-def _repeated(keys: DataFrame, words: int) -> DataFrame:
-    """Bit table (word, bits) of the hashes ``key`` that occur more than once."""
-    again = keys.groupBy("key").count().where("count > 1")
+def _repeated(keys: DataFrame) -> tuple[DataFrame, int]:
+    """The hashes ``key`` that occur more than once, written, and the words of their table."""
+    again = cut(keys.groupBy("key").count().where("count > 1").select("key"))
+    return again, 1 << max(0, (again.count() * SPARSE - 1) // 64).bit_length()
+
+
+def _table(again: DataFrame, words: int) -> DataFrame:
+    """Bit table (word, bits) of the keys."""
     return again.groupBy(_word(F.col("key"), words).alias("word")).agg(F.bit_or(_bit("key")).alias("bits"))
 
 
@@ -64,12 +72,18 @@ def exact_dedup(
         "id", text.alias("text"), F.xxhash64(F.octet_length(text)).alias("len"),
         F.xxhash64(F.octet_length(text), F.substring(text, 1, prefix)).alias("head"),
     )
-    lengths = _repeated(base.select(F.col("len").alias("key")), filter_words)
-    longer = _among(base, F.col("len"), lengths, filter_words).where("again")
-    heads = _repeated(longer.select(F.col("head").alias("key")), filter_words)
-    # The join runs in the scan: only survivors are hashed in full.
-    digest = F.when(F.col("again") | F.lit(digest_all), F.sha2(F.col("text"), 256))
-    rows = _among(base, F.col("head"), heads, filter_words).select("id", "head", digest.alias("full"), "again")
+    lengths, words = _repeated(base.select(F.col("len").alias("key")))
+    # Without a table of lengths their step is left out: all go on to the next.
+    longer = _among(base, F.col("len"), _table(lengths, words), words).where("again") if words <= filter_words else base
+    heads, words = _repeated(longer.select(F.col("head").alias("key")))
+    full = F.sha2(F.col("text"), 256)
+    if words <= filter_words:
+        # The join runs in the scan: only survivors are hashed in full.
+        rows = _among(base, F.col("head"), _table(heads, words), words)
+        rows = rows.select("id", "head", F.when(F.col("again") | F.lit(digest_all), full).alias("full"), "again")
+    else:
+        hashed = base.select("id", "head", full.alias("full"))
+        rows = hashed.join(heads, F.col("head") == F.col("key"), "left").withColumn("again", F.col("key").isNotNull()).drop("key")
     groups = small_side(
         rows.where("again").groupBy("full")
         .agg(F.max("id").alias("keep"), F.count("*").alias("n"))

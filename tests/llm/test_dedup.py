@@ -23,13 +23,25 @@ def test_exact_against_brute_force(docs, rows):
     for (i, keep, n, kept, digest), times in expected.items():
         bare[i, keep, n, kept, digest if n > 1 else None] += times
     for limit in (200_000, 0):  # broadcast and shuffled groups
-        for words in (exact_dedup.FILTER_WORDS, 1):  # a bit table without and with shared bits
+        for words in (exact_dedup.FILTER_WORDS, 1, 0):  # a wide bit table, a narrow one, none
             got = exact_dedup.exact_dedup(docs, digest_all=True, small_rows=limit, filter_words=words).collect()
             assert Counter(map(tuple, got)) == expected
             got = exact_dedup.exact_dedup(docs, small_rows=limit, filter_words=words).collect()
             assert Counter(map(tuple, got)) == bare
 
 
+def test_tables_stay_sparse(spark):
+    """The table follows the number of repeated keys, so few others pass it."""
+    from pyspark.sql import functions as F
+
+    for n in (0, 1, 8, 9, 5_000):
+        keys = spark.range(4 * n).select(F.xxhash64(F.when(F.col("id") < 2 * n, F.col("id") % F.lit(max(n, 1))).otherwise(F.col("id"))).alias("key"))
+        again, words = exact_dedup._repeated(keys)
+        assert again.count() == n and words & (words - 1) == 0 and max(8 * n, 64) <= 64 * words <= max(16 * n, 64)
+        passed = exact_dedup._among(keys, F.col("key"), exact_dedup._table(again, words), words).where("again").count()
+        assert 2 * n <= passed <= 2 * n + 2 * n / exact_dedup.SPARSE * 1.3 + 3
+
+
 def test_exact_is_native_and_drops_rows(docs, no_docs, rows):
     plan = exact_dedup.exact_dedup(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan
