@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from codesieve.llm import exact_dedup, mixing, packing, quality, simhash
-from codesieve.llm.common import read_table, shared_folder
+from codesieve.llm.common import delete_folder, read_table, shared_folder, work_folder
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,10 +58,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the last stage. A stage's checkpoints go once it is written, and its
+    input once its successor is: two stages lie in the shared folder at most."""
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = read_table(spark, sf_dir, "documents")
+    docs, last = read_table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         out = f"{folder}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(out)
+        with work_folder(spark, f"{folder}/{k}-work"):
+            stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
+        if last is not None:
+            delete_folder(spark, last)
+        last = out
     return docs
