@@ -1,6 +1,8 @@
 """The rule scan: files x rules in one projection, without a shuffle.
 
-A pattern is a literal, so it is compiled once. ``split`` and
+A pattern is a literal, so it is compiled once, and it runs only on texts that hold
+one of the words without which it cannot match (``required``): a plain search, over
+the text in lower case where the pattern ignores case. ``split`` and
 ``regexp_extract_all`` walk the same matches; weaving their results gives each
 hit's line without counting offsets.
 """
@@ -13,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codesieve.functions.text import comment_or_string, count_of, gather, let, line_count, scanner_language, split_lines, trim_control
+from codesieve.operators.prefilter import ignores_case, required
 from codesieve.operators.rules import SEVERITIES, WEIGHTS, Rule
 
 SNIPPET, EVIDENCE = 120, 100
@@ -32,6 +35,17 @@ def _rule_fields(rule: Rule, order: int) -> list[Column]:
     ]
 
 
+def possible(rule: Rule, code: Column, low: Column) -> Column:
+    """Whether a text holds a word that each match needs; true for rules without one.
+    ``low`` is the text in lower case."""
+    words = required(rule.pattern)
+    text = low if ignores_case(rule.pattern) else code
+    out = F.lit(not words)
+    for w in words:
+        out = out | text.contains(w)
+    return out
+
+
 def scan_first(files: DataFrame, rules: Sequence[Rule], language: Column | None = None, keep: Sequence[str] = ("file_id",)) -> DataFrame:
     """First match of each rule in each file: one row per file and rule that hits.
 
@@ -41,10 +55,11 @@ def scan_first(files: DataFrame, rules: Sequence[Rule], language: Column | None
     code = F.col("code")
 
     def one(rule: Rule, order: int) -> Column:
+        may = possible(rule, code, F.col("_low"))
         before = F.element_at(F.split(code, rule.pattern, 2), 1)
         ln = count_of(before, "\n") + 1
         return F.when(
-            _allowed(rule, language) & code.rlike(rule.pattern),
+            may & _allowed(rule, language) & code.rlike(rule.pattern),
             F.struct(
                 *_rule_fields(rule, order),
                 ln.alias("ln"),
@@ -54,13 +69,14 @@ def scan_first(files: DataFrame, rules: Sequence[Rule], language: Column | None
         )
 
     hits = F.filter(F.array(*[one(r, k) for k, r in enumerate(rules)]), lambda h: h.isNotNull())
-    return files.select(*keep, F.inline(hits))
+    return files.withColumn("_low", F.lower(code)).select(*keep, F.inline(hits))
 
 
 def all_hits(code: Column, rules: Sequence[Rule], language: Column | None = None) -> Column:
     """Per rule that matches: the rule's fields and ``found``, its matches in order.
 
-    The lines of the text are bound once; a match takes its line by number.
+    The lines of the text are bound once for a rule that matches; a match takes its
+    line by number.
     """
 
     def weave(pair: Column, lines: Column) -> Column:
@@ -93,20 +109,20 @@ def all_hits(code: Column, rules: Sequence[Rule], language: Column | None = None
         places = F.when(F.size(pair["hits"]) > 0, F.sequence(F.lit(0), F.size(pair["hits"]) - 1)).otherwise(F.array().cast("array<int>"))
         return let(places, lambda ps: gather(ps, start, kind, step, lambda s, out: out))
 
-    def one(rule: Rule, order: int, lines: Column) -> Column:
+    def one(rule: Rule, order: int, x: Column) -> Column:
         pair = F.struct(
             F.split(code, rule.pattern, -1).alias("pieces"),
             F.regexp_extract_all(code, F.lit(rule.pattern), F.lit(0)).alias("hits"),
         )
         return F.when(
-            _allowed(rule, language) & code.rlike(rule.pattern),
-            F.struct(*_rule_fields(rule, order), let(pair, lambda p: weave(p, lines)).alias("found")),
+            possible(rule, code, x["low"]) & _allowed(rule, language) & code.rlike(rule.pattern),
+            F.struct(*_rule_fields(rule, order), let(F.struct(pair.alias("pair"), split_lines(code).alias("lines")), lambda p: weave(p["pair"], p["lines"])).alias("found")),
         )
 
-    def every(lines: Column) -> Column:
-        return F.filter(F.array(*[one(r, k, lines) for k, r in enumerate(rules)]), lambda h: h.isNotNull())
+    def every(x: Column) -> Column:
+        return F.filter(F.array(*[one(r, k, x) for k, r in enumerate(rules)]), lambda h: h.isNotNull())
 
-    return let(split_lines(code), every)
+    return let(F.struct(F.lower(code).alias("low")), every)
 
 
 def scan_all(files: DataFrame, rules: Sequence[Rule], language: Column | None = None, keep: Sequence[str] = ("file_id",)) -> DataFrame:
@@ -151,9 +167,9 @@ def scan_summary(files: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     No shuffle: the rules of a file are summed in its own row.
     """
     code = F.col("code")
-    hit = [code.rlike(r.pattern).cast("int") for r in rules]
+    hit = [(possible(r, code, F.col("_low")) & code.rlike(r.pattern)).cast("int") for r in rules]
     taken = sum((h * WEIGHTS[r.severity] for h, r in zip(hit, rules)), F.lit(0))
-    return files.select(
+    return files.withColumn("_low", F.lower(code)).select(
         "file_id", scanner_language(code).alias("language"), line_count(code).cast("long").alias("scanned_lines"),
         sum(hit, F.lit(0)).cast("long").alias("n_issues"), F.greatest(F.lit(0), 100 - taken).cast("long").alias("score"),
     )
