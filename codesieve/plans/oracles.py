@@ -701,4 +701,5 @@ FROM source_files f LEFT JOIN (
         lines=_LINES, extents=_EXTENTS,
     )
     out["stream_scan"] = out["scan_score"]
+    out["scan_rule_table"] = out["scan_first_match"]
     return out

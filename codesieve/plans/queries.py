@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from codesieve.functions import text
 from codesieve.operators import functions, guard, history, patches, report, scan, stubs, verdict, workflow
 from codesieve.operators.rules import GUARD, SECURITY
-from codesieve.sources import corpus, files, responses
+from codesieve.sources import corpus, files, responses, rule_table
 from codesieve.sources.history_store import HistoryStore
 from codesieve.streaming import history_stream, streams
 
@@ -81,6 +81,23 @@ def corpus_rollup(spark, sf_dir):
     return verdict.corpus_rollup(_code(spark, sf_dir), SECURITY)
 
 
+@_register
+def corpus_rollup_sketch(spark, sf_dir):
+    """Two increments merged, then rolled up."""
+    code = _code(spark, sf_dir)
+    parts = [verdict.finding_sketches(code.where(F.col("file_id") % 2 == k), SECURITY) for k in (0, 1)]
+    return verdict.rolled_up(verdict.merged_sketches(*parts))
+
+
+@_register
+def scan_rule_table(spark, sf_dir):
+    """The security pack written as a table and read back."""
+    folder = streams.shared_folder(spark)
+    rule_table.rule_rows(spark, SECURITY).write.parquet(f"{folder}/rules")
+    rules, _ = rule_table.load_rules(spark.read.parquet(f"{folder}/rules"))
+    return scan.scan_first(_code(spark, sf_dir), rules)
+
+
 @_register
 def language_flavours(spark, sf_dir):
     code = F.col("code")
