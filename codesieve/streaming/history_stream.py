@@ -106,8 +106,8 @@ def versions(spark: SparkSession, path: str, files_a_batch: int | None = None) -
 def code_after_each(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
     """(session_id, version_id, ts, epoch, approved_code) after each event of a stream
     of versions, once the watermark has passed it. A null text stands for the
-    original. Events later than the delay are dropped, as are those without a session."""
-    stream.sparkSession.conf.set(_PROVIDER, _ROCKS)
+    original. Events later than the delay are dropped, as are those without a session.
+    The query must start with the RocksDB state store, as in ``drained``."""
     rows = stream.where("session_id IS NOT NULL").withWatermark("ts", delay)
     return rows.groupBy("session_id").transformWithStateInPandas(
         statefulProcessor=SessionHistory(), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime"
@@ -117,7 +117,13 @@ def code_after_each(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
 def drained(stream: DataFrame, folder: str, sessions: DataFrame) -> DataFrame:
     """Run over all that is there; (session_id, version_id, epoch, current_code) of
     what the watermark has passed."""
-    rows = drain(stream, folder)
+    conf = stream.sparkSession.conf
+    before = conf.get(_PROVIDER)
+    conf.set(_PROVIDER, _ROCKS)
+    try:
+        rows = drain(stream, folder)
+    finally:
+        conf.set(_PROVIDER, before)
     return rows.join(sessions, "session_id").select(
         "session_id", "version_id", "epoch", F.coalesce("approved_code", "original_code").alias("current_code")
     )
