@@ -481,6 +481,17 @@ _ENVELOPE = json.dumps(responses.ENVELOPE, separators=(",", ":"))[1:]
 _VERSIONS, _SESSIONS = f"({corpus.VERSIONS})", f"({corpus.SESSIONS})"
 
 
+#: (file_id, prompt) of the files with stubs.
+_PROMPTS = f"""SELECT f.file_id, {q(_ASK)} || 'File: ' || path || {NL} || '```' || {NL} || code || {NL} || '```' || {NL} || coalesce(related, '') || listed
+      || {NL} || 'Line numbers of fixes begin at 0.' || {NL} AS prompt
+    FROM source_files f JOIN (SELECT file_id, string_agg({NL} || '--- Candidate #' || (pos + 1) || ' ---' || {NL} || 'Function: ' || name || {NL}
+        || 'Lines: ' || start_ln || ' to ' || end_ln || {NL} || 'Code:' || {NL} || '```' || {NL} || array_to_string(a[def_ln:end_ln], {NL})
+        || CASE WHEN end_ln >= def_ln THEN {NL} ELSE '' END || {NL} || '```', {NL} ORDER BY pos) AS listed
+      FROM stubs JOIN (SELECT file_id, string_split(code, {NL}) AS a FROM source_files) USING (file_id) GROUP BY file_id) USING (file_id)
+    LEFT JOIN (SELECT r.file_id, string_agg({NL} || 'Related file: ' || path || {NL} || '```' || {NL} || code || {NL} || '```', {NL} ORDER BY path) AS related
+      FROM ({corpus.RELATED}) r JOIN source_files g ON g.file_id = r.related_id GROUP BY r.file_id) x ON x.file_id = f.file_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     out = {
         "scan_score": _with(
@@ -659,17 +670,12 @@ SELECT file_id, 0, '', '', raw, '', 0, true FROM r WHERE file_id NOT IN (SELECT
         ),
         "prompt_rows": _with(
             f"""SELECT file_id, len(body) AS n_chars, md5(body) AS digest FROM (
-  SELECT file_id, '{{"contents":[{{"role":"user","parts":[{{"text":' || to_json(prompt) || '}}]}}],' || {q(_ENVELOPE)} AS body FROM (
-    SELECT f.file_id, {q(_ASK)} || 'File: ' || path || {NL} || '```' || {NL} || code || {NL} || '```' || {NL} || coalesce(related, '') || listed
-      || {NL} || 'Line numbers of fixes begin at 0.' || {NL} AS prompt
-    FROM source_files f JOIN (SELECT file_id, string_agg({NL} || '--- Candidate #' || (pos + 1) || ' ---' || {NL} || 'Function: ' || name || {NL}
-        || 'Lines: ' || start_ln || ' to ' || end_ln || {NL} || 'Code:' || {NL} || '```' || {NL} || array_to_string(a[def_ln:end_ln], {NL})
-        || CASE WHEN end_ln >= def_ln THEN {NL} ELSE '' END || {NL} || '```', {NL} ORDER BY pos) AS listed
-      FROM stubs JOIN (SELECT file_id, string_split(code, {NL}) AS a FROM source_files) USING (file_id) GROUP BY file_id) USING (file_id)
-    LEFT JOIN (SELECT r.file_id, string_agg({NL} || 'Related file: ' || path || {NL} || '```' || {NL} || code || {NL} || '```', {NL} ORDER BY path) AS related
-      FROM ({corpus.RELATED}) r JOIN source_files g ON g.file_id = r.related_id GROUP BY r.file_id) x ON x.file_id = f.file_id))""",
+  SELECT file_id, '{{"contents":[{{"role":"user","parts":[{{"text":' || to_json(prompt) || '}}]}}],' || {q(_ENVELOPE)} AS body FROM ({_PROMPTS}))""",
             **_STUB_TABLES,
         ),
+        "prompt_parts": _with(
+            f"SELECT file_id, CAST(0 AS BIGINT) AS part, len(prompt) AS n_chars, md5(prompt) AS digest FROM ({_PROMPTS})", **_STUB_TABLES
+        ),
         "report_functions": _with(
             f"""SELECT file_id, pos, name, 'confirmed' AS risk, fix AS fixability, {_INTENT} AS intent, {_fix_text(0)} AS fix_reason,
   {_fix_text(1)} AS warning_note, {_fix_text(2)} AS signal, fix = 'HIGH' AS can_auto_fix FROM reported""",

@@ -412,6 +412,13 @@ def related_files(spark, sf_dir):
     return _related(spark, sf_dir, code).select("file_id", "related_path", F.length("related_code").alias("n_chars"))
 
 
+@_register
+def prompt_parts(spark, sf_dir):
+    code = _code(spark, sf_dir)
+    parts = responses.prompt_parts(code, stubs.candidates(code), _related(spark, sf_dir, code))
+    return parts.select("file_id", "part", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
+
+
 @_register
 def conversation_prompts(spark, sf_dir):
     """A conversation's turns in numbered parts of 64, so that one of any length fits."""

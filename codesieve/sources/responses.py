@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codesieve.functions.text import guard_language, let, trim_control
@@ -87,32 +87,73 @@ def guarded_proposals(responses: DataFrame) -> DataFrame:
     return kept.unionByName(raw)
 
 
+ASK = "Complete the unfinished functions of one file. Change nothing else, add no import that is not needed, and return no placeholder.\n"
+CLOSING = "\nLine numbers of fixes begin at 0.\n"
+#: Characters after which a long prompt goes on in its next part.
+PART_CHARS = 1 << 20
+
+
+def _listed() -> Column:
+    return F.format_string(
+        "\n--- Candidate #%d ---\nFunction: %s\nLines: %d to %d\nCode:\n```\n%s\n```", F.col("pos") + 1, "function_name", "start_line", "end_line", "code_snippet"
+    )
+
+
+def _shown() -> Column:
+    return F.format_string("\nRelated file: %s\n```\n%s\n```", "related_path", "related_code")
+
+
+def _opening() -> Column:
+    return F.concat(F.lit(ASK), F.lit("File: "), F.col("path"), F.lit("\n```\n"), F.col("code"), F.lit("\n```\n"))
+
+
 def prompts(files: DataFrame, candidates: DataFrame, related: DataFrame | None = None) -> DataFrame:
     """(file_id, n_candidates, prompt): one per file that has candidates.
 
-    ``related`` (file_id, related_path, related_code) adds files for reading only.
+    ``related`` (file_id, related_path, related_code) adds files for reading only. A
+    prompt is one cell; where a file's related texts may outgrow one, see ``prompt_parts``.
     """
-    part = F.format_string(
-        "\n--- Candidate #%d ---\nFunction: %s\nLines: %d to %d\nCode:\n```\n%s\n```", F.col("pos") + 1, "function_name", "start_line", "end_line", "code_snippet"
-    )
-    listed = candidates.select("file_id", F.struct("pos", part.alias("t")).alias("c")).groupBy("file_id").agg(
+    listed = candidates.select("file_id", F.struct("pos", _listed().alias("t")).alias("c")).groupBy("file_id").agg(
         F.count("*").alias("n_candidates"), F.array_join(F.transform(F.array_sort(F.collect_list("c")), lambda c: c["t"]), "\n").alias("listed")
     )
     rows = files.join(listed, "file_id")
     extra = F.lit("")
     if related is not None:
-        shown = F.format_string("\nRelated file: %s\n```\n%s\n```", "related_path", "related_code")
-        texts = related.select("file_id", F.struct("related_path", shown.alias("t")).alias("r")).groupBy("file_id").agg(
+        texts = related.select("file_id", F.struct("related_path", _shown().alias("t")).alias("r")).groupBy("file_id").agg(
             F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["t"]), "\n").alias("related_text")
         )
         rows = rows.join(texts, "file_id", "left")
         extra = F.coalesce("related_text", F.lit(""))
-    prompt = F.concat(
-        F.lit("Complete the unfinished functions of one file. Change nothing else, add no import that is not needed, and return no placeholder.\n"),
-        F.lit("File: "), F.col("path"), F.lit("\n```\n"), F.col("code"), F.lit("\n```\n"), extra, F.col("listed"),
-        F.lit("\nLine numbers of fixes begin at 0.\n"),
-    )
-    return rows.select("file_id", "n_candidates", prompt.alias("prompt"))
+    return rows.select("file_id", "n_candidates", F.concat(_opening(), extra, F.col("listed"), F.lit(CLOSING)).alias("prompt"))
+
+
+def prompt_parts(files: DataFrame, candidates: DataFrame, related: DataFrame | None = None, part_chars: int = PART_CHARS) -> DataFrame:
+    """(file_id, part, text): the prompts of ``prompts`` in numbered parts, which
+    follow on one another; a part ends behind the piece that fills it.
+
+    A piece is the opening with the file itself, a related file, a candidate or the
+    closing line. No cell holds more than one part, however many files are related.
+    """
+    asked = candidates.select("file_id").distinct()
+    wanted = files.join(asked, "file_id", "left_semi")
+    kinds = [
+        wanted.select("file_id", F.lit(0).alias("kind"), F.lit("").alias("key"), F.lit(0).cast("long").alias("pos"), _opening().alias("t")),
+        candidates.select("file_id", F.lit(2), F.lit(""), F.col("pos").cast("long"), _listed()),
+        wanted.select("file_id", F.lit(3), F.lit(""), F.lit(0).cast("long"), F.lit(CLOSING)),
+    ]
+    if related is not None:
+        kinds.append(related.join(asked, "file_id", "left_semi").select("file_id", F.lit(1), F.col("related_path"), F.lit(0).cast("long"), _shown()))
+    pieces = kinds[0]
+    for more in kinds[1:]:
+        pieces = pieces.union(more)
+    order = Window.partitionBy("file_id").orderBy("kind", "key", "pos", "t")
+    # Within a kind pieces are joined by a newline.
+    joint = F.when(F.lag("kind").over(order) == F.col("kind"), F.concat(F.lit("\n"), F.col("t"))).otherwise(F.col("t"))
+    joined = pieces.withColumn("text", joint).withColumn("place", F.row_number().over(order))
+    before = F.sum(F.length("text")).over(Window.partitionBy("file_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
+    placed = joined.withColumn("part", F.floor(F.coalesce(before, F.lit(0)) / part_chars))
+    gathered = F.array_sort(F.collect_list(F.struct("place", "text")))
+    return placed.groupBy("file_id", "part").agg(F.array_join(F.transform(gathered, lambda x: x["text"]), "").alias("text"))
 
 
 def related_files(files: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -62,6 +62,10 @@ def test_prompts(spark):
     made = responses.prompts(df, found, related)
     row = made.first()
     assert made.count() == 1 and "Candidate #1" in row.prompt and "Related file: r/b.py" in row.prompt
+    for size in (1, 40, 300, 1 << 20):
+        parts = sorted(responses.prompt_parts(df, found, related, size).collect())
+        assert "".join(r.text for r in parts) == row.prompt and all(r.file_id == 1 for r in parts)
+        assert len(parts) == {1: 5, 1 << 20: 1}.get(size, len(parts))
     body = json.loads(responses.request_bodies(made).first().body)
     assert body["contents"][0]["parts"][0]["text"] == row.prompt and body["generationConfig"]["maxOutputTokens"] == 8000
     assert list(body) == ["contents", "systemInstruction", "tools", "toolConfig", "generationConfig"]
