@@ -304,17 +304,26 @@ def apply_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
         F.array_repeat(F.struct(F.lit(0).cast("long").alias("at"), F.col("size").alias("n")), F.col("laps").cast("int")), _parts(block)
     )
     plan = planned.where("taken > 0").select("_row", F.col("size").alias("_size"), parts.alias("_parts"))
-    # Rows are met by their numbers, then a text is repeated and cut.
-    out = marked.join(plan, "_row").withColumn("_part", F.explode("_parts"))
-    part = F.col("_part")["n"] < F.col("_size")
-    cut_text = F.array_join(F.slice(words_column(F.col(text_col)), (F.col("_part")["at"] + 1).cast("int"), F.col("_part")["n"].cast("int")), " ")
-    text = F.when(part, cut_text).otherwise(F.col(text_col))
+    # Rows are met by their numbers; a text is cut into words once, for all its parts.
+    cut_into = F.col("_parts")
+
+    def copies(words: Column) -> Column:
+        def one(p: Column) -> Column:
+            part = F.array_join(F.slice(words, (p["at"] + 1).cast("int"), p["n"].cast("int")), " ")
+            return F.struct((p["n"] < F.col("_size")).alias("cut"), F.when(p["n"] < F.col("_size"), part).otherwise(F.col(text_col)).alias("text"))
+
+        return F.transform(cut_into, one)
+
+    partial = F.exists(cut_into, lambda p: p["n"] < F.col("_size"))
+    words = F.when(partial, words_column(F.col(text_col))).otherwise(F.array().cast("array<string>"))
+    out = marked.join(plan, "_row").withColumn("_copy", F.explode(let(words, copies)))
+    text, part = F.col("_copy")["text"], F.col("_copy")["cut"]
     columns = []
     for c in df.columns:
         if c == text_col:
             columns.append(text.alias(c))
         elif c == "n_chars":
-            columns.append(F.when(part, F.length(cut_text)).otherwise(F.col(c)).cast(df.schema[c].dataType).alias(c))
+            columns.append(F.when(part, F.length(text)).otherwise(F.col(c)).cast(df.schema[c].dataType).alias(c))
         else:
             columns.append(F.col(c))
     return out.select(*columns)

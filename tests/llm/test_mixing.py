@@ -220,3 +220,21 @@ def test_chosen_blocks_against_a_plain_walk(spark):
             assert r.taken == laps * r.size + len(own)
             assert [w for p in r.parts for w in range(p["at"], p["at"] + p.n)] == own
             assert all(a["at"] + a.n < b["at"] for a, b in zip(r.parts, r.parts[1:])) and r.start == (own or [0])[0]
+
+
+def test_a_long_text_is_cut_into_words_once(spark):
+    """Many parts of one text: time follows the text, not its parts times its length."""
+    import time
+
+    def seconds(n):
+        text = " ".join(f"w{k}" for k in range(n))
+        df = spark.createDataFrame([(0, text, "a"), (1, "x " * (n // 3), "b"), (2, "y " * n, "c")], "doc_id long, text string, source string")
+        begin = time.time()
+        rows = mixing.apply_mix(df).collect()
+        took = time.time() - begin
+        parts = [r.text for r in rows if r.doc_id == 0]
+        assert len(parts) > n // 2000 and all(p in text for p in parts)
+        return took
+
+    seconds(5_000)
+    assert seconds(200_000) < 4 * seconds(50_000) + 5
