@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codesieve.llm.common import SMALL_ROWS, cut, map_frames, reach, small_side
@@ -156,6 +156,23 @@ def encode_all(texts: list[str | None], words: WordIds) -> list[bytes]:
             gc.enable()
 
 
+#: Patterns of odd characters by tokenizer.
+_ODD: dict[str, str] = {}
+
+
+def odd_pattern(spark: SparkSession, path: str) -> str:
+    """The pattern of ``odd_characters``, found once by a task: the tokenizer and the
+    texts of all characters stay out of the driver's memory."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"odd": [pattern_of(odd_characters(p)) for p in batch["path"]]})
+
+    if path not in _ODD:
+        _ODD[path] = map_frames(spark.range(1).select(F.lit(path).alias("path")), run, "odd string").first()["odd"]
+    return _ODD[path]
+
+
 def encode(text: str | None, words: WordIds) -> bytes:
     return encode_all([text], words)[0]
 
@@ -164,7 +181,7 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     """(id, piece, start, length, ids_crc32): one row per piece of each text."""
     path = path or public_tokenizers.path("word_bpe_49k.json")
     end = np.array([END_ID], "<u4").tobytes()
-    odd = pattern_of(odd_characters(path))
+    odd = odd_pattern(df.sparkSession, path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = _CACHES.get(path) or _CACHES.setdefault(path, WordIds(path, odd))

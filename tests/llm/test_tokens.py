@@ -154,3 +154,24 @@ def test_best_fit_takes_the_tightest_room(capacity):
     sequences, offsets = packing.best_fit_decreasing(lengths, capacity)
     rooms, bins = brute_best_fit(lengths, capacity)
     assert [capacity - o for o in offsets] == rooms and len(set(sequences)) == bins
+
+
+def test_odd_characters_are_found_by_a_task(spark):
+    """The driver's Python holds no tokenizer after it has planned the packing."""
+    import subprocess
+    import sys
+
+    import public_tokenizers
+
+    from codesieve.llm import packing, token_counts
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    code = (
+        "from pyspark.sql import SparkSession\nfrom codesieve.llm import packing, token_counts\n"
+        "s = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "packing.pieces(s.createDataFrame([(1, 'a b')], 'doc_id long, text string'))\n"
+        "print('held', len(token_counts._TOKENIZERS))\n"
+    )
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120)
+    assert out.stdout.strip() == "held 0", out.stderr[-500:]
+    assert packing.odd_pattern(spark, path) == token_counts.pattern_of(packing.odd_characters(path))
