@@ -118,7 +118,10 @@ def prompts(files: DataFrame, candidates: DataFrame, related: DataFrame | None =
     )
     rows = files.join(listed, "file_id")
     extra = F.lit("")
+    asked = candidates.select("file_id").distinct()
     if related is not None:
+        # Texts are only shown to files that are asked about.
+        related = related.join(asked, "file_id", "left_semi")
         texts = related.select("file_id", F.struct("related_path", _shown().alias("t")).alias("r")).groupBy("file_id").agg(
             F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["t"]), "\n").alias("related_text")
         )
